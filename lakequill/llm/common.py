@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of text handled at a time inside a Python worker.
 SLICE_ROWS = 512
@@ -29,9 +30,19 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
 
 
-def columns_or_nulls(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
-    """Like :func:`pick` with casts: each value is (source column, type)."""
-    return df.select(*(F.col(f"`{s}`").cast(t).alias(n) for n, (s, t) in columns.items()))
+def with_rest(df: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """doc_id, text and, to ``carry`` them along, one struct ``rest`` of all other columns, whatever their names."""
+    wanted = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
+    others = [c for c in df.columns if c not in (id_col, text_col)]
+    if carry:
+        wanted.append(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest") if others else F.lit(None).cast("int").alias("rest"))
+    return df.select(*wanted)
+
+
+def schema_with(df: DataFrame, skip: int, first: str) -> StructType:
+    """The schema ``first``, then the columns of ``df`` after its first ``skip``."""
+    made = StructType.fromDDL(first)
+    return StructType([*made.fields, *df.schema.fields[skip:]])
 
 
 class Scratch:
@@ -133,7 +144,7 @@ class Words:
         self.at = np.concatenate(([0], np.cumsum(lengths + 1)))
         self.buffer = buf = np.frombuffer(self.joined, np.uint8)
         gap = np.ones(len(buf) + 2, np.int8)
-        gap[1:-1] = Words._space[buf]
+        gap[1:-1] = self._space[buf]
         turns = np.diff(gap)
         self.starts, self.ends = np.flatnonzero(turns == -1), np.flatnonzero(turns == 1)
         up, down = _power_tables(len(buf) + 1)

@@ -132,6 +132,21 @@ def measure(text: bytes, hashes: np.ndarray, sizes: np.ndarray, symbols: int) ->
     return n, chars, symbols, dup_lines, repeat, base_failed, not reasons, ",".join(reasons) or None, share, line_share, line_char_share
 
 
+KEPT = [f[0] for f in FIELDS].index("kept")
+
+
+def _rows(texts: list[bytes | None]) -> list[tuple]:
+    words = Words(texts)
+    sizes = words.code_points()
+    marks = np.concatenate(([0], np.cumsum(_IS_SYMBOL[words.buffer])))
+    rows = []
+    for i, text in enumerate(texts):
+        a, b = words.first[i], words.first[i + 1]
+        symbols = int(marks[words.at[i + 1] - 1] - marks[words.at[i]])
+        rows.append(measure(text or b"", words.hashes[a:b], sizes[a:b], symbols))
+    return rows
+
+
 def score_repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, shares and verdict of every document.
 
@@ -141,17 +156,19 @@ def score_repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
-            words = Words(texts)
-            sizes = words.code_points()
-            marks = np.concatenate(([0], np.cumsum(_IS_SYMBOL[words.buffer])))
-            rows = []
-            for i, text in enumerate(texts):
-                a, b = words.first[i], words.first[i + 1]
-                symbols = int(marks[words.at[i + 1] - 1] - marks[words.at[i]])
-                rows.append(measure(text or b"", words.hashes[a:b], sizes[a:b], symbols))
-            arrays = [pa.array(c, t) for c, (_, t, _) in zip(zip(*rows, strict=True), FIELDS, strict=True)]
+            arrays = [pa.array(c, t) for c, (_, t, _) in zip(zip(*_rows(texts), strict=True), FIELDS, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *(f[0] for f in FIELDS)])
 
     source = pick(docs, doc_id=id_col, text=text_col)
     id_type = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{n} {t}" for n, _, t in FIELDS))
+
+
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text passes all rules, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches, text_col):
+            yield batch.filter(pa.array([row[KEPT] for row in _rows(texts)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, gram_hashes, signed, text_chunks
+from .common import Scratch, Words, gram_hashes, schema_with, signed, text_chunks, with_rest
 
 MIN_WORDS = 20
 #: Words in an anchor; shorter ones recur by chance, longer ones leave more anchors.
@@ -115,7 +115,7 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, scratch: Scratch, min
 
 def dedup_substrings(
     spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS, layout: bool = True,
+    min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS, layout: bool = True, carry: bool = False,
 ) -> DataFrame:
     """Cut from each text the words of every run of ``min_words`` that starts earlier elsewhere.
 
@@ -123,13 +123,14 @@ def dedup_substrings(
     ``text``: with ``layout`` the text without the removed words and the white space after them, else the kept
     words joined by one space; ``kept_sha256`` is over the latter form. Null texts have no words. Rows without
     an id are returned whole and take no part; rows of one id count as one document, so a repeated row loses
-    nothing to its double. Empty tables give empty results.
+    nothing to its double. Empty tables give empty results. With ``carry`` a last column ``rest`` is a struct of all
+    other input columns.
     """
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    docs = with_rest(docs, id_col, text_col, carry)
     scratch = Scratch(spark, "substrings")
-    named = docs.where("doc_id is not null")
+    named = docs.where("doc_id is not null").select("doc_id", "text")
     repeats = repeated_windows(spark, named, scratch, min_words, anchor_words).withColumnRenamed("doc", "doc_id")
-    both = docs.join(repeats, "doc_id", "left").select("doc_id", "text", "ats")
+    both = docs.join(repeats, "doc_id", "left").select("doc_id", "text", "ats", *docs.columns[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
@@ -156,9 +157,9 @@ def dedup_substrings(
                     kept = _cut(text, starts, drop)
                 out.append(kept)
             arrays = [batch.column(0), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums), pa.array(out, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
+            yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[3:]], ["doc_id", "n_words", "n_removed", "kept_sha256", "text", *batch.schema.names[3:]])
 
-    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
+    return both.mapInArrow(run, schema_with(both, 3, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"))
 
 
 def _cut(text: bytes, starts: np.ndarray, drop: np.ndarray) -> bytes:
