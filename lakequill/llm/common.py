@@ -151,12 +151,18 @@ class Words:
         sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(Words._codes[fold_case][buf] * up[: len(buf)], out=sums[1:])
         raw = (sums[self.ends] - sums[self.starts]) * down[self.starts]
+        self._sums, self._down = sums, down
         self.hashes = mix(raw ^ (self.ends - self.starts).astype(np.uint64) * np.uint64(_BASE))
         self.first = np.searchsorted(self.starts, self.at)
 
     def of(self, i: int) -> np.ndarray:
         return self.hashes[self.first[i] : self.first[i + 1]]
 
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hash of the first ``size`` bytes of each word; of the whole word if it is shorter."""
+        ends = np.minimum(self.ends, self.starts + size)
+        return mix((self._sums[ends] - self._sums[self.starts]) * self._down[self.starts])
+
     def code_points(self) -> np.ndarray:
         """Code points of each word."""
         marks = np.zeros(len(self.buffer) + 1, np.int64)

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import Words, pick, text_chunks
 
-FEATURE_BITS = 18
+FEATURE_BITS = 20
+#: Beginnings of words, in bytes, that are features beside the words: inflected forms share them.
+PREFIXES = (4, 5, 6)
 #: Bounds of the training sample; texts with the least hash of their id are taken.
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 14_000
@@ -26,8 +28,8 @@ MAX_UNLABELLED = 14_000
 FOLDS, HELD_OUT = 5, 0
 CLASSIFIERS = 3
 STEPS = 150
-#: A feature must occur in so large a share of the positive or of the unlabelled texts.
-MIN_SHARE = 0.004
+#: Features are kept whose shares among positive and unlabelled texts differ by so many deviations.
+MIN_DEVIATIONS = 4.5
 WEIGHT_DECAY = 2e-3
 RATE = 0.08
 
@@ -53,10 +55,11 @@ class _Terms(Words):
 
 
 def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed words of each text: (indices, first index of each text and the end)."""
+    """Distinct hashed words and beginnings of each text: (indices, first index of each text and the end)."""
     words = _Terms(texts, fold_case=True)
-    slots = (words.hashes >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
-    owner = np.repeat(np.arange(len(texts)), np.diff(words.first))
+    hashes = np.concatenate((words.hashes, *(words.prefixes(size) + np.uint64(size) for size in PREFIXES)))
+    slots = (hashes >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+    owner = np.tile(np.repeat(np.arange(len(texts)), np.diff(words.first)), 1 + len(PREFIXES))
     keys = np.unique(owner << FEATURE_BITS | slots)
     return keys & ((1 << FEATURE_BITS) - 1), np.searchsorted(keys, np.arange(len(texts) + 1) << FEATURE_BITS)
 
@@ -64,8 +67,12 @@ def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 def train(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float, seed: int = 7) -> Model:
     """Average of CLASSIFIERS linear models, each on its own bootstrap of the rows."""
     size = 1 << FEATURE_BITS
-    shares = [np.bincount(i, minlength=size) / max(1, len(f) - 1) for i, f in (positive, unlabelled)]
-    usable = np.flatnonzero(np.maximum(*shares) >= MIN_SHARE)
+    found = [np.bincount(i, minlength=size) for i, _ in (positive, unlabelled)]
+    rows = [max(1, len(f) - 1) for _, f in (positive, unlabelled)]
+    pooled = (found[0] + found[1]) / sum(rows)
+    deviation = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / rows[0] + 1 / rows[1]))
+    usable = np.flatnonzero(np.abs(found[0] / rows[0] - found[1] / rows[1]) >= MIN_DEVIATIONS * deviation)
+    usable = usable[found[0][usable] + found[1][usable] >= 4]
     column = np.full(size, -1)
     column[usable] = np.arange(len(usable))
     total, bias = np.zeros(len(usable)), 0.0
@@ -160,7 +167,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_c
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     model = fit_on_tables(spark, docs, pick(labels, doc_id="doc_id", toxic="toxic"))
-    shared = spark.sparkContext.broadcast(model)  # one weight per hashed feature, 1 MB
+    shared = spark.sparkContext.broadcast(model)  # one weight per hashed feature, 4 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):

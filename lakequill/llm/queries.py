@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, chosen_path_join, fuzzy_lines, pu_toxicity, quality_repetition, substring_dedup, vector_approximation, warc_derivatives, wrapper_inference
-from .common import table
+from . import best_fit_packing, chosen_path_join, fuzzy_lines, piece_lattice, pu_toxicity, quality_repetition, substring_dedup, vector_approximation, warc_derivatives, wrapper_inference
+from .common import Scratch, table
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,15 @@ def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.dedup_lines(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, those of documents without text included."""
+    docs = table(spark, sf_dir, "documents")
+    model = piece_lattice.load_model(public_tokenizers.path(PIECE_MODEL))
+    made = piece_lattice.digests(piece_lattice.encode(spark, docs, model, Scratch(spark, "pieces")))
+    out = docs.select("doc_id").join(made, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), F.coalesce("ids_digest", F.lit(0).cast("long")).alias("ids_digest"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup_substrings(spark, table(spark, sf_dir, "documents"), layout=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -61,7 +71,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_quality_repetition, op3_warc_derivatives, op4_exact_top_k, op5_fuzzy_line_dedup,
-        op7_substring_dedup, op8_html_main_text, op9_toxicity, op10_best_fit_packing,
+        op6_sentencepiece, op7_substring_dedup, op8_html_main_text, op9_toxicity, op10_best_fit_packing,
     )
 }
 
