@@ -2,10 +2,12 @@
 
 Seeds are winnowed anchors (the least hash of a short word run in every window of the threshold length).
 Each window has exactly one anchor, set by its content alone, so equal windows have equal anchors. Anchors that
-occur once can belong to no repeat and drop out; around the others the match is extended both ways to
-each window the anchor stands for, compared by the hash of the whole window, and overlapping repeated windows join into maximal
-repeats. Everything is a grouped minimum or an equi-join on hashes, so no group of copies is paired up.
-"""
+occur once can belong to no repeat and drop out. Around each of the others the text is extended both ways over all windows
+that the anchor stands for: the seed's block. A block with an equal one before it is repeated as a whole; the first of its kind and
+blocks that differ at an edge are compared window by window (an earliest window always stands in such a block).
+Repeated windows that overlap join into maximal repeats. Everything is a grouped minimum or an equi-join on hashes, so
+no group of copies is paired up.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, gram_hashes, schema_with, signed, text_chunks, with_rest
+from .common import Scratch, Words, gram_hashes, mix, schema_with, signed, text_chunks, with_rest
 
 MIN_WORDS = 20
 #: Words in an anchor; shorter ones recur by chance, longer ones leave more anchors.
@@ -67,48 +69,95 @@ def _anchor_rows(docs: DataFrame, min_words: int, anchor_words: int) -> DataFram
     return docs.mapInArrow(run, "h long, doc long, at int")
 
 
-def _window_rows(docs: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
-    """Windows that stand around a shared anchor: ``docs`` has the anchors' places in ``ats``."""
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+
+
+def span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each run of words ``[start, end)``, of any lengths."""
+    powers, inverse = (np.full(len(hashes) + 1, base, np.uint64) for base in (_BASE, _INVERSE))
+    powers[0] = inverse[0] = 1
+    powers, inverse = np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * powers[:-1], dtype=np.uint64)))
+    return mix((sums[ends] - sums[starts]) * inverse[starts] ^ (ends - starts).astype(np.uint64))
+
+
+def _block_rows(docs: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
+    """Blocks around shared anchors: (b, doc, at, many, ws), hash and place of a block, its windows and their hashes.
+
+    ``docs`` has the anchors' places in ``ats``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
             words, ids = Words(texts), batch.column(0).to_pylist()
             ats = batch.column(batch.schema.get_field_index("ats"))
-            keys, owners, places = [], [], []
+            columns: list[list] = [[], [], [], [], []]
             for i, doc in enumerate(ids):
                 hashes = words.of(i)
                 shared = np.zeros(len(hashes) + 1, bool)
                 shared[ats[i].values.to_numpy()] = True
-                at = np.flatnonzero(shared[window_anchors(hashes, min_words, anchor_words)])
-                keys.append(gram_hashes(hashes, min_words)[at])
-                places.append(at.astype(np.int32))
-                owners.append(np.full(len(at), doc, np.int64))
-            arrays = [pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places))]
+                anchor = window_anchors(hashes, min_words, anchor_words)
+                edges = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
+                first, end = edges[:-1], edges[1:]
+                use = shared[anchor[first]]
+                first, end = first[use], end[use]
+                windows = signed(gram_hashes(hashes, min_words)).tobytes()
+                keys = signed(span_hashes(hashes, first, end - 1 + min_words))
+                new = (keys, np.full(len(first), doc, np.int64), first, end - first, [windows[8 * a : 8 * b] for a, b in zip(first.tolist(), end.tolist(), strict=True)])
+                for column, values in zip(columns, new, strict=True):
+                    column.extend(values)
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["b", "doc", "at", "many", "ws"])
+
+    return docs.mapInArrow(run, "b long, doc long, at int, many int, ws binary")
+
+
+def _windows(blocks: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, at, many = (batch.column(i).to_numpy() for i in range(3))
+            hashes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
+            inside = np.arange(len(hashes)) - np.repeat(np.cumsum(many) - many, many)
+            arrays = [pa.array(hashes), pa.array(np.repeat(doc, many)), pa.array((np.repeat(at, many) + inside).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, ["w", "doc", "at"])
 
-    return docs.mapInArrow(run, "w long, doc long, at int")
+    return blocks.select("doc", "at", "many", "ws").mapInArrow(run, "w long, doc long, at int")
+
+
+def _firsts(rows: DataFrame, key: str) -> DataFrame:
+    """(key, d0, a0): first place of each key that occurs twice or more."""
+    first = rows.groupBy(key).agg(F.min(F.struct("doc", "at")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    return first.select(key, F.col("p.doc").alias("d0"), F.col("p.at").alias("a0"))
+
+
+LATER = "doc > d0 or (doc = d0 and at > a0)"
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, scratch: Scratch, min_words: int, anchor_words: int) -> DataFrame:
-    """(doc, ats): starts of the windows of ``docs(doc_id, text)`` whose words also start earlier."""
+    """(doc, runs): runs (start, many) of the windows of ``docs(doc_id, text)`` whose words also start earlier."""
     anchors = scratch.write(_anchor_rows(docs, min_words, anchor_words), "anchors")
     shared = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    seeds = anchors.join(shared, "h").groupBy("doc").agg(F.collect_set("at").alias("ats"))  # at most the words of a document
-    seeds = scratch.write(seeds, "seeds")
+    seeds = scratch.write(anchors.join(shared, "h").select("doc", "at"), "seeds")
     scratch.drop(anchors)
+    del anchors, shared
+    scratch.release()
+    places = seeds.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("at").alias("ats"))  # at most the words of a document
+    blocks = scratch.write(_block_rows(docs.join(places, "doc_id"), min_words, anchor_words), "blocks")
+    del places
+    scratch.drop(seeds)
     scratch.release()
-    near = docs.join(seeds.withColumnRenamed("doc", "doc_id"), "doc_id")
-    windows = scratch.write(_window_rows(near, min_words, anchor_words), "windows")
+    marked = blocks.join(_firsts(blocks.select("b", "doc", "at"), "b"), "b", "left").withColumn("again", F.coalesce(F.expr(LATER), F.lit(False)))
+    marked = scratch.write(marked.select("doc", "at", "many", "again", F.when(~F.col("again"), F.col("ws")).alias("ws")), "marked")
+    scratch.drop(blocks)
+    del blocks
     scratch.release()
-    first = windows.groupBy("w").agg(F.min("doc").alias("d0"), F.count("*").alias("n")).where("n > 1")
-    # The first start is asked for only within the first document.
-    hits = windows.join(first.select("w", "d0"), "w")
-    later = hits.where("doc > d0").select("doc", "at")
-    own = hits.where("doc = d0").select("w", "doc", "at")
-    within = own.groupBy("w", "doc").agg(F.min("at").alias("a0"), F.max("at").alias("a1")).where("a1 > a0").select("w", "a0")
-    inner = own.join(within, "w").where("at > a0").select("doc", "at")
-    out = scratch.write(later.unionByName(inner).groupBy("doc").agg(F.collect_set("at").alias("ats")), "repeats")
-    scratch.drop(seeds, windows)
+    windows = scratch.write(_windows(marked.where("not again")), "windows")
+    single = windows.join(_firsts(windows, "w"), "w").where(LATER).select("doc", "at", F.lit(1).alias("many"))
+    runs = marked.where("again").select("doc", "at", "many").unionByName(single)
+    out = scratch.write(runs.groupBy("doc").agg(F.collect_list(F.struct("at", "many")).alias("runs")), "repeats")
+    scratch.drop(marked, windows)
+    del marked, windows, single, runs
     scratch.release()
     return out
 
@@ -130,21 +179,21 @@ def dedup_substrings(
     scratch = Scratch(spark, "substrings")
     named = docs.where("doc_id is not null").select("doc_id", "text")
     repeats = repeated_windows(spark, named, scratch, min_words, anchor_words).withColumnRenamed("doc", "doc_id")
-    both = docs.join(repeats, "doc_id", "left").select("doc_id", "text", "ats", *docs.columns[2:])
+    both = docs.join(repeats, "doc_id", "left").select("doc_id", "text", "runs", *docs.columns[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
-            words, ats = Words(texts), batch.column(2)
+            words, runs = Words(texts), batch.column(2)
             totals, gone, sums, out = [], [], [], []
             for i, text in enumerate(texts):
                 a, b = words.first[i], words.first[i + 1]
                 starts, ends = words.starts[a:b] - words.at[i], words.ends[a:b] - words.at[i]
                 drop = np.zeros(b - a, bool)
-                if ats[i].is_valid:
+                if runs[i].is_valid:
                     steps = np.zeros(b - a + 1, np.int32)
-                    at = ats[i].values.to_numpy()
+                    at, many = (runs[i].values.field(k).to_numpy() for k in (0, 1))
                     np.add.at(steps, at, 1)
-                    np.add.at(steps, at + min_words, -1)
+                    np.add.at(steps, at + many - 1 + min_words, -1)
                     drop = np.cumsum(steps[:-1]) > 0
                 removed = int(drop.sum())
                 kept = b" ".join([text[s:e] for s, e, d in zip(starts.tolist(), ends.tolist(), drop.tolist(), strict=True) if not d])
