@@ -293,11 +293,27 @@ class Query:
             raise InvalidQuery("aggregate() and having() need group_by()")
         if self.windows:
             df = df.withColumns(dict(self.windows))
+        # An order by columns that are not selected comes before the projection, where SQL allows it.
+        whole = df.columns if self.selected is None else [*self.selected, *(a for a, _ in self.windows)]
+        early = any(n not in whole for n, _ in self.orderings) and not (self.set_operations or self.is_distinct or self.group is not None)
+        if early:
+            df = self._paged(df)
         df = self._project(df)
         for kind, operand in self.set_operations:
             df = _SET[kind](df, operand)
         if self.is_distinct:
             df = df.distinct()
+        if not early:
+            df = self._paged(df)
+        if self.includes:
+            from .navigation import nest
+
+            df = nest(self.context, self.entity, df, self.includes, self.filtered, narrow=not self.predicate.is_always or self.taken is not None)
+            if self.orderings:
+                df = df.orderBy(*(F.desc(f"`{n}`") if d else F.asc(f"`{n}`") for n, d in self.orderings))
+        return df
+
+    def _paged(self, df: DataFrame) -> DataFrame:
         hidden = [n for n, _ in self.orderings if n not in df.columns]
         if hidden:
             raise InvalidQuery(f"cannot order by {', '.join(hidden)}: not among the result's columns")
@@ -307,12 +323,6 @@ class Query:
             df = df.offset(self.skipped)
         if self.taken is not None:
             df = df.limit(self.taken)
-        if self.includes:
-            from .navigation import nest
-
-            df = nest(self.context, self.entity, df, self.includes, self.filtered, narrow=not self.predicate.is_always or self.taken is not None)
-            if self.orderings:
-                df = df.orderBy(*(F.desc(f"`{n}`") if d else F.asc(f"`{n}`") for n, d in self.orderings))
         return df
 
     def _project(self, df: DataFrame) -> DataFrame:

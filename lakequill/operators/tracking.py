@@ -111,14 +111,14 @@ class UnitOfWork:
         self.entries.append(entry)
         return entry
 
-    def add(self, name: str, **values) -> Entry:
+    def add(self, name: str, /, **values) -> Entry:
         return self._track(name, values, State.ADDED)
 
     def attach(self, name: str, row: Row | dict) -> Entry:
         values = row.asDict() if isinstance(row, Row) else dict(row)
         return self._track(name, {k: v for k, v in values.items() if k in self._entity(name).columns}, State.UNCHANGED)
 
-    def update(self, name: str, **values) -> Entry:
+    def update(self, name: str, /, **values) -> Entry:
         """A row to be written whole, whatever it was; without its token in ``values`` no conflict is seen."""
         entry = self._track(name, values, State.MODIFIED)
         entry.original = {k: values[k] for k in entry.entity.key}
@@ -127,7 +127,7 @@ class UnitOfWork:
             entry.original[token.name] = values[token.name]
         return entry
 
-    def upsert(self, name: str, **values) -> Entry:
+    def upsert(self, name: str, /, **values) -> Entry:
         return self._track(name, values, State.UPSERTED)
 
     def remove(self, entry: Entry) -> None:
