@@ -107,7 +107,9 @@ def _fit(parts: list, counts: list[np.ndarray], prior: float, size: int) -> tupl
             gp, gu = cp * (prior * (sp - 1) - prior * sp), cu * su
         else:
             gp, gu = cp * prior * sp, -cu * su
-        grad = np.bincount(pc, np.repeat(gp, np.diff(pf)), size + 1) + np.bincount(uc, np.repeat(gu, np.diff(uf)), size + 1)
+        grad = np.zeros(size + 1)
+        for columns, first, slope in ((pc, pf, gp), (uc, uf, gu)):
+            grad += np.bincount(columns, np.repeat(slope, np.diff(first)), size + 1)
         grad[:-1] += WEIGHT_DECAY * w[:-1]
         grad[-1] = gp.sum() + gu.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
@@ -120,7 +122,7 @@ def _fold(column: str) -> F.Column:
 
 
 def fit_on_tables(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Train on at most MAX_POSITIVE + MAX_UNLABELLED texts of ``docs(doc_id, text)``; None without positives."""
+    """Train on at most MAX_POSITIVE + MAX_UNLABELLED texts of ``docs(doc_id, text)``; None without positives among them."""
     seen = labels.where((_fold("doc_id") != HELD_OUT) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = seen.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("p")).first()
     if not counts["p"]:
@@ -155,7 +157,10 @@ def fit_on_tables(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Mo
         pieces = [flat[first[i] : first[i + 1]] for i in at]
         return np.concatenate(pieces) if pieces else flat[:0], np.concatenate(([0], np.cumsum(lengths)))
 
-    return train(part(chosen[0]), part(chosen[1]), prior)
+    positive, unlabelled = part(chosen[0]), part(chosen[1])
+    if len(positive[1]) < 2 or len(unlabelled[1]) < 2:
+        return None
+    return train(positive, unlabelled, prior)
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
