@@ -8,10 +8,11 @@ each tree finds a pair at the threshold with a chance of about 0.6 at depth 3; T
 
 * Nodes of at most NODE_LIMIT sets are compared exhaustively by 128-bit sketches.
 * Larger ones branch two levels deeper, all of them, whatever their number.
-* What is still large is a family of near copies: its sets are tried against one of them (a star), and after
-  the exact check only sets that have not joined the star's component are tried against all sets there.
+* What is still large is a family of near copies: its sets are tried against the most typical one (a star), and after
+  the exact check only sets that have not joined the star's component are counted against all sets there,
+  in blocks, of which only links come out.
 
-Candidates are confirmed on the full sets: first one per set (a spanning forest), then every candidate
+Candidates are confirmed on the full sets: first the best one of each set, twice, then every candidate
 that would still join two components. So the exact work follows the number of sets, and no link between
 components is left out.
 """
@@ -141,45 +142,90 @@ def _small_pairs(rows: DataFrame) -> DataFrame:
             if not len(i):
                 break
             differ = np.bitwise_count((s1[i] ^ s1[i + lag]).view(np.uint64)).astype(np.int64) + np.bitwise_count((s2[i] ^ s2[i + lag]).view(np.uint64))
-            i = i[(128 - differ >= SKETCH_AGREE) & (doc[i] != doc[i + lag])]
-            found.append(np.stack((np.minimum(doc[i], doc[i + lag]), np.maximum(doc[i], doc[i + lag]))))
+            near = (128 - differ >= SKETCH_AGREE) & (doc[i] != doc[i + lag])
+            i, differ = i[near], differ[near]
+            found.append(np.stack((np.minimum(doc[i], doc[i + lag]), np.maximum(doc[i], doc[i + lag]), 128 - differ)))
         if not found:
             return None
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2].astype(np.int32))], ["a", "b", "agree"])
 
-    return rows.repartition("node").sortWithinPartitions("node", "doc").mapInArrow(lambda it: rows_by_key(it, "node", handle), "a long, b long")
+    return rows.repartition("node").sortWithinPartitions("node", "doc").mapInArrow(lambda it: rows_by_key(it, "node", handle), "a long, b long, agree int")
 
 
-def _agree(x: str, y: str) -> F.Column:
-    return F.expr(f"128 - bit_count({x}.s1 ^ {y}.s1) - bit_count({x}.s2 ^ {y}.s2) >= {SKETCH_AGREE}")
+def _typical(rows: DataFrame) -> DataFrame:
+    """(node, pivot, p1, p2): of each node's sets the one whose sketch is nearest to the majority of bits."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                nodes, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+                sketch = np.stack((batch.column(1).to_numpy(), batch.column(2).to_numpy()), axis=1)
+                bits = np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8), axis=1)
+                sums = np.zeros((len(nodes), 128), np.int64)
+                np.add.at(sums, at, bits)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.bincount(at)), pa.array([s.tobytes() for s in sums], pa.binary())], ["node", "n", "sums"])
+
+    def whole(group: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(x, np.int64) for x in group.column("sums").to_pylist())
+        most = np.packbits(2 * sums > sum(group.column("n").to_pylist())).view(np.int64)
+        return pa.table({"node": group.column("node").slice(0, 1), "m1": most[:1], "m2": most[1:]})
+
+    majority = rows.select("node", "s1", "s2").mapInArrow(partial, "node long, n long, sums binary").groupBy("node").applyInArrow(whole, "node long, m1 long, m2 long")
+    away = F.expr("bit_count(s1 ^ m1) + bit_count(s2 ^ m2)")
+    best = rows.join(majority, "node").groupBy("node").agg(F.min(F.struct(away.alias("away"), "doc", "s1", "s2")).alias("p"))
+    return best.select("node", F.col("p.doc").alias("pivot"), F.col("p.s1").alias("p1"), F.col("p.s2").alias("p2"))
 
 
 def candidates(spark: SparkSession, reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b), and the members (node, doc, s1, s2, pivot) of families left large."""
+    """Candidate pairs (a < b, agree), and the members (node, doc, pivot) of families left large."""
     pairs, left = [], None
     source, levels = reps.select("doc", "s1", "s2", "sig"), DEPTH
     for depth in (DEPTH, DEEPER):
         rows = scratch.write(_grow(source, levels), "nodes")
-        large = scratch.write(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("doc").alias("pivot")).where(f"n > {NODE_LIMIT}").select("node", "pivot"), "large")
-        pairs.append(scratch.write(_small_pairs(rows.join(large, "node", "left_anti")).distinct(), "pairs"))
-        left = rows.join(large, "node")
+        large = scratch.write(rows.groupBy("node").agg(F.count("*").alias("n")).where(f"n > {NODE_LIMIT}").select("node"), "large")
+        pairs.append(scratch.write(_small_pairs(rows.join(large, "node", "left_anti")), "pairs"))
+        left = scratch.write(rows.join(large, "node"), "left")
+        scratch.drop(rows)
         levels = DEEPER - DEPTH
         if depth == DEEPER or large.isEmpty():
             break
-        source = left.select("node", "doc", "s1", "s2").join(reps.select("doc", "sig"), "doc")
-    left = scratch.write(left, "families")
-    star = left.alias("m").join(left.where("doc = pivot").dropDuplicates(["node"]).select("node", "s1", "s2").alias("p"), "node").where(_agree("m", "p"))
-    pairs.append(star.where("m.doc <> m.pivot").select(F.col("m.pivot").alias("a"), F.col("m.doc").alias("b")).distinct())
+        source = left.join(reps.select("doc", "sig"), "doc")
+    families = scratch.write(left.join(_typical(left), "node"), "families")
+    star = families.withColumn("agree", F.expr("128 - bit_count(s1 ^ p1) - bit_count(s2 ^ p2)")).where(f"doc <> pivot and agree >= {SKETCH_AGREE}")
+    pairs.append(star.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"), F.col("agree").cast("int").alias("agree")))
     out = pairs[0]
     for more in pairs[1:]:
         out = out.unionByName(more)
-    return scratch.write(out.distinct(), "candidates"), left
+    return scratch.write(out.distinct(), "candidates"), families.select("node", "doc", "pivot")
+
+
+#: Slots of the filter of wanted documents, 2 ** FILTER_BITS bits at most: other documents' sets are not kept.
+FILTER_BITS = 24
+
+
+def _wanted_filter(spark: SparkSession, ids: DataFrame):
+    """A bitmap of hashed ids, of bounded size: it may let others pass, never leaves a wanted one out."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    words = ids.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    found = words.toArrow()  # at most 2 ** (FILTER_BITS - 6) rows
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bitmap[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+    return spark.sparkContext.broadcast(bitmap)
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _sets(docs: DataFrame, size: int, bitmap) -> DataFrame:
+    """(doc, n, items) of the documents that the filter lets pass."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    docs = docs.select("doc_id", "text", slot.alias("slot"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches):
+        def passing() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slots = batch.column(2).to_numpy()
+                yield batch.filter(pa.array(bitmap.value[slots >> 6] >> (slots & 63) & 1 == 1))
+
+        for batch, texts in text_chunks(passing()):
             words = Words(texts, fold_case=True)
             sets = [shingle_set(words.of(i), size) for i in range(len(texts))]
             arrays = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
@@ -206,39 +252,122 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+#: Sets of one block of a family, about.
+BLOCK_SETS = 256
+#: Distinct shingles compared at a time in a pair of blocks.
+BLOCK_SHINGLES = 1 << 16
+
+
+def block_links(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Mask of linked pairs of two lists of sets, by exact intersection sizes."""
+    universe = np.unique(np.concatenate(left)) if left else np.empty(0, np.uint64)
+    both = np.zeros((len(left), len(right)), np.float64)
+    for start in range(0, len(universe), BLOCK_SHINGLES):
+        part = universe[start : start + BLOCK_SHINGLES]
+        sides = []
+        for sets in (left, right):
+            dense = np.zeros((len(sets), len(part)), np.float32)
+            for i, items in enumerate(sets):
+                at = np.searchsorted(part, items)
+                at = at[(at < len(part)) & (part[np.minimum(at, len(part) - 1)] == items)]
+                dense[i, at] = 1
+            sides.append(dense)
+        both += sides[0] @ sides[1].T
+    sizes = [np.array([len(s) for s in sets], np.float64) for sets in (left, right)]
+    return 100 * both >= THRESHOLD * (sizes[0][:, None] + sizes[1][None, :] - both)
+
+
+def _family_links(families: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Links (a, b) of sets that are in a family but not in its star's component, to anything in the family.
+
+    One link of a set to each component is enough. None if there are no such sets.
+    """
+    members = _labelled(_labelled(families.select("doc", "pivot").distinct(), labels, "doc", "label"), labels, "pivot", "home")
+    members = scratch.write(members.select("home", "doc", "label").distinct(), "members")
+    odd = members.where("label <> home")
+    if odd.isEmpty():
+        return None
+
+    def packed(rows: DataFrame, part: str) -> tuple[DataFrame, DataFrame]:
+        many = rows.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_SETS).alias(f"n_{part}"))
+        dealt = rows.join(many, "home").withColumn(part, F.expr(f"pmod(xxhash64(doc), n_{part})"))
+
+        def pack(group: pa.Table) -> pa.Table:
+            one = lambda c: pa.array([group.column(c)[0].as_py()], pa.int64())
+            sizes = np.array(group.column("n").to_pylist(), np.int64).tobytes()
+            docs, marks = (group.column(c).to_numpy().astype(np.int64).tobytes() for c in ("doc", "label"))
+            values = (pa.array([v], pa.binary()) for v in (docs, marks, sizes, b"".join(group.column("items").to_pylist())))
+            return pa.table([one("home"), one(part), *values], ["home", part, f"d_{part}", f"l_{part}", f"s_{part}", f"i_{part}"])
+
+        schema = f"home long, {part} long, d_{part} binary, l_{part} binary, s_{part} binary, i_{part} binary"
+        whole = dealt.join(sets, "doc").select("home", part, "doc", "label", "n", "items")
+        return scratch.write(whole.groupBy("home", part).applyInArrow(pack, schema), f"blocks-{part}"), many
+
+    left, many = packed(odd, "x")
+    right, _ = packed(members.join(odd.select("home").distinct(), "home", "left_semi"), "y")
+    spread = right.join(many, "home").withColumn("x", F.explode(F.expr("sequence(0L, n_x - 1)")))
+    met = left.join(spread, ["home", "x"]).select("d_x", "l_x", "s_x", "i_x", "d_y", "l_y", "s_y", "i_y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                side = []
+                for at in (0, 4):
+                    docs, marks, sizes = (np.frombuffer(batch.column(at + k)[row].as_py(), np.int64) for k in range(3))
+                    items = np.frombuffer(batch.column(at + 3)[row].as_py(), np.uint64)
+                    side.append((docs, marks, np.split(items, np.cumsum(sizes)[:-1])))
+                (dx, lx, sx), (dy, ly, sy) = side
+                i, j = np.nonzero(block_links(sx, sy) & (lx[:, None] != ly[None, :]))
+                _, first = np.unique(np.stack((dx[i], ly[j])), axis=1, return_index=True)
+                i, j = i[first], j[first]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(dx[i], dy[j])), pa.array(np.maximum(dx[i], dy[j]))], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
 def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
     named = labels.select(F.col("id").alias(column), F.col("component").alias("__c"))
     return rows.join(named, column, "left").withColumn(name, F.coalesce("__c", column)).drop("__c")
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of each set the one that agrees most."""
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "agree").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "agree"))
+    best = both.groupBy("u").agg(F.max(F.struct("agree", F.col("v"))).alias("m")).select("u", F.col("m.v").alias("v"))
+    return best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
 def link_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """One row per input row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(spark, "chosen-path")
-    signed_docs = scratch.write(signatures(docs.where("doc_id is not null").select("doc_id", "text"), size), "signatures")
+    named_docs = docs.where("doc_id is not null").select("doc_id", "text")
+    signed_docs = scratch.write(signatures(named_docs, size), "signatures")
     filled = signed_docs.where("n > 0")
     classes = scratch.write(filled.groupBy("k1", "k2").agg(F.min("doc").alias("rep")), "classes")
     reps = filled.join(classes.select("k1", "k2", F.col("rep").alias("doc")), ["k1", "k2", "doc"], "left_semi")
     reps = scratch.write(reps.select("doc", "s1", "s2", "sig"), "reps")
     pairs, families = candidates(spark, reps, scratch)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    if not families.isEmpty():
-        needed = needed.unionByName(families.select(F.col("doc").alias("doc_id")))
-    sets = scratch.write(_sets(docs.join(needed.distinct(), "doc_id", "left_semi").select("doc_id", "text"), size), "sets")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(families.select(F.col("doc").alias("doc_id")))
+    bitmap = _wanted_filter(spark, needed)
+    sets = scratch.write(_sets(named_docs, size, bitmap), "sets")
     scratch.release()
 
-    forest = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    links = scratch.write(confirm(forest, sets), "links")
-    labels = components(scratch, links)
-    rest = _labelled(_labelled(pairs, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-    members = _labelled(_labelled(families, labels, "doc", "label"), labels, "pivot", "home")
-    odd = members.where("label <> home")
-    across = (
-        odd.alias("x").join(members.alias("y"), "node").where(F.expr("x.label <> y.label")).where(_agree("x", "y"))
-        .select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
-    )
-    more = scratch.write(confirm(rest.unionByName(across).distinct(), sets), "links")
-    if not more.isEmpty():
-        labels = components(scratch, links.unionByName(more))
+    links, labels, rest = None, None, pairs
+    for rounds in (1, 2, 3):
+        now = scratch.write(_best(rest), "tried") if rounds < 3 else rest.select("a", "b")
+        found = scratch.write(confirm(now, sets), "links")
+        links = found if links is None else links.unionByName(found)
+        if rounds < 3 or not found.isEmpty():
+            labels = components(scratch, links)
+        if rounds < 3:
+            rest = rest.join(now, ["a", "b"], "left_anti")
+            rest = scratch.write(_labelled(_labelled(rest, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b", "agree"), "rest")
+            scratch.release()
+    across = _family_links(families, labels, sets, scratch)
+    if across is not None:
+        across = scratch.write(across, "links")
+        if not across.isEmpty():
+            labels = components(scratch, links.unionByName(across))
     scratch.release()
 
     named = _labelled(classes, labels, "rep", "component_id").select("k1", "k2", "component_id")
