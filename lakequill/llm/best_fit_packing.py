@@ -8,7 +8,9 @@ length (by per-bucket counts, never by one task) and looks its place up in the p
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,36 +23,79 @@ from .common import Scratch, as_bytes, pick, slices, split_words
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker remembers; others are encoded each time they occur.
-ID_CACHE = 200_000
+ID_CACHE = 500_000
+#: Lower-case words without a mark whose ids a worker remembers beside.
+STEM_CACHE = 300_000
 #: Rows of one bucket of the ranking step, about.
 BUCKET_ROWS = 20_000
 
 
-class WordIds(dict):
-    """White-space-delimited word -> its ids.
+class WordIds:
+    """Ids of texts by way of their white-space-delimited words.
 
-    The tokenizer normalises white space away before it splits, and its split pattern never spans
-    white space, so the ids of a text are those of its words in order.
+    The tokenizer normalises white space and case away before it splits, its split pattern never spans white space,
+    and a letter and a mark after it are always parts of their own; so the ids of a text are those of its words in
+    order, and those of ``word,`` are those of ``word`` and of the comma. Words that are not remembered are
+    encoded together, once for each slice of texts.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> list[int]:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        if len(self) < ID_CACHE:
-            self[word] = ids
-        return ids
-
-    def of(self, text: bytes | None) -> np.ndarray:
-        out: list[int] = []
-        for ids in map(self.__getitem__, split_words(text)):
-            out += ids
-        out.append(END_ID)
-        return np.asarray(out, dtype="<u4")
+        self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = {m: self._encode([m])[0] for m in (b",", b".", b";", b":", b"!", b"?")}
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in encoded]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters only: each is one part, so it ends where a token that ends words does."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):  # a letter that is normalised to more than letters
+            return self._encode([w.encode() for w in words])
+        data, edges = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        forms = []
+        for word in new:
+            stem, mark = (word if b"<" in word else word.lower()), b""
+            if len(stem) > 1 and stem[-1:] in self.marks and 97 <= stem[-2] <= 122:
+                stem, mark = stem[:-1], stem[-1:]
+            forms.append((stem, mark))
+        letters, others = [], []
+        for stem in {s for s, _ in forms}.difference(self.stems):
+            text = stem.decode("utf-8", "replace")
+            letters.append(text) if text.isalpha() and text.lower().isalpha() else others.append(stem)
+        fresh = dict(zip(others, self._encode(others), strict=True))
+        for start in range(0, len(letters), 512):
+            part = letters[start : start + 512]
+            fresh.update(zip((w.encode() for w in part), self._encode_letters(part), strict=True))
+        if len(self.stems) < STEM_CACHE:
+            self.stems.update(fresh)
+        for word, (stem, mark) in zip(new, forms, strict=True):
+            ids = self.stems.get(stem)
+            if ids is None:
+                ids = fresh[stem]
+            self.known[word] = ids + self.marks[mark] if mark else ids
+
+    def of(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        words = [split_words(text) for text in texts]
+        new = list(set().union(*words).difference(self.known))
+        self._learn(new)
+        end = array("I", [END_ID]).tobytes()
+        for part in words:
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, part)) + end, "<u4")
+        for word in new[max(0, len(new) - (len(self.known) - ID_CACHE)) :] if len(self.known) > ID_CACHE else ():
+            del self.known[word]
 
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -67,8 +112,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
         for batch in slices(batches):
             rows: list[list] = [[], [], [], [], []]
             kept = []
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                ids = words.of(text)
+            for doc, ids in zip(batch.column(0).to_pylist(), words.of(as_bytes(batch.column(1))), strict=True):
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     for column, value in zip(rows, (doc, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
