@@ -33,20 +33,38 @@ CLEAN_BLOCKS = ((4_000_000, 1), (100_000_000, 2), (10_000_000_000, 3))
 
 _MARKS = re.compile(r"[\W_]+")
 _DIGITS = re.compile(r"\d")
+#: Marks and digits beyond ASCII, which the table below does not know.
+_FOREIGN = re.compile(r"[^\w\x00-\x7f]|[^\D\x00-\x7f]")
+_ASCII = bytes(48 if 48 <= b < 58 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def normal_form(line: str) -> str:
-    """Lower case, digits as 0, marks and white space as one space; a line of marks only stays as it is."""
-    line = line.strip()
-    return _MARKS.sub(" ", _DIGITS.sub("0", line.lower())).strip() or line
+def normal_form(line: str) -> bytes:
+    """Lower case, digits as 0, marks and white space as one space; a line of marks only stays as it is. UTF-8."""
+    low = line.lower()
+    if not low.isascii() and _FOREIGN.search(low):
+        low = _MARKS.sub(" ", _DIGITS.sub("0", low))
+    return b" ".join(low.encode("utf-8", "replace").translate(_ASCII).split()) or line.strip().encode("utf-8", "replace")
+
+
+def _lanes() -> np.ndarray:
+    """byte -> its bits, most significant first, each in a byte of a 64-bit word."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
+    return np.ascontiguousarray(bits).view(np.uint64).ravel()
+
+
+_LANES = _lanes()
 
 
 def simhashes(forms: list[bytes]) -> np.ndarray:
     """64-bit SimHash over the words of each form (each holds at least one)."""
     words = Words(forms)
-    bits = np.unpackbits(words.hashes.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.add.reduceat(bits, words.first[:-1], axis=0, dtype=np.int32)
-    return np.packbits(2 * sums > np.diff(words.first)[:, None], axis=1).view(np.uint64).ravel()
+    lengths, first = np.diff(words.first), words.first[:-1]
+    columns = words.hashes.view(np.uint8).reshape(-1, 8)
+    # Eight counters of one byte in a word count up to 255; longer forms are counted bit by bit.
+    sums = np.concatenate([np.add.reduceat(_LANES[columns[:, j]], first).view(np.uint8).reshape(-1, 8) for j in range(8)], axis=1).astype(np.int64)
+    for i in np.flatnonzero(lengths > 255):
+        sums[i] = np.unpackbits(columns[words.first[i] : words.first[i + 1]], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * sums > lengths[:, None], axis=1).view(np.uint64).ravel()
 
 
 def lines_of(text: bytes | None) -> list[str]:
@@ -64,7 +82,7 @@ def _line_rows(docs: DataFrame) -> DataFrame:
                     if line.strip():
                         owners.append(doc)
                         numbers.append(number)
-                        forms.append(normal_form(line).encode("utf-8", "replace"))
+                        forms.append(normal_form(line))
             if forms:
                 filled = [f if f.split() else b"\xc2\xa0" for f in forms]
                 keys = np.fromiter(map(xxhash.xxh3_64_intdigest, forms), np.uint64, len(forms))
@@ -219,7 +237,7 @@ def _forms(docs: DataFrame, places: DataFrame) -> DataFrame:
                 for spot in spots:
                     if spot["line"] < len(lines):
                         keys.append(spot["k"])
-                        forms.append(normal_form(lines[spot["line"]]))
+                        forms.append(normal_form(lines[spot["line"]]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(forms, pa.string())], ["k", "form"])
 
     return docs.join(places.withColumnRenamed("doc", "doc_id"), "doc_id").select("text", "spots").mapInArrow(run, "k long, form string")

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 pytest.importorskip("lakequill.llm")
@@ -58,8 +59,6 @@ def test_near_dedup_of_a_large_family(spark):
 
 
 def test_block_links_counts_exactly():
-    import numpy as np
-
     r = np.random.default_rng(1)
     left, right = ([np.unique(r.integers(0, 60, 40).astype(np.uint64)) for _ in range(20)] for _ in range(2))
     left[3] = right[5]
@@ -114,12 +113,10 @@ def line_corpus():
 
 
 def test_line_dedup_equals_all_pairs(spark):
-    import numpy as np
-
     rows = line_corpus()
     got = fuzzy_lines.dedup_lines(spark, frame(spark, rows)).collect()
     assert len(got) == len(rows)
-    lines = sorted({(i, n, fuzzy_lines.normal_form(x)) for i, t in rows if i is not None for n, x in enumerate((t or "").split("\n")) if x.strip()})
+    lines = sorted({(i, n, fuzzy_lines.normal_form(x).decode()) for i, t in rows if i is not None for n, x in enumerate((t or "").split("\n")) if x.strip()})
     forms = sorted({f for _, _, f in lines})
     sims = dict(zip(forms, fuzzy_lines.simhashes([f.encode() for f in forms]).tolist(), strict=True))
 
@@ -137,12 +134,23 @@ def test_line_dedup_equals_all_pairs(spark):
     assert np.all([r["text"] is None for r in got if r["doc_id"] == 1])
 
 
+def test_normal_forms():
+    import re
+
+    for line in ("  Hello,  WORLD 12\u00a0x ", "---", "a_b", "\u00abÉté\u00bb \u0663", "STRASSE ß", "x\u2003y", "İ!"):
+        plain = re.sub(r"[\W_]+", " ", re.sub(r"\d", "0", line.lower())).strip() or line.strip()
+        assert fuzzy_lines.normal_form(line).decode() == plain
+    long = " ".join(f"w{i % 7}" for i in range(600)).encode()
+    bits = np.unpackbits(fuzzy_lines.Words([long]).hashes.view(np.uint8).reshape(-1, 8), axis=1)
+    assert fuzzy_lines.simhashes([b"a", long])[1] == np.packbits(2 * bits.sum(axis=0) > 600).view(np.uint64)[0]
+
+
 def test_line_families_and_edit_distance(spark):
     """Many variants of one long line, more than a node holds."""
     base = prose(8, 120)
     rows = [(i, edited(base, i, 0.012)) for i in range(100)]
     got = fuzzy_lines.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"))
-    forms = [(i, fuzzy_lines.normal_form(t)) for i, t in rows]
+    forms = [(i, fuzzy_lines.normal_form(t).decode()) for i, t in rows]
     sims = fuzzy_lines.simhashes([f.encode() for _, f in forms]).tolist()
     near = lambda a, b: (sims[a] ^ sims[b]).bit_count() <= 3 and fuzzy_lines.edit_distance(forms[a][1], forms[b][1]) <= 0.2 * max(len(forms[a][1]), len(forms[b][1]))
     want = smallest_reachable([(i, i) for i, _ in rows], near)
@@ -168,3 +176,16 @@ def test_empty_tables(spark):
     assert chosen_path_join.near_dedup(spark, empty).count() == 0
     assert substring_dedup.dedup_substrings(spark, empty).count() == 0
     assert fuzzy_lines.dedup_lines(spark, empty).count() == 0
+
+
+def test_components_of_chains_and_random_graphs(spark):
+    from lakequill.llm.common import Scratch, components
+
+    r = random.Random(9)
+    edges = [(i, i + 1) for i in range(1000, 1040)] + [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(5, 5), (2000, 1999), (2000, 1998)]
+    nodes = sorted({x for e in edges if e[0] != e[1] for x in e})
+    pairs = {frozenset(e) for e in edges}
+    want = smallest_reachable([(x, x) for x in nodes], lambda a, b: frozenset((a, b)) in pairs)
+    got = components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["id"]: r["component"] for r in got} == want and len(got) == len(want)
+    assert components(Scratch(spark, "t"), spark.createDataFrame([], "a long, b long")).count() == 0
