@@ -9,7 +9,7 @@ each tree finds a pair at the threshold with a chance of about 0.6 at depth 3; T
 * Nodes of at most NODE_LIMIT sets are compared exhaustively by 128-bit sketches.
 * Larger ones branch two levels deeper, all of them, whatever their number.
 * What is still large is a family of near copies: its sets are tried against the most typical one (a star), and after
-  the exact check only sets that have not joined the star's component are counted against all sets there,
+  the exact check only sets outside the family's main component are counted against all sets there,
   in blocks, of which only links come out.
 
 Candidates are confirmed on the full sets: first the best one of each set, twice, then every candidate
@@ -278,12 +278,13 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _family_links(families: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """Links (a, b) of sets that are in a family but not in its star's component, to anything in the family.
+    """Links (a, b) of sets that are in a family but not in its main component, to anything in the family.
 
-    One link of a set to each component is enough. None if there are no such sets.
+    One link of a set to each component is enough. None if there are no such sets. Families of one main component are taken together.
     """
-    members = _labelled(_labelled(families.select("doc", "pivot").distinct(), labels, "doc", "label"), labels, "pivot", "home")
-    members = scratch.write(members.select("home", "doc", "label").distinct(), "members")
+    rows = scratch.write(_labelled(families.select("node", "doc").distinct(), labels, "doc", "label"), "family-labels")
+    main = rows.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "label")).alias("m")).select("node", F.col("m.label").alias("home"))
+    members = scratch.write(rows.join(main, "node").select("home", "doc", "label").distinct(), "members")
     odd = members.where("label <> home")
     if odd.isEmpty():
         return None
