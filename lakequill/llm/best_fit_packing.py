@@ -8,7 +8,10 @@ length (by per-bucket counts, never by one task) and looks its place up in the p
 from __future__ import annotations
 
 import bisect
+import functools
+import itertools
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,9 +26,11 @@ from .common import Scratch, as_bytes, pick, slices, split_words
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker remembers; others are encoded each time they occur.
-ID_CACHE = 500_000
-#: Lower-case words without a mark whose ids a worker remembers beside.
-STEM_CACHE = 300_000
+ID_CACHE = 300_000
+#: Parts of words (runs of letters or marks) whose ids a worker remembers beside.
+STEM_CACHE = 600_000
+
+_PART = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 #: Rows of one bucket of the ranking step, about.
 BUCKET_ROWS = 20_000
 
@@ -35,7 +40,7 @@ class WordIds:
 
     The tokenizer normalises white space and case away before it splits, its split pattern never spans white space,
     and a letter and a mark after it are always parts of their own; so the ids of a text are those of its words in
-    order, and those of ``word,`` are those of ``word`` and of the comma. Words that are not remembered are
+    order, and those of ``word,`` are those of ``word`` and of the comma. Parts that are not remembered are
     encoded together, once for each slice of texts.
     """
 
@@ -64,28 +69,34 @@ class WordIds:
         data, edges = ids.tobytes(), [0, *(4 * cuts).tolist()]
         return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
+    def _parts(self, word: bytes) -> list[bytes]:
+        """Parts of a word that the tokenizer splits anyway, lower-case; what is not plain stays in one."""
+        if b"<" in word:  # may hold a special token, whose case counts
+            return [word]
+        low = word.lower()
+        if low.isascii():
+            return [low] if low.isalpha() or b"'" in low else _PART.findall(low)
+        if low[-1:] in self.marks and 97 <= low[-2] <= 122:
+            return [low[:-1], low[-1:]]
+        return [low]
+
     def _learn(self, new: list[bytes]) -> None:
-        forms = []
-        for word in new:
-            stem, mark = (word if b"<" in word else word.lower()), b""
-            if len(stem) > 1 and stem[-1:] in self.marks and 97 <= stem[-2] <= 122:
-                stem, mark = stem[:-1], stem[-1:]
-            forms.append((stem, mark))
+        split = list(map(self._parts, new))
         letters, others = [], []
-        for stem in {s for s, _ in forms}.difference(self.stems):
-            text = stem.decode("utf-8", "replace")
-            letters.append(text) if text.isalpha() and text.lower().isalpha() else others.append(stem)
+        for part in set(itertools.chain.from_iterable(split)).difference(self.stems):
+            text = part.decode("utf-8", "replace")
+            letters.append(text) if text.isalpha() and text.lower().isalpha() else others.append(part)
         fresh = dict(zip(others, self._encode(others), strict=True))
         for start in range(0, len(letters), 512):
-            part = letters[start : start + 512]
-            fresh.update(zip((w.encode() for w in part), self._encode_letters(part), strict=True))
-        if len(self.stems) < STEM_CACHE:
-            self.stems.update(fresh)
-        for word, (stem, mark) in zip(new, forms, strict=True):
-            ids = self.stems.get(stem)
-            if ids is None:
-                ids = fresh[stem]
-            self.known[word] = ids + self.marks[mark] if mark else ids
+            some = letters[start : start + 512]
+            fresh.update(zip((w.encode() for w in some), self._encode_letters(some), strict=True))
+        known, stems = self.known, self.stems
+        stems.update(fresh)
+        for word, parts in zip(new, split, strict=True):
+            known[word] = stems[parts[0]] if len(parts) == 1 else b"".join(map(stems.__getitem__, parts))
+        if len(stems) > STEM_CACHE:
+            for part in fresh:
+                del stems[part]
 
     def of(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         words = [split_words(text) for text in texts]
@@ -98,6 +109,12 @@ class WordIds:
             del self.known[word]
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, which Spark uses for many tasks."""
+    return WordIds(path)
+
+
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -108,7 +125,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for batch in slices(batches):
             rows: list[list] = [[], [], [], [], []]
             kept = []
