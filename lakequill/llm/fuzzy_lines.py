@@ -287,7 +287,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     lines = scratch.write(_line_rows(named), "lines")
     groups = line_groups(named, lines, scratch)
     grouped = lines.join(groups, "k", "left").select("doc", "line", F.coalesce("g", "k").alias("g"))
-    first = grouped.groupBy("g").agg(F.min("doc").alias("d0"), F.count("*").alias("n")).where("n > 1").select("g", "d0")
+    first = scratch.write(grouped.groupBy("g").agg(F.min("doc").alias("d0"), F.count("*").alias("n")).where("n > 1").select("g", "d0"), "firsts")
     hits = grouped.join(first, "g")
     own = hits.where("doc = d0")
     starts = own.groupBy("g").agg(F.min("line").alias("l0"), F.max("line").alias("l1")).where("l1 > l0").select("g", "l0")

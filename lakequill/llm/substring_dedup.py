@@ -137,9 +137,10 @@ LATER = "doc > d0 or (doc = d0 and at > a0)"
 def repeated_windows(spark: SparkSession, docs: DataFrame, scratch: Scratch, min_words: int, anchor_words: int) -> DataFrame:
     """(doc, runs): runs (start, many) of the windows of ``docs(doc_id, text)`` whose words also start earlier."""
     anchors = scratch.write(_anchor_rows(docs, min_words, anchor_words), "anchors")
-    shared = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Written first: a join of two plain exchanges can split a hot hash over tasks, one behind an aggregate cannot.
+    shared = scratch.write(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
     seeds = scratch.write(anchors.join(shared, "h").select("doc", "at"), "seeds")
-    scratch.drop(anchors)
+    scratch.drop(anchors, shared)
     del anchors, shared
     scratch.release()
     places = seeds.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("at").alias("ats"))  # at most the words of a document
@@ -147,17 +148,19 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, scratch: Scratch, min
     del places
     scratch.drop(seeds)
     scratch.release()
-    marked = blocks.join(_firsts(blocks.select("b", "doc", "at"), "b"), "b", "left").withColumn("again", F.coalesce(F.expr(LATER), F.lit(False)))
+    firsts = scratch.write(_firsts(blocks.select("b", "doc", "at"), "b"), "firsts")
+    marked = blocks.join(firsts, "b", "left").withColumn("again", F.coalesce(F.expr(LATER), F.lit(False)))
     marked = scratch.write(marked.select("doc", "at", "many", "again", F.when(~F.col("again"), F.col("ws")).alias("ws")), "marked")
-    scratch.drop(blocks)
-    del blocks
+    scratch.drop(blocks, firsts)
+    del blocks, firsts
     scratch.release()
     windows = scratch.write(_windows(marked.where("not again")), "windows")
-    single = windows.join(_firsts(windows, "w"), "w").where(LATER).select("doc", "at", F.lit(1).alias("many"))
+    firsts = scratch.write(_firsts(windows, "w"), "firsts")
+    single = windows.join(firsts, "w").where(LATER).select("doc", "at", F.lit(1).alias("many"))
     runs = marked.where("again").select("doc", "at", "many").unionByName(single)
     out = scratch.write(runs.groupBy("doc").agg(F.collect_list(F.struct("at", "many")).alias("runs")), "repeats")
-    scratch.drop(marked, windows)
-    del marked, windows, single, runs
+    scratch.drop(marked, windows, firsts)
+    del marked, windows, single, runs, firsts
     scratch.release()
     return out
 
