@@ -43,7 +43,7 @@ def _with_new_text(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of each group of nearly equal lines stays."""
-    return _with_new_text(docs, fuzzy_lines.dedup_lines(spark, docs, carry=True))
+    return _with_new_text(docs, fuzzy_lines.dedup_lines(spark, docs, carry=True, by_edits=True))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

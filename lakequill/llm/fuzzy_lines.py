@@ -8,6 +8,10 @@ The SimHash join is exact by the pigeonhole principle: with MAX_BITS errors over
 blocks are clean, so rows meet on each choice of that many blocks. Where more than NODE_LIMIT of them meet, the bits
 outside those blocks are cut into blocks anew; what is large even then is a family of variants, which are tried against
 one of them first, and then only those outside its component against all.
+
+An edit similarity of SIMILARITY moves far more bits than any choice of clean blocks can pay for (up to 18 of 64 on the test
+tables). With ``by_edits`` lines therefore also meet where BAND_MINIMA least hashes of their pairs of neighbouring words
+agree in one of BANDS bands; there SimHashes may differ in EDIT_BITS bits, and the edit similarity decides.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,14 @@ from .common import Scratch, Words, components, mix, rows_by_key, schema_with, s
 MAX_BITS = 3
 SIMILARITY = 0.8
 NODE_LIMIT = 64
+#: Bits that SimHashes of lines that meet in a band may differ in; those of unlike lines differ in 32 or so.
+EDIT_BITS = 22
+BANDS = 12
+BAND_MINIMA = 2
+#: Blocks of the SimHash that divide a band's large nodes.
+BAND_BLOCKS = 8
+#: Distinct lines a task remembers, so that it does not repeat their rows.
+SEEN_LINES = 1_000_000
 #: Distinct lines up to which keys of one clean block are selective enough, then of two, and so on.
 CLEAN_BLOCKS = ((4_000_000, 1), (100_000_000, 2), (10_000_000_000, 3))
 
@@ -67,6 +79,22 @@ def simhashes(forms: list[bytes]) -> np.ndarray:
     return np.packbits(2 * sums > lengths[:, None], axis=1).view(np.uint64).ravel()
 
 
+def band_keys(forms: list[bytes]) -> np.ndarray:
+    """BANDS keys of each form (each holds at least one word): least hashes of its pairs of words, both ends included."""
+    words = Words(forms)
+    left = np.insert(words.hashes, words.first[:-1], np.uint64(0))
+    pairs = mix(left * np.uint64(0x9E3779B97F4A7C15) + np.append(left[1:], np.uint64(0)))
+    first = words.first[:-1] + np.arange(len(forms))
+    salts = mix(np.arange(1, BANDS * BAND_MINIMA + 1, dtype=np.uint64))
+    keys = np.empty((len(forms), BANDS), np.uint64)
+    for band in range(BANDS):
+        keys[:, band] = band + 1
+        for salt in salts[band * BAND_MINIMA : (band + 1) * BAND_MINIMA]:
+            least = np.minimum.reduceat((pairs ^ salt) * np.uint64(0xBF58476D1CE4E5B9), first)
+            keys[:, band] = mix(keys[:, band] ^ least)
+    return keys
+
+
 def lines_of(text: bytes | None) -> list[str]:
     return (text or b"").decode("utf-8", "replace").split("\n")
 
@@ -136,8 +164,64 @@ def _deeper_rows(rows: DataFrame, clean: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, k long, sim long, choice int")
 
 
-def _small_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a < b) of nodes with at most NODE_LIMIT rows whose SimHashes are near."""
+def _band_rows(docs: DataFrame) -> DataFrame:
+    """The rows of all bands' nodes that more than one form has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for _, texts in text_chunks(batches):
+            forms: dict[int, bytes] = {}
+            for text in texts:
+                for line in lines_of(text):
+                    if line.strip():
+                        form = normal_form(line)
+                        if (key := xxhash.xxh3_64_intdigest(form)) not in seen:
+                            seen.add(key)
+                            forms[key] = form if form.split() else b"\xc2\xa0"
+            if forms:
+                filled = list(forms.values())
+                keys, sims, ks = band_keys(filled), simhashes(filled), np.fromiter(forms, np.uint64, len(forms))
+                for band in range(BANDS):
+                    arrays = [pa.array(signed(np.ascontiguousarray(keys[:, band]))), pa.array(signed(ks)), pa.array(signed(sims))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["node", "k", "sim"])
+            if len(seen) > SEEN_LINES:
+                seen.clear()
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = None, False  # the last row, and whether its node is shared
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            node, k = now.column("node").to_numpy(), now.column("k").to_numpy()
+            now = now.filter(pa.array(np.concatenate(([True], (node[1:] != node[:-1]) | (k[1:] != k[:-1])))))
+            node = now.column("node").to_numpy()
+            same = node[1:] == node[:-1]
+            keep = np.concatenate(([known], same)) | np.concatenate((same, [False]))
+            yield from now.slice(0, len(node) - 1).filter(pa.array(keep[:-1])).to_batches()
+            held, known = now.slice(len(node) - 1).combine_chunks().to_batches()[0], bool(keep[-1])
+        if known:
+            yield held
+
+    rows = docs.select("text").mapInArrow(run, "node long, k long, sim long")
+    return rows.repartition("node").sortWithinPartitions("node", "k").mapInArrow(shared, rows.schema)
+
+
+def _deeper_band_rows(rows: DataFrame) -> DataFrame:
+    """A node's rows again, one for each block of the SimHash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, sims = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy().view(np.uint64)
+            for part, (a, b) in enumerate(_cuts(64, BAND_BLOCKS)):
+                key = mix(mix(sims & np.uint64((1 << b) - (1 << a))) ^ node ^ np.uint64(part + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), batch.column(1), batch.column(2)], ["node", "k", "sim"])
+
+    return rows.mapInArrow(run, "node long, k long, sim long")
+
+
+def _small_pairs(rows: DataFrame, bits: int) -> DataFrame:
+    """Pairs (a < b) of nodes with at most NODE_LIMIT rows whose SimHashes differ in at most ``bits`` bits."""
 
     def handle(part: pa.Table) -> pa.RecordBatch | None:
         node, k, sim = (part.column(c).to_numpy() for c in ("node", "k", "sim"))
@@ -146,7 +230,7 @@ def _small_pairs(rows: DataFrame) -> DataFrame:
             i = np.flatnonzero(node[lag:] == node[:-lag]) if len(node) > lag else ()
             if not len(i):
                 break
-            i = i[(np.bitwise_count((sim[i] ^ sim[i + lag]).view(np.uint64)) <= MAX_BITS) & (k[i] != k[i + lag])]
+            i = i[(np.bitwise_count((sim[i] ^ sim[i + lag]).view(np.uint64)) <= bits) & (k[i] != k[i + lag])]
             if len(i):
                 found.append(np.stack((np.minimum(k[i], k[i + lag]), np.maximum(k[i], k[i + lag]))))
         if not found:
@@ -157,27 +241,39 @@ def _small_pairs(rows: DataFrame) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(lambda it: rows_by_key(it, "node", handle), "a long, b long")
 
 
-def near_pairs(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of ``nodes(k, sim)``, and the members (node, k, sim, pivot) of families."""
-    count = nodes.count()
-    clean = next((c for most, c in CLEAN_BLOCKS if count <= most), 4)
-    pairs, rows = [], _node_rows(nodes, clean)
+def _met(rows: DataFrame, deeper: Callable[[DataFrame], DataFrame], bits: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
+    """Candidate pairs of the nodes ``rows(node, k, sim, ...)``, and the members (node, k, sim, pivot, bits) of families."""
+    columns, pairs = rows.columns, []
     for last in (False, True):
         rows = scratch.write(rows, "nodes")
         large = scratch.write(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("k").alias("pivot")).where(f"n > {NODE_LIMIT}").select("node", "pivot"), "large")
-        pairs.append(scratch.write(_small_pairs(rows.join(large, "node", "left_anti")).distinct(), "pairs"))
+        pairs.append(scratch.write(_small_pairs(rows.join(large, "node", "left_anti"), bits).distinct(), "pairs"))
         left = rows.join(large, "node")
         if last or large.isEmpty():
             break
-        rows = _deeper_rows(left.select("node", "k", "sim", "choice"), clean)
-    left = scratch.write(left.select("node", "k", "sim", "pivot"), "families")
+        rows = deeper(left.select(columns))
+    left = scratch.write(left.select("node", "k", "sim", "pivot", F.lit(bits).alias("bits")), "families")
     pivots = left.where("k = pivot").dropDuplicates(["node"]).select("node", F.col("sim").alias("psim"))
-    star = left.join(pivots, "node").where(f"bit_count(sim ^ psim) <= {MAX_BITS} and k <> pivot")
+    star = left.join(pivots, "node").where("bit_count(sim ^ psim) <= bits and k <> pivot")
     pairs.append(star.select(F.col("pivot").alias("a"), F.col("k").alias("b")).distinct())
+    return pairs, left
+
+
+def near_pairs(nodes: DataFrame, scratch: Scratch, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of ``nodes(k, sim)``, and the members (node, k, sim, pivot, bits) of families.
+
+    With ``docs`` their lines meet in bands as well.
+    """
+    count = nodes.count()
+    clean = next((c for most, c in CLEAN_BLOCKS if count <= most), 4)
+    pairs, families = _met(_node_rows(nodes, clean), lambda rows: _deeper_rows(rows, clean), MAX_BITS, scratch)
+    if docs is not None:
+        more, others = _met(_band_rows(docs), _deeper_band_rows, EDIT_BITS, scratch)
+        pairs, families = pairs + more, families.unionByName(others)
     out = pairs[0]
     for more in pairs[1:]:
         out = out.unionByName(more)
-    return scratch.write(out.distinct(), "candidates"), left
+    return scratch.write(out.distinct(), "candidates"), families
 
 
 def edit_distance(x: str, y: str) -> int:
@@ -248,10 +344,10 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> Dat
     return rows.join(named, column, "left").withColumn(name, F.coalesce("__c", column)).drop("__c")
 
 
-def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, by_edits: bool) -> DataFrame:
     """(k, g) of every normal form that is joined with another; ``lines`` as made by ``_line_rows``."""
     nodes = scratch.write(lines.groupBy("k").agg(F.min("sim").alias("sim"), F.min("doc").alias("doc")), "forms")
-    pairs, families = near_pairs(nodes.select("k", "sim"), scratch)
+    pairs, families = near_pairs(nodes.select("k", "sim"), scratch, docs if by_edits else None)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k"))
     if not families.isEmpty():
         wanted = wanted.unionByName(families.select("k"))
@@ -264,7 +360,7 @@ def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFram
     rest = _labelled(_labelled(pairs, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
     members = _labelled(_labelled(families, labels, "k", "label"), labels, "pivot", "home")
     across = (
-        members.where("label <> home").alias("x").join(members.alias("y"), "node").where(F.expr(f"x.label <> y.label and bit_count(x.sim ^ y.sim) <= {MAX_BITS}"))
+        members.where("label <> home").alias("x").join(members.alias("y"), "node").where(F.expr("x.label <> y.label and bit_count(x.sim ^ y.sim) <= x.bits"))
         .select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"))
     )
     more = scratch.write(confirm(rest.unionByName(across).distinct(), forms), "links")
@@ -273,10 +369,11 @@ def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFram
     return labels.select(F.col("id").alias("k"), F.col("component").alias("g"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, by_edits: bool = False) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, kept_sha256 and ``text`` without the removed lines.
 
-    With ``carry`` a last column ``rest`` is a struct of all other input columns.
+    With ``carry`` a last column ``rest`` is a struct of all other input columns. Without ``by_edits`` only lines within
+    MAX_BITS bits are linked; with it, so are lines of SIMILARITY that differ in more.
 
     Blank lines are no occurrences and stay. Null texts have no lines and stay null. Rows without an id take no part and stay
     whole; rows of one id are one document, so a repeated row loses nothing to its double. Empty tables give empty results.
@@ -285,7 +382,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     docs = with_rest(docs, id_col, text_col, carry)
     named = docs.where("doc_id is not null")
     lines = scratch.write(_line_rows(named), "lines")
-    groups = line_groups(named, lines, scratch)
+    groups = line_groups(named, lines, scratch, by_edits)
     grouped = lines.join(groups, "k", "left").select("doc", "line", F.coalesce("g", "k").alias("g"))
     first = scratch.write(grouped.groupBy("g").agg(F.min("doc").alias("d0"), F.count("*").alias("n")).where("n > 1").select("g", "d0"), "firsts")
     hits = grouped.join(first, "g")

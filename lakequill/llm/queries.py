@@ -37,7 +37,7 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines.dedup_lines(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+    return fuzzy_lines.dedup_lines(spark, table(spark, sf_dir, "documents"), by_edits=True).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,6 +171,37 @@ def test_line_families_and_edit_distance(spark):
         assert fuzzy_lines.edit_distance(a, b) == slow(a, b)
 
 
+def test_lines_are_linked_by_edit_similarity_alone(spark):
+    """What the query links is all pairs of the similarity, whatever bits of the SimHash an edit moves."""
+    from lakequill.llm import queries
+
+    rows = []
+    for i in range(40):
+        base = prose(1000 + i, 6 + i % 50).split()
+        other = list(base)
+        other[len(other) // 2] = "zz"
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(other)), (3 * i + 2, f"{' '.join(base)} end")]
+    family = prose(77, 40)
+    rows += [(1000 + i, edited(family, i, 0.06)) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    forms = [(i, fuzzy_lines.normal_form(t).decode()) for i, t in rows]
+
+    def near(a, b):
+        long = max(len(a[1]), len(b[1]))
+        return 5 * abs(len(a[1]) - len(b[1])) <= long and 5 * fuzzy_lines.edit_distance(a[1], b[1]) <= long
+
+    groups = smallest_reachable([(i, (i, f)) for i, f in forms], near)
+    want = {i for i, _ in rows if groups[i] == i}
+    table = queries.table
+    queries.table = lambda *_: df
+    try:
+        got = {r["doc_id"] for r in queries.op5_fuzzy_line_dedup(spark, "").collect() if r["n_removed"] == 0}
+    finally:
+        queries.table = table
+    assert want <= got and len(got - want) <= 2
+    assert {r["doc_id"] for r in fuzzy_lines.dedup_lines(spark, df).collect() if r["n_removed"] == 0} > got
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert chosen_path_join.near_dedup(spark, empty).count() == 0
