@@ -192,6 +192,26 @@ def test_wrappers_resolve_differences():
     assert xxhash.xxh3_64_hexdigest("Site name") in fixed and xxhash.xxh3_64_hexdigest("Imprint") in fixed and xxhash.xxh3_64_hexdigest("A") not in fixed
 
 
+def test_every_page_counts_in_a_large_wrapper():
+    import random
+
+    import xxhash
+
+    def folded(middle):
+        page = f"<html><body><div>Site name</div>{middle}<div>Imprint</div></body></html>"
+        return wrapper_inference.fold_repeats(wrapper_inference.stream(tokens(page)))
+
+    def varied(seed):
+        r = random.Random(seed)
+        return "".join(f"<{t}>Text {seed} {i}</{t}>" for i, t in enumerate(r.choices(("h2", "h3", "p", "pre", "div", "address"), k=300)))
+
+    w, n = None, 0
+    for seed in (1, 2, 3):
+        w, n = wrapper_inference.infer(w, n, folded(varied(seed)))
+    assert n == 3
+    assert wrapper_inference.constants(w) == {xxhash.xxh3_64_hexdigest(t) for t in ("Site name", "Imprint")}
+
+
 def test_pages_without_an_article_lose_template_texts(spark):
     html = "<html><body><div>Site name</div><div><p>Story {0} begins</p><p>and ends {0}</p></div><div>All rights</div></body></html>"
     rows = [(i, f"http://h.example/{i}", html.format(f"n{i}")) for i in range(4)] + [(9, None, None), (10, "http://other.example/", "<p>alone</p>")]
