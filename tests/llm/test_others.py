@@ -221,6 +221,13 @@ def test_pages_without_an_article_lose_template_texts(spark):
     assert wrapper_inference.extract_main_text(spark, df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    html = "<html><body><div>Site name</div><h1>Title</h1><p>Alone</p></body></html>"
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", html) for i in range(5)], "page_id long, url string, html string")
+    got = {r["text"] for r in wrapper_inference.extract_main_text(spark, df).collect()}
+    assert got == {"Site name\nTitle\nAlone"}
+
+
 def test_pages_of_the_test_data(spark):
     import html as H
 
