@@ -158,6 +158,19 @@ def test_pieces_equal_the_library_and_round_trip(spark, piece_model):
     assert all(back[i] == (t or "").replace("▁", " ") for i, t in enumerate(texts))
 
 
+def test_the_query_decodes_what_it_encoded(spark, piece_model, monkeypatch):
+    import hashlib
+
+    from lakequill.llm import queries
+
+    texts = ["Hello  world x\n\ny\t z 日本語 🙂 é ▁a", "", None, "a" * 60 + " trailing ", "   ", " lead"]
+    df = frame(spark, list(enumerate(texts)))
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    got = {r["doc_id"]: r for r in queries.op6_sentencepiece(spark, "").collect()}
+    assert len(got) == len(texts) and all(r["round_trip"] for r in got.values())
+    assert all(got[i]["decoded_sha256"] == hashlib.sha256((t or "").replace("▁", " ").encode()).hexdigest() for i, t in enumerate(texts))
+
+
 def test_viterbi_fold_equals_plain_viterbi(spark):
     pieces = {p: (i, s) for i, (p, s) in enumerate([("a", -2.0), ("b", -2.5), ("ab", -3.0), ("abc", -3.2), ("c", -2.0), ("bc", -3.9), ("▁", -1.0), ("▁a", -2.2)])}
     model = piece_lattice.Model("unigram", pieces, [], 99, {}, True, frozenset())
