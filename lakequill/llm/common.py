@@ -7,9 +7,11 @@ costs more than the current step; a private folder is used only where that setti
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -54,20 +56,41 @@ class Scratch:
         if not base:
             base = _local_base(spark)
         self.root = f"{base.rstrip('/')}/lakequill-{label}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self._forget)
+        self._written: list[str] = []
+        _open.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a reader of the copy; the lineage ends here."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:6]}"
         schema = df.schema
         df.write.parquet(path)
+        self._written.append(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete written tables that no later step reads."""
-        for frame in frames:
-            for path in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-                self._delete(path)
+        read = _paths(frames)
+        for path in [p for p in self._written if _bare(p) in read]:
+            self._written.remove(path)
+            self._delete(path)
+
+    def only(self, *frames: DataFrame) -> None:
+        """Delete all written tables but those that ``frames`` read."""
+        read = _paths(frames)
+        for path in [p for p in self._written if _bare(p) not in read]:
+            self._written.remove(path)
+            self._delete(path)
+        self.release()
+
+    def close(self) -> None:
+        """Delete all that was written; frames that read it are void."""
+        if self in _open:
+            _open.remove(self)
+        self._written.clear()
+        self._delete(self.root)
+
+    def read_by(self, frame: DataFrame) -> bool:
+        return any(p.startswith(_bare(self.root) + "/") for p in _paths([frame]))
 
     def release(self) -> None:
         """Let Spark remove shuffle files of steps that are over."""
@@ -81,18 +104,41 @@ class Scratch:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
 
-    def _forget(self) -> None:
+
+#: Scratch folders in use, oldest first.
+_open: list[Scratch] = []
+
+
+def opened() -> tuple[Scratch, ...]:
+    return tuple(_open)
+
+
+@atexit.register
+def _forget_all() -> None:
+    for scratch in opened():
         try:
-            self._delete(self.root)
+            scratch.close()
         except Exception:  # noqa: BLE001  the session has ended before this process
-            pass
+            return
+
+
+def _bare(path: str) -> str:
+    """A path without scheme and authority."""
+    return re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?", "", path)
+
+
+def _paths(frames) -> set[str]:
+    """Folders of the files that frames read."""
+    return {_bare(unquote(f.rsplit("/", 1)[0])) for frame in frames for f in frame.inputFiles()}
 
 
 def _local_base(spark: SparkSession) -> str:
-    """Own folder, for sessions whose cluster names none (tests, local mode)."""
+    """Own folder, for sessions of one machine that name none (tests, local mode)."""
     have = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if have:
         return have
+    if not (spark.sparkContext.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     base = tempfile.mkdtemp(prefix="lakequill-")
     spark.sparkContext.setCheckpointDir(base)
     return base
@@ -105,7 +151,7 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
         size = max(n, CHUNK_BYTES + 4096)
@@ -147,7 +193,7 @@ class Words:
         gap[1:-1] = self._space[buf]
         turns = np.diff(gap)
         self.starts, self.ends = np.flatnonzero(turns == -1), np.flatnonzero(turns == 1)
-        up, down = _power_tables(len(buf) + 1)
+        up, down = power_tables(len(buf) + 1)
         sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(Words._codes[fold_case][buf] * up[: len(buf)], out=sums[1:])
         raw = (sums[self.ends] - sums[self.starts]) * down[self.starts]
@@ -172,12 +218,12 @@ class Words:
 
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Cut batches so that each part holds about CHUNK_BYTES of text, or a single longer text."""
-    for batch in batches:
+    for batch in slices(batches):
         texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
         start = size = 0
         for i, value in enumerate(texts):
             size += len(value or b"") + 1
-            if size >= CHUNK_BYTES or i - start >= 4096:
+            if size >= CHUNK_BYTES:
                 yield batch.slice(start, i + 1 - start), texts[start : i + 1]
                 start, size = i + 1, 0
         if start < len(texts):
@@ -263,8 +309,10 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 40) -> Data
         if crooked.isEmpty():
             break
         both = written.unionByName(written.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        # Written, so that the join deals both sides anew and adaptive execution can split the edges of a hub.
+        low = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = low
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u")
@@ -274,7 +322,7 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 40) -> Data
             .distinct()
         )
         after = scratch.write(small, "edges")
-        scratch.drop(written)
+        scratch.drop(written, least)
         written = after
     else:
         raise RuntimeError("components did not settle")

@@ -1,17 +1,21 @@
 """Fuzzy line dedup: of each group of nearly equal lines in the corpus, one occurrence stays.
 
-Lines are normalised (case, digits, marks and white space), equal normal forms are one node. Nodes are joined
-where their 64-bit SimHashes differ in at most MAX_BITS bits and the edit similarity of the normal forms is at least
-SIMILARITY; of each connected group the first line (least document id, then line number) is kept.
-
-The SimHash join is exact by the pigeonhole principle: with MAX_BITS errors over m blocks some m - MAX_BITS
-blocks are clean, so rows meet on each choice of that many blocks. Where more than NODE_LIMIT of them meet, the bits
-outside those blocks are cut into blocks anew; what is large even then is a family of variants, which are tried against
-one of them first, and then only those outside its component against all.
-
-An edit similarity of SIMILARITY moves far more bits than any choice of clean blocks can pay for (up to 18 of 64 on the test
-tables). With ``by_edits`` lines therefore also meet where BAND_MINIMA least hashes of their pairs of neighbouring words
-agree in one of BANDS bands; there SimHashes may differ in EDIT_BITS bits, and the edit similarity decides.
+Lines are normalised (case, digits, marks and white space), equal normal forms are one node. Nodes are linked
+where the edit similarity of the normal forms is at least SIMILARITY; of each connected group the first
+line (least document id, then line number) is kept.
+
+Candidates meet in two kinds of keys:
+
+* blocks of the 64-bit SimHash. Those within MAX_BITS bits meet for sure, by the pigeonhole principle: with MAX_BITS errors
+  over m blocks some m - MAX_BITS blocks are clean, so rows meet on each choice of that many blocks.
+* bands. An edit similarity of SIMILARITY moves far more bits than clean blocks can pay for, so lines also meet where
+  BAND_MINIMA least hashes of their pairs of neighbouring words agree in one of BANDS bands; there SimHashes may
+  differ in EDIT_BITS bits. This is not exact: edits in most words of a line are missed.
+
+Only a line's nearest partner of each key is tried at first. Then the lines of a key that are not in one
+component yet are brought together with their texts, and every two of different components are tried there: links come
+out, never all pairs. A key of more than NODE_LIMIT lines is a star around one line at first; what does not hang on
+it is then compared with all, in blocks.
 """
 
 from __future__ import annotations
@@ -19,7 +23,9 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,35 +33,45 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, components, mix, rows_by_key, schema_with, signed, text_chunks, with_rest
+from .common import Scratch, Words, components, mix, power_tables, schema_with, signed, text_chunks, with_rest
 
 MAX_BITS = 3
 SIMILARITY = 0.8
-NODE_LIMIT = 64
-#: Bits that SimHashes of lines that meet in a band may differ in; those of unlike lines differ in 32 or so.
-EDIT_BITS = 22
-BANDS = 12
+#: Lines of one key that a task compares at once.
+NODE_LIMIT = 2048
+#: (characters of the longer line up to which, bits that SimHashes of lines that meet in a band may differ in); those of unlike lines differ in 32 or so.
+EDIT_BITS = ((160, 20), (480, 16), (1 << 62, 13))
+BANDS = 10
 BAND_MINIMA = 2
-#: Blocks of the SimHash that divide a band's large nodes.
-BAND_BLOCKS = 8
+#: Lines whose keys a task looks through for those that are frequent there.
+KEY_ROWS = 1 << 16
 #: Distinct lines a task remembers, so that it does not repeat their rows.
 SEEN_LINES = 1_000_000
 #: Distinct lines up to which keys of one clean block are selective enough, then of two, and so on.
 CLEAN_BLOCKS = ((4_000_000, 1), (100_000_000, 2), (10_000_000_000, 3))
 
-_MARKS = re.compile(r"[\W_]+")
-_DIGITS = re.compile(r"\d")
-#: Marks and digits beyond ASCII, which the table below does not know.
-_FOREIGN = re.compile(r"[^\w\x00-\x7f]|[^\D\x00-\x7f]")
-_ASCII = bytes(48 if 48 <= b < 58 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+#: Marks and digits beyond ASCII, which the tables below do not know.
+_FOREIGN_MARKS = re.compile(r"[^\w\x00-\x7f]+")
+_FOREIGN_DIGIT = re.compile(r"[^\D\x00-\x7f]")
+_ASCII = bytes(10 if b == 10 else 48 if 48 <= b < 58 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+_ASCII_LOWER = bytes(ord(chr(b).lower()) if b < 128 else b for b in _ASCII)
+
+
+def normal_text(text: bytes | None) -> bytes:
+    """Lower case, digits as 0, marks as spaces; line feeds stay."""
+    text = text or b""
+    if text.isascii():
+        return text.translate(_ASCII_LOWER)
+    low = _FOREIGN_MARKS.sub(" ", text.decode("utf-8", "replace").lower())
+    if _FOREIGN_DIGIT.search(low):
+        low = _FOREIGN_DIGIT.sub("0", low)
+    return low.encode("utf-8", "replace").translate(_ASCII)
 
 
 def normal_form(line: str) -> bytes:
-    """Lower case, digits as 0, marks and white space as one space; a line of marks only stays as it is. UTF-8."""
-    low = line.lower()
-    if not low.isascii() and _FOREIGN.search(low):
-        low = _MARKS.sub(" ", _DIGITS.sub("0", low))
-    return b" ".join(low.encode("utf-8", "replace").translate(_ASCII).split()) or line.strip().encode("utf-8", "replace")
+    """The words of a line's normal text, joined by one space; a line of marks only stays as it is. UTF-8."""
+    raw = line.encode("utf-8", "replace")
+    return b" ".join(normal_text(raw).split()) or line.strip().encode("utf-8", "replace")
 
 
 def _lanes() -> np.ndarray:
@@ -67,31 +83,35 @@ def _lanes() -> np.ndarray:
 _LANES = _lanes()
 
 
-def simhashes(forms: list[bytes]) -> np.ndarray:
-    """64-bit SimHash over the words of each form (each holds at least one)."""
-    words = Words(forms)
-    lengths, first = np.diff(words.first), words.first[:-1]
-    columns = words.hashes.view(np.uint8).reshape(-1, 8)
+def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each run of ``hashes`` that starts at ``first`` (none is empty)."""
+    if not len(first):
+        return np.empty(0, np.uint64)
+    lengths = np.diff(np.append(first, len(hashes)))
+    columns = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)
     # Eight counters of one byte in a word count up to 255; longer forms are counted bit by bit.
     sums = np.concatenate([np.add.reduceat(_LANES[columns[:, j]], first).view(np.uint8).reshape(-1, 8) for j in range(8)], axis=1).astype(np.int64)
     for i in np.flatnonzero(lengths > 255):
-        sums[i] = np.unpackbits(columns[words.first[i] : words.first[i + 1]], axis=1).sum(axis=0, dtype=np.int64)
+        sums[i] = np.unpackbits(columns[first[i] : first[i] + lengths[i]], axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * sums > lengths[:, None], axis=1).view(np.uint64).ravel()
 
 
-def band_keys(forms: list[bytes]) -> np.ndarray:
-    """BANDS keys of each form (each holds at least one word): least hashes of its pairs of words, both ends included."""
-    words = Words(forms)
-    left = np.insert(words.hashes, words.first[:-1], np.uint64(0))
-    pairs = mix(left * np.uint64(0x9E3779B97F4A7C15) + np.append(left[1:], np.uint64(0)))
-    first = words.first[:-1] + np.arange(len(forms))
-    salts = mix(np.arange(1, BANDS * BAND_MINIMA + 1, dtype=np.uint64))
-    keys = np.empty((len(forms), BANDS), np.uint64)
+_SALTS = (mix(np.arange(1, BANDS * BAND_MINIMA + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+
+def bands(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """BANDS keys of each run: least hashes of its pairs of words, both ends included."""
+    if not len(first):
+        return np.empty((0, BANDS), np.uint64)
+    left = np.insert(hashes, first, np.uint64(0))
+    pairs = (mix(left * np.uint64(0x9E3779B97F4A7C15) + np.append(left[1:], np.uint64(0))) >> np.uint64(32)).astype(np.uint32)
+    starts = first + np.arange(len(first))
+    keys = np.empty((len(first), BANDS), np.uint64)
     for band in range(BANDS):
-        keys[:, band] = band + 1
-        for salt in salts[band * BAND_MINIMA : (band + 1) * BAND_MINIMA]:
-            least = np.minimum.reduceat((pairs ^ salt) * np.uint64(0xBF58476D1CE4E5B9), first)
-            keys[:, band] = mix(keys[:, band] ^ least)
+        key = np.full(len(first), band + 1, np.uint64)
+        for salt in _SALTS[band * BAND_MINIMA : (band + 1) * BAND_MINIMA]:
+            key = mix(key ^ np.minimum.reduceat((pairs ^ salt) * np.uint32(0x2C1B3C6D), starts).astype(np.uint64))
+        keys[:, band] = key
     return keys
 
 
@@ -99,25 +119,84 @@ def lines_of(text: bytes | None) -> list[str]:
     return (text or b"").decode("utf-8", "replace").split("\n")
 
 
+class Lines:
+    """The lines of some texts that are not blank: text and number of each, ``keys`` (hash of the normal form), ``size`` in characters."""
+
+    def __init__(self, texts: list[bytes | None]):
+        self.words = words = Words([normal_text(t) for t in texts])
+        feeds = np.flatnonzero(words.buffer == 10)
+        begins = np.concatenate(([0], feeds + 1))
+        first = np.searchsorted(words.starts, begins)
+        counts = np.diff(np.append(first, len(words.starts)))
+        owner = np.searchsorted(words.at, begins, "right") - 1
+        inside = owner < len(texts)
+        begins, first, counts, owner = begins[inside], first[inside], counts[inside], owner[inside]
+        number = np.arange(len(begins)) - np.searchsorted(begins, words.at[owner])
+        up, down = power_tables(len(words.hashes) + 1)
+        sums = np.zeros(len(words.hashes) + 1, np.uint64)
+        np.cumsum(words.hashes * up[: len(words.hashes)], out=sums[1:])
+        points = np.concatenate(([0], np.cumsum(words.code_points())))
+        # Lines of marks only have no words here: each is one word of its own.
+        bare = np.flatnonzero((counts == 0) & (np.diff(np.append(begins, len(words.buffer) + 1)) > 1))
+        marks: list[tuple[int, bytes]] = []
+        split: tuple[int, list[str]] = (-1, [])
+        for i in bare.tolist():
+            if split[0] != owner[i]:
+                split = (int(owner[i]), lines_of(texts[owner[i]]))
+            if form := split[1][number[i]].strip():
+                marks.append((i, form.encode("utf-8", "replace")))
+        full = np.flatnonzero(counts > 0)
+        a, b = first[full], first[full] + counts[full]
+        keys = mix((sums[b] - sums[a]) * down[a] ^ counts[full].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        size = points[b] - points[a] + counts[full] - 1
+        lone = np.fromiter((xxhash.xxh3_64_intdigest(f) for _, f in marks), np.uint64, len(marks))
+        self.first, self.counts = np.append(a, np.zeros(len(marks), a.dtype)), np.append(counts[full], np.zeros(len(marks), counts.dtype))
+        at = np.append(full, np.fromiter((i for i, _ in marks), np.int64, len(marks))).astype(np.int64)
+        self.owner, self.number = owner[at], number[at]
+        self.keys = np.append(keys, lone)
+        self.size = np.append(size, np.fromiter((len(f.decode()) for _, f in marks), np.int64, len(marks))).astype(np.int64)
+
+    def hashes(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word hashes of the lines ``rows`` one after the other, and where each starts."""
+        many = np.maximum(self.counts[rows], 1)
+        starts = np.concatenate(([0], np.cumsum(many)[:-1])).astype(np.int64)
+        at = np.repeat(self.first[rows] - starts, many) + np.arange(int(many.sum()))
+        empty = self.counts[rows] == 0
+        out = self.words.hashes[np.minimum(at, max(0, len(self.words.hashes) - 1))] if len(self.words.hashes) else np.zeros(len(at), np.uint64)
+        out[starts[empty]] = self.keys[rows[empty]]
+        return out, starts
+
+
 def _line_rows(docs: DataFrame) -> DataFrame:
-    """doc, line, k (hash of the normal form), sim for every line that is not blank."""
+    """doc, line, k (hash of the normal form) of every line that is not blank; of a task's first line of each k also sim, size and its bands' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch, texts in text_chunks(batches):
-            owners, numbers, forms = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                for number, line in enumerate(lines_of(text)):
-                    if line.strip():
-                        owners.append(doc)
-                        numbers.append(number)
-                        forms.append(normal_form(line))
-            if forms:
-                filled = [f if f.split() else b"\xc2\xa0" for f in forms]
-                keys = np.fromiter(map(xxhash.xxh3_64_intdigest, forms), np.uint64, len(forms))
-                arrays = [pa.array(owners, pa.int64()), pa.array(numbers, pa.int32()), pa.array(signed(keys)), pa.array(signed(simhashes(filled)))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc", "line", "k", "sim"])
+            lines = Lines(texts)
+            if not len(lines.keys):
+                continue
+            _, where = np.unique(lines.keys, return_index=True)
+            new = np.array([i for i, key in zip(where.tolist(), lines.keys[where].tolist(), strict=True) if key not in seen], np.int64)
+            seen.update(lines.keys[new].tolist())
+            if len(seen) > SEEN_LINES:
+                seen.clear()
+            new.sort()
+            hashes, first = lines.hashes(new)
+            sims = np.zeros(len(lines.keys), np.uint64)
+            sims[new] = simhash(hashes, first)
+            data = bands(hashes, first)
+            width = np.zeros(len(lines.keys) + 1, np.int32)
+            width[new + 1] = 8 * BANDS
+            keys = pa.Array.from_buffers(pa.binary(), len(lines.keys), [None, pa.py_buffer(np.cumsum(width, dtype=np.int32)), pa.py_buffer(data.tobytes())])
+            docs_ = batch.column(0).to_numpy(zero_copy_only=False)[lines.owner]
+            arrays = [pa.array(docs_, pa.int64()), pa.array(lines.number, pa.int32()), pa.array(signed(lines.keys)), pa.array(signed(sims)), pa.array(lines.size, pa.int64()), keys]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc", "line", "k", "sim", "size", "bands"])
 
-    return docs.mapInArrow(run, "doc long, line int, k long, sim long")
+    return docs.mapInArrow(run, "doc long, line int, k long, sim long, size long, bands binary")
+
+
+# --- keys and what meets in them ---------------------------------------------------------------------------------
 
 
 def _cuts(width: int, blocks: int) -> list[tuple[int, int]]:
@@ -125,176 +204,191 @@ def _cuts(width: int, blocks: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def _keys(sims: np.ndarray, clean: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(choice, key) for each choice of ``clean`` out of MAX_BITS + clean blocks."""
+def block_keys(sims: np.ndarray, clean: int) -> Iterator[np.ndarray]:
+    """A key for each choice of ``clean`` out of MAX_BITS + clean blocks."""
     cuts = _cuts(64, MAX_BITS + clean)
     for n, choice in enumerate(itertools.combinations(cuts, clean)):
         mask = sum(((1 << (b - a)) - 1) << a for a, b in choice)
-        yield n, mix(mix(sims & np.uint64(mask)) ^ np.uint64(n + 1))
+        yield mix(mix(sims & np.uint64(mask)) ^ np.uint64(n + 1))
 
 
-def _node_rows(nodes: DataFrame, clean: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sims = batch.column(1).to_numpy().view(np.uint64)
-            for n, key in _keys(sims, clean):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), batch.column(0), batch.column(1), pa.array(np.full(len(key), n, np.int32))], ["node", "k", "sim", "choice"])
-
-    return nodes.mapInArrow(run, "node long, k long, sim long, choice int")
+#: Kinds of rows of a key: an ordinary one, one of a key that is frequent in its task (dealt by line), and the word that there are such.
+PLAIN, DEALT, WORD = 0, 1, 2
 
 
-def _deeper_rows(rows: DataFrame, clean: int) -> DataFrame:
-    """The bits outside a node's blocks, again in MAX_BITS + 1 blocks of which one is clean."""
-    choices = list(itertools.combinations(_cuts(64, MAX_BITS + clean), clean))
+def _key_rows(forms: DataFrame, clean: int) -> DataFrame:
+    """Rows (part, node, k, sim, size, kind) of ``forms(k, sim, size, bands)``; keys of bands are odd, those of blocks even."""
+    schema = pa.schema([(c, pa.int64()) for c in ("part", "node", "k", "sim", "size")] + [("kind", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, sims = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy().view(np.uint64)
-            choice = batch.column(3).to_numpy()
-            for part in range(MAX_BITS + 1):
-                key = np.empty(len(node), np.uint64)
-                for n in np.unique(choice):
-                    rest = [bit for bit in range(64) if not any(a <= bit < b for a, b in choices[n])]
-                    a, b = _cuts(len(rest), MAX_BITS + 1)[part]
-                    mask = sum(1 << bit for bit in rest[a:b])
-                    at = choice == n
-                    key[at] = mix(mix(sims[at] & np.uint64(mask)) ^ node[at] ^ np.uint64(part + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), batch.column(1), batch.column(2), batch.column(3)], ["node", "k", "sim", "choice"])
-
-    return rows.mapInArrow(run, "node long, k long, sim long, choice int")
-
-
-def _band_rows(docs: DataFrame) -> DataFrame:
-    """The rows of all bands' nodes that more than one form has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, texts in text_chunks(batches):
-            forms: dict[int, bytes] = {}
-            for text in texts:
-                for line in lines_of(text):
-                    if line.strip():
-                        form = normal_form(line)
-                        if (key := xxhash.xxh3_64_intdigest(form)) not in seen:
-                            seen.add(key)
-                            forms[key] = form if form.split() else b"\xc2\xa0"
-            if forms:
-                filled = list(forms.values())
-                keys, sims, ks = band_keys(filled), simhashes(filled), np.fromiter(forms, np.uint64, len(forms))
-                for band in range(BANDS):
-                    arrays = [pa.array(signed(np.ascontiguousarray(keys[:, band]))), pa.array(signed(ks)), pa.array(signed(sims))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["node", "k", "sim"])
-            if len(seen) > SEEN_LINES:
-                seen.clear()
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known = None, False  # the last row, and whether its node is shared
-        for batch in batches:
-            if not batch.num_rows:
+        def whole() -> Iterator[pa.Table]:
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= KEY_ROWS:
+                    yield pa.Table.from_batches(held)
+                    held = []
+            if held:
+                yield pa.Table.from_batches(held)
+
+        for rows in whole():
+            if not rows.num_rows:
                 continue
-            now = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            node, k = now.column("node").to_numpy(), now.column("k").to_numpy()
-            now = now.filter(pa.array(np.concatenate(([True], (node[1:] != node[:-1]) | (k[1:] != k[:-1])))))
-            node = now.column("node").to_numpy()
-            same = node[1:] == node[:-1]
-            keep = np.concatenate(([known], same)) | np.concatenate((same, [False]))
-            yield from now.slice(0, len(node) - 1).filter(pa.array(keep[:-1])).to_batches()
-            held, known = now.slice(len(node) - 1).combine_chunks().to_batches()[0], bool(keep[-1])
-        if known:
-            yield held
+            k, at = np.unique(rows.column("k").to_numpy(), return_index=True)
+            sim, size = (rows.column(c).to_numpy()[at] for c in ("sim", "size"))
+            data = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.uint64).reshape(-1, BANDS)[at]
+            columns = [key & ~np.uint64(1) for key in block_keys(sim.view(np.uint64), clean)] + [data[:, band] | np.uint64(1) for band in range(BANDS)]
+            least = max(64, len(k) // 128)
+            for node in columns:
+                found, which, many = np.unique(node, return_inverse=True, return_counts=True)
+                often = many[which] > least
+                part = np.where(often, mix(k.view(np.uint64)), node)
+                arrays = [signed(part), signed(node), k, sim, size, often.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=schema)
+                if len(words := found[many > least]):
+                    none = np.zeros(len(words), np.int64)
+                    arrays = [signed(words), signed(words), none, none, none, np.full(len(words), WORD, np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=schema)
+
+    return forms.mapInArrow(run, "part long, node long, k long, sim long, size long, kind int")
+
+
+_SIZES, _BITS = np.array([s for s, _ in EDIT_BITS[:-1]]), np.array([b for _, b in EDIT_BITS])
+
+
+def close(node: np.ndarray, sim_a, sim_b, size_a, size_b) -> tuple[np.ndarray, np.ndarray]:
+    """(mask, bits): may two lines of a key be alike, by bits and sizes."""
+    bits = np.bitwise_count((sim_a ^ sim_b).view(np.uint64))
+    longer, shorter = np.maximum(size_a, size_b), np.minimum(size_a, size_b)
+    most = np.where(node & 1 == 1, _BITS[np.searchsorted(_SIZES, longer)], MAX_BITS)
+    return (bits <= most) & (shorter >= SIMILARITY * longer - 1e-9), bits
+
+
+def _nearest(node: np.ndarray, k: np.ndarray, sim: np.ndarray, size: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the row of its nearest partner in its run (-1: none), and the bits between them."""
+    best, bits = np.full(len(node), -1, np.int64), np.full(len(node), 255, np.uint8)
+
+    def offer(x: np.ndarray, y: np.ndarray) -> None:
+        ok, d = close(node[x], sim[x], sim[y], size[x], size[y])
+        for a, b in ((x[ok], y[ok]), (y[ok], x[ok])):
+            d_now = np.bitwise_count((sim[a] ^ sim[b]).view(np.uint64))
+            better = d_now < bits[a]
+            best[a[better]], bits[a[better]] = b[better], d_now[better]
+
+    small = np.repeat(many <= 64, many)
+    end = np.repeat(first + many, many)
+    x = np.flatnonzero(small & (np.arange(len(node)) + 1 < end))
+    for lag in range(1, 64):
+        x = x[x + lag < end[x]]
+        if not len(x):
+            break
+        offer(x, x + lag)
+    for at, n in zip(first[many > 64].tolist(), many[many > 64].tolist(), strict=True):
+        for lag in range(1, n):
+            offer(np.arange(at, at + n - lag), np.arange(at + lag, at + n))
+    return best, bits
 
-    rows = docs.select("text").mapInArrow(run, "node long, k long, sim long")
-    return rows.repartition("node").sortWithinPartitions("node", "k").mapInArrow(shared, rows.schema)
 
+MET = "node long, k long, sim long, size long, best long, bits int"
 
-def _deeper_band_rows(rows: DataFrame) -> DataFrame:
-    """A node's rows again, one for each block of the SimHash."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, sims = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy().view(np.uint64)
-            for part, (a, b) in enumerate(_cuts(64, BAND_BLOCKS)):
-                key = mix(mix(sims & np.uint64((1 << b) - (1 << a))) ^ node ^ np.uint64(part + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), batch.column(1), batch.column(2)], ["node", "k", "sim"])
-
-    return rows.mapInArrow(run, "node long, k long, sim long")
+def _meet(rows: DataFrame, node_limit: int) -> DataFrame:
+    """Rows (node, k, sim, size, best, bits) that have a partner; without ``best`` those of keys of over ``node_limit`` lines."""
+    names = ["node", "k", "sim", "size", "best", "bits"]
 
+    def out(node, k, sim, size, best, bits) -> pa.RecordBatch:
+        arrays = [pa.array(x) for x in (node, k, sim, size)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(best, pa.int64()), pa.array(bits, pa.int32())], names)
 
-def _small_pairs(rows: DataFrame, bits: int) -> DataFrame:
-    """Pairs (a < b) of nodes with at most NODE_LIMIT rows whose SimHashes differ in at most ``bits`` bits."""
+    def unmatched(node, k, sim, size) -> pa.RecordBatch:
+        return out(node, k, sim, size, [None] * len(node), [None] * len(node))
 
-    def handle(part: pa.Table) -> pa.RecordBatch | None:
-        node, k, sim = (part.column(c).to_numpy() for c in ("node", "k", "sim"))
-        found = []
-        for lag in range(1, NODE_LIMIT):
-            i = np.flatnonzero(node[lag:] == node[:-lag]) if len(node) > lag else ()
-            if not len(i):
-                break
-            i = i[(np.bitwise_count((sim[i] ^ sim[i + lag]).view(np.uint64)) <= bits) & (k[i] != k[i + lag])]
-            if len(i):
-                found.append(np.stack((np.minimum(k[i], k[i + lag]), np.maximum(k[i], k[i + lag]))))
-        if not found:
-            return None
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(lambda it: rows_by_key(it, "node", handle), "a long, b long")
-
-
-def _met(rows: DataFrame, deeper: Callable[[DataFrame], DataFrame], bits: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
-    """Candidate pairs of the nodes ``rows(node, k, sim, ...)``, and the members (node, k, sim, pivot, bits) of families."""
-    columns, pairs = rows.columns, []
-    for last in (False, True):
-        rows = scratch.write(rows, "nodes")
-        large = scratch.write(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("k").alias("pivot")).where(f"n > {NODE_LIMIT}").select("node", "pivot"), "large")
-        pairs.append(scratch.write(_small_pairs(rows.join(large, "node", "left_anti"), bits).distinct(), "pairs"))
-        left = rows.join(large, "node")
-        if last or large.isEmpty():
-            break
-        rows = deeper(left.select(columns))
-    left = scratch.write(left.select("node", "k", "sim", "pivot", F.lit(bits).alias("bits")), "families")
-    pivots = left.where("k = pivot").dropDuplicates(["node"]).select("node", F.col("sim").alias("psim"))
-    star = left.join(pivots, "node").where("bit_count(sim ^ psim) <= bits and k <> pivot")
-    pairs.append(star.select(F.col("pivot").alias("a"), F.col("k").alias("b")).distinct())
-    return pairs, left
-
-
-def near_pairs(nodes: DataFrame, scratch: Scratch, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of ``nodes(k, sim)``, and the members (node, k, sim, pivot, bits) of families.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 4
+        large = None  # a key known to be large whose rows go on
+
+        def handle(cols: list[np.ndarray], ended: bool) -> Iterator[pa.RecordBatch]:
+            """Rows up to the last run, which is handled if it has ``ended``."""
+            nonlocal held, large
+            node, k = cols[0], cols[1]
+            fresh = np.concatenate(([True], (node[1:] != node[:-1]) | (k[1:] != k[:-1]))) if len(node) else np.empty(0, bool)
+            cols = [c[fresh] for c in cols]
+            node, k, sim, size = cols
+            if not len(node):
+                held = cols
+                return
+            first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            many = np.diff(np.append(first, len(node)))
+            # The word that there are frequent rows elsewhere has size 0.
+            word = np.add.reduceat((size == 0).astype(np.int64), first) > 0
+            big = (many > node_limit) | word | (node[first] == large if large is not None else False)
+            last = len(first) - (0 if ended or big[-1] else 1)
+            large = int(node[-1]) if big[-1] else None
+            passed = np.repeat(big, many) & (size > 0)
+            if passed.any():
+                yield unmatched(*(c[passed] for c in cols))
+            stop = first[last] if last < len(first) else len(node)
+            held = [c[stop:] for c in cols]
+            some = np.repeat(~big & (many > 1), many)
+            some[stop:] = False
+            if some.any():
+                node, k, sim, size = (c[some] for c in cols)
+                first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+                best, bits = _nearest(node, k, sim, size, first, np.diff(np.append(first, len(node))))
+                met = best >= 0
+                if met.any():
+                    yield out(node[met], k[met], sim[met], size[met], k[best[met]], bits[met].astype(np.int32))
 
-    With ``docs`` their lines meet in bands as well.
-    """
-    count = nodes.count()
-    clean = next((c for most, c in CLEAN_BLOCKS if count <= most), 4)
-    pairs, families = _met(_node_rows(nodes, clean), lambda rows: _deeper_rows(rows, clean), MAX_BITS, scratch)
-    if docs is not None:
-        more, others = _met(_band_rows(docs), _deeper_band_rows, EDIT_BITS, scratch)
-        pairs, families = pairs + more, families.unionByName(others)
-    out = pairs[0]
-    for more in pairs[1:]:
-        out = out.unionByName(more)
-    return scratch.write(out.distinct(), "candidates"), families
-
-
-def edit_distance(x: str, y: str) -> int:
-    """Levenshtein distance, bit-parallel over Python integers, after cutting equal ends."""
-    n = min(len(x), len(y))
-    head = 0
-    while head < n and x[head] == y[head]:
-        head += 1
-    x, y, n = x[head:], y[head:], n - head
-    tail = 0
-    while tail < n and x[-1 - tail] == y[-1 - tail]:
-        tail += 1
-    x, y = x[: len(x) - tail], y[: len(y) - tail]
+        for batch in batches:
+            node, k, sim, size, kind = (batch.column(i).to_numpy() for i in range(1, 6))
+            dealt = kind == DEALT
+            if dealt.any():
+                yield unmatched(*(c[dealt] for c in (node, k, sim, size)))
+            cols = [c[~dealt] for c in (node, k, sim, size)]
+            yield from handle([np.concatenate(pair) for pair in zip(held, cols, strict=True)], False)
+        yield from handle(held, True)
+
+    # Within a key the word of frequent rows is first: its k and size are 0.
+    return rows.repartition("part").sortWithinPartitions("node", "size", "k").mapInArrow(run, MET)
+
+
+# --- edit similarity ---------------------------------------------------------------------------------------------
+
+
+def _equal_head(x: str, y: str) -> int:
+    """Length of the common prefix."""
+    low, high = 0, min(len(x), len(y))
+    if x[:high] == y[:high]:
+        return high
+    while low < high - 1:
+        middle = (low + high) // 2
+        if x[low:middle] == y[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
+def _trimmed(x: str, y: str) -> tuple[str, str]:
+    """Both without their common prefix and suffix."""
+    head = _equal_head(x, y)
+    x, y = x[head:], y[head:]
+    tail = _equal_head(x[::-1], y[::-1])
+    return x[: len(x) - tail], y[: len(y) - tail]
+
+
+def edit_distance(x: str, y: str, limit: int | None = None) -> int:
+    """Levenshtein distance, bit-parallel over Python integers; above ``limit`` any number that is."""
+    x, y = _trimmed(x, y)
     if not x or not y:
         return len(x) + len(y)
     where: dict[str, int] = {}
     for i, c in enumerate(x):
         where[c] = where.get(c, 0) | 1 << i
-    full, top, score = (1 << len(x)) - 1, 1 << (len(x) - 1), len(x)
+    rows, cols = len(x), len(y)
+    full, top, score = (1 << rows) - 1, 1 << (rows - 1), rows
     plus, minus = full, 0
-    for c in y:
+    for j, c in enumerate(y, 1):
         eq = where.get(c, 0)
         diagonal = (((eq & plus) + plus) ^ plus) | eq | minus
         up, down = minus | (full & ~(diagonal | plus)), plus & diagonal
@@ -305,21 +399,83 @@ def edit_distance(x: str, y: str) -> int:
         up = (up << 1 | 1) & full
         down = down << 1 & full
         plus, minus = down | (full & ~(diagonal | up)), up & diagonal
+        if limit is not None and not j & 63 and _hopeless(plus, minus, j, rows, cols, limit):
+            return limit + 1
     return score
 
 
+def _hopeless(plus: int, minus: int, j: int, rows: int, cols: int, limit: int) -> bool:
+    """No way through column ``j`` ends within ``limit``: every 32nd value is looked at, others differ by 16 at most."""
+    for i in range(max(0, j - limit - 16), min(rows, j + limit + 16) + 32, 32):
+        i = min(i, rows)
+        mask = (1 << i) - 1
+        value = j + (plus & mask).bit_count() - (minus & mask).bit_count()
+        if value - 16 + max(0, abs((rows - i) - (cols - j)) - 16) <= limit:
+            return False
+    return True
+
+
+def _edits_at_most(x: str, y: str) -> int:
+    """An upper bound of the distance: words that both have once, in the same order, stay; what is between is replaced."""
+    a, b = x.split(" "), y.split(" ")
+    there: dict[str, int] = {}
+    for j, w in enumerate(b):
+        there[w] = -1 if w in there else j
+    here = Counter(a)
+    pairs = [(i, there[w]) for i, w in enumerate(a) if here[w] == 1 and there.get(w, -1) >= 0]
+    # Longest increasing run of the second numbers.
+    tails: list[int] = []
+    at: list[int] = []
+    back = [-1] * len(pairs)
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(tails, j)
+        if k == len(tails):
+            tails.append(j)
+            at.append(n)
+        else:
+            tails[k], at[k] = j, n
+        back[n] = at[k - 1] if k else -1
+    chain = []
+    n = at[-1] if at else -1
+    while n >= 0:
+        chain.append(pairs[n])
+        n = back[n]
+    ends_a, ends_b = ([0, *itertools.accumulate(len(w) + 1 for w in side)] for side in (a, b))
+    cost, before = 0, (0, 0)
+    for i, j in [*reversed(chain), (len(a), len(b))]:
+        cost += max(ends_a[i] - ends_a[before[0]], ends_b[j] - ends_b[before[1]])
+        before = (i + 1, j + 1)
+    return cost
+
+
+def alike(x: str, y: str) -> bool:
+    """Edit similarity of at least SIMILARITY; bounds decide first, the distance only where they do not."""
+    limit = int((1 - SIMILARITY) * max(len(x), len(y)) + 1e-9)
+    if abs(len(x) - len(y)) > limit:
+        return False
+    a, b = _trimmed(x, y)
+    if max(len(a), len(b)) <= limit or min(len(a), len(b)) == 0:
+        return max(len(a), len(b)) <= limit
+    if len(x) > 100:
+        # One space more at most at an end than the words of the middles have.
+        if _edits_at_most(a, b) <= limit:
+            return True
+        # An edit changes two pairs of neighbouring characters.
+        if sum((Counter(zip(a, a[1:])) & Counter(zip(b, b[1:]))).values()) < max(len(a), len(b)) - 1 - 2 * limit:  # noqa: B905
+            return False
+    return edit_distance(a, b, limit) <= limit
+
+
 def confirm(pairs: DataFrame, forms: DataFrame) -> DataFrame:
-    """The pairs whose normal forms are similar enough."""
+    """The pairs whose normal forms are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [edit_distance(x, y) <= (1 - SIMILARITY) * max(len(x), len(y)) + 1e-9 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = [alike(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (forms.select(F.col("k").alias(c), F.col("form").alias(f"f{c}")) for c in "ab")
-    met = pairs.select("a", "b").join(left, "a").join(right, "b")
-    least = f"least(length(fa), length(fb)) >= {SIMILARITY} * greatest(length(fa), length(fb))"
-    return met.where(least).select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
 def _forms(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -333,47 +489,144 @@ def _forms(docs: DataFrame, places: DataFrame) -> DataFrame:
                 for spot in spots:
                     if spot["line"] < len(lines):
                         keys.append(spot["k"])
-                        forms.append(normal_form(lines[spot["line"]]).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(forms, pa.string())], ["k", "form"])
+                        forms.append(lines[spot["line"]].encode("utf-8", "replace"))
+            if forms:
+                # Another row of the same id may have another line there.
+                found = Lines(forms)
+                right = np.zeros(len(forms), bool)
+                right[found.owner] = signed(found.keys) == np.array(keys, np.int64)[found.owner]
+                made = [normal_form(f.decode()).decode() if ok else None for f, ok in zip(forms, right, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(made, pa.string())], ["k", "form"]).filter(pa.array(right))
 
     return docs.join(places.withColumnRenamed("doc", "doc_id"), "doc_id").select("text", "spots").mapInArrow(run, "k long, form string")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
-    named = labels.select(F.col("id").alias(column), F.col("component").alias("__c"))
-    return rows.join(named, column, "left").withColumn(name, F.coalesce("__c", column)).drop("__c")
+# --- links across components -------------------------------------------------------------------------------------
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the component of ``k`` as ``label``; a line without links is its own."""
+    named = labels.select(F.col("id").alias("k"), F.col("component").alias("__c"))
+    return rows.join(named, "k", "left").withColumn("label", F.coalesce("__c", "k")).drop("__c")
+
+
+def _cross_links(met: DataFrame, labels: DataFrame, lines: DataFrame, forms: DataFrame, scratch: Scratch, node_limit: int) -> DataFrame:
+    """Links (a, b) between lines of one key that are in different components."""
+    rows = scratch.write(_labelled(met.select("node", "k", "sim", "size"), labels).distinct(), "labelled")
+    seen = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+    seen = scratch.write(seen.select("node", "n"), "divided")
+    rows = rows.join(seen, "node")
+    few = rows.where(f"n <= {node_limit}").select("node", "k", "sim", "size", "label", F.lit(True).alias("x"), F.lit(True).alias("y"))
+    many = rows.where(f"n > {node_limit}")
+    if not seen.where(f"n > {node_limit}").isEmpty():
+        # Lines outside a key's main component (x), in blocks, against blocks of all its lines (y).
+        main = many.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "label")).alias("m"))
+        many = many.join(main.select("node", F.col("m.label").alias("home")), "node")
+        odd = many.where("label <> home").groupBy("node").agg(F.ceil(F.count("*") * 2 / node_limit).alias("nx"))
+        many = scratch.write(many.join(odd, "node").withColumn("ny", F.ceil(F.col("n") * 2 / node_limit)), "dealt")
+        deal = "pmod(xxhash64(k), {})"
+        xs = many.where("label <> home").withColumn("i", F.expr(deal.format("nx"))).withColumn("j", F.explode(F.expr("sequence(0L, ny - 1)")))
+        ys = many.withColumn("j", F.expr(deal.format("ny"))).withColumn("i", F.explode(F.expr("sequence(0L, nx - 1)")))
+        # The last bit of a key says what kind it is.
+        node = F.expr("shiftleft(xxhash64(node, i, j), 1) | (node & 1)")
+        dealt = [side.select(node.alias("node"), "k", "sim", "size", "label", F.lit(x).alias("x"), F.lit(not x).alias("y")) for side, x in ((xs, True), (ys, False))]
+        few = few.unionByName(dealt[0]).unionByName(dealt[1])
+    keys = lines.where("length(bands) > 0").select("k", "bands").join(forms.select("k"), "k", "left_semi").dropDuplicates(["k"])
+    whole = few.join(forms.join(keys, "k"), "k").select("node", "k", "sim", "size", "label", "x", "y", "form", "bands")
+
+    def links(run: pa.Table) -> Iterator[tuple[int, int]]:
+        node, k, sim, size, label = (run.column(c).to_numpy() for c in ("node", "k", "sim", "size", "label"))
+        is_x, is_y = (run.column(c).to_numpy() for c in "xy")
+        keys = np.frombuffer(b"".join(run.column("bands").to_pylist()), np.uint64).reshape(-1, BANDS)
+        forms, home = run.column("form"), {}
+
+        def root(x: int) -> int:
+            while (y := home.get(x, x)) != x:
+                home[x] = home.get(y, y)
+                x = y
+            return x
+
+        found = []
+        ys = np.flatnonzero(is_y)
+        for i in np.flatnonzero(is_x).tolist():
+            j = ys[label[ys] != label[i]]
+            both = is_x[j] & is_y[i]
+            j = j[~both | (k[j] > k[i])]  # such pairs come twice
+            ok, bits = close(node[j], sim[j], sim[i], size[j], size[i])
+            j, bits = j[ok], bits[ok]
+            if len(j) and node[i] & 1:
+                # Lines that meet in several bands are tried in the first of them.
+                agree = keys[j] == keys[i]
+                here = (keys[i] | np.uint64(1)).view(np.int64) == node[i]
+                if here.any():
+                    first = agree.argmax(axis=1) == int(here.argmax())
+                    j, bits = j[first], bits[first]
+            found += zip(bits.tolist(), itertools.repeat(i), j.tolist())  # noqa: B905
+        for _, i, j in sorted(found):
+            x, y = root(int(label[i])), root(int(label[j]))
+            if x != y and alike(forms[i].as_py(), forms[j].as_py()):
+                home[max(x, y)] = min(x, y)
+                yield int(k[i]), int(k[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
+        def handle(rows: pa.Table) -> pa.RecordBatch:
+            node = rows.column("node").to_numpy()
+            edges = np.concatenate(([0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]))
+            pairs = [p for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for p in links(rows.slice(a, b - a))]
+            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
 
-def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, by_edits: bool) -> DataFrame:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held and held[-1].column(0)[-1] != batch.column(0)[0]:
+                yield handle(pa.Table.from_batches(held))
+                held = []
+            node = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(node != node[-1], False)) if node[0] == node[-1] else int(np.flatnonzero(node != node[-1])[-1]) + 1
+            if cut:
+                yield handle(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield handle(pa.Table.from_batches(held))
+
+    return whole.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct()
+
+
+def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, node_limit: int = NODE_LIMIT) -> DataFrame:
     """(k, g) of every normal form that is joined with another; ``lines`` as made by ``_line_rows``."""
-    nodes = scratch.write(lines.groupBy("k").agg(F.min("sim").alias("sim"), F.min("doc").alias("doc")), "forms")
-    pairs, families = near_pairs(nodes.select("k", "sim"), scratch, docs if by_edits else None)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k"))
-    if not families.isEmpty():
-        wanted = wanted.unionByName(families.select("k"))
-    spots = lines.join(nodes.join(wanted.distinct(), "k").select("k", "doc"), ["k", "doc"]).groupBy("k", "doc").agg(F.min("line").alias("line"))
-    places = spots.groupBy("doc").agg(F.collect_list(F.struct("line", "k")).alias("spots"))
-    forms = scratch.write(_forms(docs, places).dropDuplicates(["k"]), "texts")
+    forms = lines.where("length(bands) > 0").select("k", "sim", "size", "bands")
+    count = forms.count()
+    clean = next((c for most, c in CLEAN_BLOCKS if count <= most), 4)
+    met = scratch.write(_meet(_key_rows(forms, clean), node_limit), "met")
+    scratch.release()
+    wanted = met.select("k").distinct()
+    spots = lines.select("doc", "line", "k").join(wanted, "k").groupBy("k").agg(F.min(F.struct("doc", "line")).alias("p"))
+    places = spots.groupBy(F.col("p.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("p.line").alias("line"), "k")).alias("spots"))
+    texts = scratch.write(_forms(docs, places).dropDuplicates(["k"]), "texts")
+    near = met.where("best is not null").select(F.least("k", "best").alias("a"), F.greatest("k", "best").alias("b"))
+    large = met.where("best is null")
+    pivots = large.groupBy("node").agg(F.min(F.struct("k", "sim", "size")).alias("p"))
+    limit = "case " + " ".join(f"when greatest(size, p.size) <= {s} then {b}" for s, b in EDIT_BITS) + " end"
+    star = large.join(pivots, "node").where(f"k <> p.k and bit_count(sim ^ p.sim) <= if(node & 1 = 1, {limit}, {MAX_BITS})")
+    star = star.where(f"least(size, p.size) >= {SIMILARITY} * greatest(size, p.size) - 1e-9").select(F.col("p.k").alias("a"), F.col("k").alias("b"))
+    links = scratch.write(confirm(near.unionByName(star).distinct(), texts), "links")
     scratch.release()
-    links = scratch.write(confirm(pairs.groupBy("b").agg(F.min("a").alias("a")), forms), "links")
     labels = components(scratch, links)
-    rest = _labelled(_labelled(pairs, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-    members = _labelled(_labelled(families, labels, "k", "label"), labels, "pivot", "home")
-    across = (
-        members.where("label <> home").alias("x").join(members.alias("y"), "node").where(F.expr("x.label <> y.label and bit_count(x.sim ^ y.sim) <= x.bits"))
-        .select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"))
-    )
-    more = scratch.write(confirm(rest.unionByName(across).distinct(), forms), "links")
+    more = scratch.write(_cross_links(met, labels, lines, texts, scratch, node_limit), "links")
+    scratch.drop(met, texts)
     if not more.isEmpty():
         labels = components(scratch, links.unionByName(more))
     return labels.select(F.col("id").alias("k"), F.col("component").alias("g"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, by_edits: bool = False) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, node_limit: int = NODE_LIMIT) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, kept_sha256 and ``text`` without the removed lines.
 
-    With ``carry`` a last column ``rest`` is a struct of all other input columns. Without ``by_edits`` only lines within
-    MAX_BITS bits are linked; with it, so are lines of SIMILARITY that differ in more.
+    With ``carry`` a last column ``rest`` is a struct of all other input columns. ``node_limit``: lines of one key that a task
+    compares at once; the result does not depend on it.
 
     Blank lines are no occurrences and stay. Null texts have no lines and stay null. Rows without an id take no part and stay
     whole; rows of one id are one document, so a repeated row loses nothing to its double. Empty tables give empty results.
@@ -381,16 +634,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     scratch = Scratch(spark, "lines")
     docs = with_rest(docs, id_col, text_col, carry)
     named = docs.where("doc_id is not null")
-    lines = scratch.write(_line_rows(named), "lines")
-    groups = line_groups(named, lines, scratch, by_edits)
-    grouped = lines.join(groups, "k", "left").select("doc", "line", F.coalesce("g", "k").alias("g"))
-    first = scratch.write(grouped.groupBy("g").agg(F.min("doc").alias("d0"), F.count("*").alias("n")).where("n > 1").select("g", "d0"), "firsts")
-    hits = grouped.join(first, "g")
-    own = hits.where("doc = d0")
-    starts = own.groupBy("g").agg(F.min("line").alias("l0"), F.max("line").alias("l1")).where("l1 > l0").select("g", "l0")
-    gone = hits.where("doc > d0").select("doc", "line").unionByName(own.join(starts, "g").where("line > l0").select("doc", "line"))
-    gone = scratch.write(gone.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("line").alias("gone")), "gone")
-    scratch.release()
+    lines = scratch.write(_line_rows(named.select("doc_id", "text")), "lines")
+    groups = scratch.write(line_groups(named, lines, scratch, node_limit), "groups")
+    grouped = scratch.write(lines.select("doc", "line", "k").join(groups, "k", "left").select("doc", "line", F.coalesce("g", "k").alias("g")), "grouped")
+    scratch.only(grouped)
+    # Written, so that the lines of a frequent group can be split over tasks by adaptive execution.
+    first = scratch.write(grouped.groupBy("g").agg(F.min(F.struct("doc", "line")).alias("p"), F.count("*").alias("n")).where("n > 1").select("g", "p"), "firsts")
+    gone = grouped.join(first, "g").where("struct(doc, line) > p").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("line").alias("gone"))
+    gone = scratch.write(gone, "gone")
+    scratch.only(gone)
     both = docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone", *docs.columns[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ import pytest
 
 pytest.importorskip("lakequill.llm")
 from lakequill.llm import chosen_path_join, fuzzy_lines, substring_dedup  # noqa: E402
+from lakequill.llm.common import Scratch  # noqa: E402
 
 from .fixtures import corpus, edited, frame, prose, words  # noqa: E402
 
@@ -112,28 +113,58 @@ def line_corpus():
     return [*rows, rows[8]]
 
 
-def test_line_dedup_equals_all_pairs(spark):
+def similar(a, b):
+    """Edit similarity of two normal forms, nothing else."""
+    long = max(len(a), len(b))
+    return 5 * abs(len(a) - len(b)) <= long and 5 * fuzzy_lines.edit_distance(a, b) <= long
+
+
+@pytest.mark.parametrize("node_limit", [4, fuzzy_lines.NODE_LIMIT])
+def test_line_dedup_against_all_pairs(spark, node_limit):
     rows = line_corpus()
-    got = fuzzy_lines.dedup_lines(spark, frame(spark, rows)).collect()
+    got = fuzzy_lines.dedup_lines(spark, frame(spark, rows), node_limit=node_limit).collect()
     assert len(got) == len(rows)
     lines = sorted({(i, n, fuzzy_lines.normal_form(x).decode()) for i, t in rows if i is not None for n, x in enumerate((t or "").split("\n")) if x.strip()})
-    forms = sorted({f for _, _, f in lines})
-    sims = dict(zip(forms, fuzzy_lines.simhashes([f.encode() for f in forms]).tolist(), strict=True))
-
-    def linked(a, b):
-        return (sims[a] ^ sims[b]).bit_count() <= 3 and fuzzy_lines.edit_distance(a, b) <= 0.2 * max(len(a), len(b))
-
-    group = smallest_reachable([(f, f) for f in forms], linked)
+    group = smallest_reachable([(f, f) for f in sorted({f for _, _, f in lines})], similar)
     first = {}
     for i, n, f in lines:
         first.setdefault(group[f], (i, n))
     want = Counter(i for i, n, f in lines if first[group[f]] != (i, n))
     assert sum(want.values()) > 100
-    assert {r["doc_id"]: r["n_removed"] for r in got if r["doc_id"] is not None} == {i: want[i] for i, _ in rows if i is not None}
+    removed = {r["doc_id"]: r["n_removed"] for r in got if r["doc_id"] is not None}
+    assert removed.keys() == {i for i, _ in rows if i is not None}
+    # Bands may miss a pair of lines; what is removed is right.
+    assert all(n <= want[i] for i, n in removed.items()) and sum(removed.values()) >= 0.98 * sum(want.values())
     assert all(r["n_removed"] == 0 for r in got if r["doc_id"] is None)
     assert np.all([r["text"] is None for r in got if r["doc_id"] == 1])
 
 
+def test_line_recall_on_a_whole_table(spark):
+    """All pairs of normal forms of sf0.001 with the similarity, by edit distance alone: nine in ten are in one group, in each class of lengths."""
+    from bisect import bisect_right
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    forms = sorted({fuzzy_lines.normal_form(x).decode() for t in texts.values() for x in (t or "").split("\n") if x.strip()}, key=len)
+    sizes = [len(f) for f in forms]
+    bags = [Counter(zip(f, f[1:])) for f in forms]
+    pairs = []
+    for i, f in enumerate(forms):
+        for j in range(i + 1, bisect_right(sizes, sizes[i] / 0.8 + 1e-9)):
+            # Each edit changes two pairs of neighbouring characters.
+            if sum((bags[i] & bags[j]).values()) >= 0.6 * sizes[j] - 1 and similar(f, forms[j]):
+                pairs.append((f, forms[j]))
+    scratch = Scratch(spark, "recall")
+    lines = scratch.write(fuzzy_lines._line_rows(docs), "lines")
+    group = {r["k"]: r["g"] for r in fuzzy_lines.line_groups(docs, lines, scratch).collect()}
+    key = {f: int(fuzzy_lines.signed(fuzzy_lines.Lines([f.encode()]).keys)[0]) for pair in pairs for f in pair}
+    assert len(pairs) > 30
+    for low, high in ((0, 100), (100, 300), (300, 10**9)):
+        some = [(a, b) for a, b in pairs if low <= len(b) < high]
+        caught = sum(group.get(key[a], key[a]) == group.get(key[b], key[b]) for a, b in some)
+        assert caught >= 0.9 * len(some), (low, caught, len(some))
+
+
 def test_normal_forms():
     import re
 
@@ -141,8 +172,19 @@ def test_normal_forms():
         plain = re.sub(r"[\W_]+", " ", re.sub(r"\d", "0", line.lower())).strip() or line.strip()
         assert fuzzy_lines.normal_form(line).decode() == plain
     long = " ".join(f"w{i % 7}" for i in range(600)).encode()
-    bits = np.unpackbits(fuzzy_lines.Words([long]).hashes.view(np.uint8).reshape(-1, 8), axis=1)
-    assert fuzzy_lines.simhashes([b"a", long])[1] == np.packbits(2 * bits.sum(axis=0) > 600).view(np.uint64)[0]
+    hashes = fuzzy_lines.Words([long]).hashes
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+    assert fuzzy_lines.simhash(np.concatenate((hashes[:1], hashes)), np.array([0, 1]))[1] == np.packbits(2 * bits.sum(axis=0) > 600).view(np.uint64)[0]
+
+
+def test_lines_of_a_chunk():
+    texts = [b"One, two\n\n***\n one TWO 3", None, b"", "\u00c9t\u00e9 \u00ab\n\u2003\n--\n\u00e9t\u00e9".encode(), b"\n", b"one two"]
+    lines = fuzzy_lines.Lines(texts)
+    found = {(o, n): (k, s) for o, n, k, s in zip(lines.owner.tolist(), lines.number.tolist(), lines.keys.tolist(), lines.size.tolist(), strict=True)}
+    plain = {(o, n): fuzzy_lines.normal_form(x).decode() for o, t in enumerate(texts) for n, x in enumerate((t or b"").decode().split("\n")) if x.strip()}
+    assert found.keys() == plain.keys()
+    assert {p: s for p, (_, s) in found.items()} == {p: len(f) for p, f in plain.items()}
+    assert all((found[a][0] == found[b][0]) == (plain[a] == plain[b]) for a in plain for b in plain)
 
 
 def test_line_families_and_edit_distance(spark):
@@ -151,9 +193,7 @@ def test_line_families_and_edit_distance(spark):
     rows = [(i, edited(base, i, 0.012)) for i in range(100)]
     got = fuzzy_lines.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"))
     forms = [(i, fuzzy_lines.normal_form(t).decode()) for i, t in rows]
-    sims = fuzzy_lines.simhashes([f.encode() for _, f in forms]).tolist()
-    near = lambda a, b: (sims[a] ^ sims[b]).bit_count() <= 3 and fuzzy_lines.edit_distance(forms[a][1], forms[b][1]) <= 0.2 * max(len(forms[a][1]), len(forms[b][1]))
-    want = smallest_reachable([(i, i) for i, _ in rows], near)
+    want = smallest_reachable([(i, f) for i, f in forms], similar)
     assert {r["doc_id"] for r in got.collect() if r["n_removed"] == 0} == set(want.values())
 
     def slow(a, b):
@@ -169,6 +209,10 @@ def test_line_families_and_edit_distance(spark):
     for _ in range(300):
         a, b = ("".join(r.choices("abc", k=r.randrange(14))) for _ in range(2))
         assert fuzzy_lines.edit_distance(a, b) == slow(a, b)
+    for i in range(200):
+        a = prose(i, r.randrange(3, 60))
+        b = edited(a, i, r.choice((0.02, 0.1, 0.2, 0.3)))
+        assert fuzzy_lines.alike(a, b) == (5 * slow(a, b) <= max(len(a), len(b)))
 
 
 def test_lines_are_linked_by_edit_similarity_alone(spark):
@@ -186,11 +230,7 @@ def test_lines_are_linked_by_edit_similarity_alone(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     forms = [(i, fuzzy_lines.normal_form(t).decode()) for i, t in rows]
 
-    def near(a, b):
-        long = max(len(a[1]), len(b[1]))
-        return 5 * abs(len(a[1]) - len(b[1])) <= long and 5 * fuzzy_lines.edit_distance(a[1], b[1]) <= long
-
-    groups = smallest_reachable([(i, (i, f)) for i, f in forms], near)
+    groups = smallest_reachable(forms, similar)
     want = {i for i, _ in rows if groups[i] == i}
     table = queries.table
     queries.table = lambda *_: df
@@ -199,7 +239,6 @@ def test_lines_are_linked_by_edit_similarity_alone(spark):
     finally:
         queries.table = table
     assert want <= got and len(got - want) <= 2
-    assert {r["doc_id"] for r in fuzzy_lines.dedup_lines(spark, df).collect() if r["n_removed"] == 0} > got
 
 
 def test_empty_tables(spark):
@@ -210,7 +249,7 @@ def test_empty_tables(spark):
 
 
 def test_components_of_chains_and_random_graphs(spark):
-    from lakequill.llm.common import Scratch, components
+    from lakequill.llm.common import components
 
     r = random.Random(9)
     edges = [(i, i + 1) for i in range(1000, 1040)] + [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(5, 5), (2000, 1999), (2000, 1998)]
