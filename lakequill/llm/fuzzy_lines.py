@@ -9,11 +9,12 @@ Candidates meet in two kinds of keys:
 * blocks of the 64-bit SimHash. Those within MAX_BITS bits meet for sure, by the pigeonhole principle: with MAX_BITS errors
   over m blocks some m - MAX_BITS blocks are clean, so rows meet on each choice of that many blocks.
 * bands. An edit similarity of SIMILARITY moves far more bits than clean blocks can pay for, so lines also meet where
-  BAND_MINIMA least hashes of their pairs of neighbouring words agree in one of BANDS bands; there SimHashes may
-  differ in EDIT_BITS bits. This is not exact: edits in most words of a line are missed.
+  BAND_MINIMA least hashes of their pairs of neighbouring words agree in one of BANDS bands. There they are candidates
+  if their SimHashes are within NEAR_BITS bits, or within EDIT_BITS bits and a second band agrees too. This is not
+  exact: edits in most words of a line are missed.
 
 Only a line's nearest partner of each key is tried at first. Then the lines of a key that are not in one
-component yet are brought together with their texts, and every two of different components are tried there: links come
+component yet are brought together with their texts, and all candidates of different components are tried there: links come
 out, never all pairs. A key of more than NODE_LIMIT lines is a star around one line at first; what does not hang on
 it is then compared with all, in blocks.
 """
@@ -39,8 +40,10 @@ MAX_BITS = 3
 SIMILARITY = 0.8
 #: Lines of one key that a task compares at once.
 NODE_LIMIT = 2048
-#: (characters of the longer line up to which, bits that SimHashes of lines that meet in a band may differ in); those of unlike lines differ in 32 or so.
-EDIT_BITS = ((160, 20), (480, 16), (1 << 62, 13))
+#: Bits of the SimHash that are as good as a second band.
+NEAR_BITS = 12
+#: Bits that SimHashes of lines that meet in a band may differ in; those of unlike lines differ in 32 or so.
+EDIT_BITS = 20
 BANDS = 10
 BAND_MINIMA = 2
 #: Lines whose keys a task looks through for those that are frequent there.
@@ -217,8 +220,8 @@ PLAIN, DEALT, WORD = 0, 1, 2
 
 
 def _key_rows(forms: DataFrame, clean: int) -> DataFrame:
-    """Rows (part, node, k, sim, size, kind) of ``forms(k, sim, size, bands)``; keys of bands are odd, those of blocks even."""
-    schema = pa.schema([(c, pa.int64()) for c in ("part", "node", "k", "sim", "size")] + [("kind", pa.int32())])
+    """Rows (node, k, sim, tag) of ``forms(k, sim, size, bands)``; keys of bands are odd, those of blocks even; a tag is 4 * size + kind."""
+    schema = pa.schema([(c, pa.int64()) for c in ("node", "k", "sim", "tag")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def whole() -> Iterator[pa.Table]:
@@ -238,55 +241,62 @@ def _key_rows(forms: DataFrame, clean: int) -> DataFrame:
             sim, size = (rows.column(c).to_numpy()[at] for c in ("sim", "size"))
             data = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.uint64).reshape(-1, BANDS)[at]
             columns = [key & ~np.uint64(1) for key in block_keys(sim.view(np.uint64), clean)] + [data[:, band] | np.uint64(1) for band in range(BANDS)]
-            least = max(64, len(k) // 128)
             for node in columns:
+                # Lines of a block are many and cheap to compare, those of a band are of one family.
+                least = max(64, len(k) // (128 if node[0] & np.uint64(1) else 16))
                 found, which, many = np.unique(node, return_inverse=True, return_counts=True)
                 often = many[which] > least
-                part = np.where(often, mix(k.view(np.uint64)), node)
-                arrays = [signed(part), signed(node), k, sim, size, often.astype(np.int32)]
+                arrays = [signed(node), k, sim, 4 * size + np.where(often, DEALT, PLAIN)]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=schema)
                 if len(words := found[many > least]):
                     none = np.zeros(len(words), np.int64)
-                    arrays = [signed(words), signed(words), none, none, none, np.full(len(words), WORD, np.int32)]
+                    arrays = [signed(words), none, none, none + WORD]
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=schema)
 
-    return forms.mapInArrow(run, "part long, node long, k long, sim long, size long, kind int")
+    return forms.mapInArrow(run, "node long, k long, sim long, tag long")
 
 
-_SIZES, _BITS = np.array([s for s, _ in EDIT_BITS[:-1]]), np.array([b for _, b in EDIT_BITS])
+def _most_bits(node: np.ndarray) -> np.ndarray:
+    return np.where(node & 1 == 1, EDIT_BITS, MAX_BITS).astype(np.uint8)
 
 
-def close(node: np.ndarray, sim_a, sim_b, size_a, size_b) -> tuple[np.ndarray, np.ndarray]:
-    """(mask, bits): may two lines of a key be alike, by bits and sizes."""
-    bits = np.bitwise_count((sim_a ^ sim_b).view(np.uint64))
-    longer, shorter = np.maximum(size_a, size_b), np.minimum(size_a, size_b)
-    most = np.where(node & 1 == 1, _BITS[np.searchsorted(_SIZES, longer)], MAX_BITS)
-    return (bits <= most) & (shorter >= SIMILARITY * longer - 1e-9), bits
+def _bits(sim_a, sim_b) -> np.ndarray:
+    return np.bitwise_count((sim_a ^ sim_b).view(np.uint64))
+
+
+def _sizes_fit(a, b) -> np.ndarray:
+    """May the similarity be reached, by the number of characters."""
+    return np.minimum(a, b) >= SIMILARITY * np.maximum(a, b) - 1e-9
 
 
 def _nearest(node: np.ndarray, k: np.ndarray, sim: np.ndarray, size: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each row the row of its nearest partner in its run (-1: none), and the bits between them."""
-    best, bits = np.full(len(node), -1, np.int64), np.full(len(node), 255, np.uint8)
+    best, least, most = np.full(len(node), -1, np.int64), np.full(len(node), 255, np.uint8), _most_bits(node)
 
-    def offer(x: np.ndarray, y: np.ndarray) -> None:
-        ok, d = close(node[x], sim[x], sim[y], size[x], size[y])
+    def offer(x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> None:
+        ok = _sizes_fit(size[x], size[y])
         for a, b in ((x[ok], y[ok]), (y[ok], x[ok])):
-            d_now = np.bitwise_count((sim[a] ^ sim[b]).view(np.uint64))
-            better = d_now < bits[a]
-            best[a[better]], bits[a[better]] = b[better], d_now[better]
+            better = bits[ok] < least[a]
+            best[a[better]], least[a[better]] = b[better], bits[ok][better]
 
-    small = np.repeat(many <= 64, many)
     end = np.repeat(first + many, many)
-    x = np.flatnonzero(small & (np.arange(len(node)) + 1 < end))
+    x = np.flatnonzero(np.repeat(many <= 64, many) & (np.arange(len(node)) + 1 < end))
     for lag in range(1, 64):
         x = x[x + lag < end[x]]
         if not len(x):
             break
-        offer(x, x + lag)
+        bits = _bits(sim[x], sim[x + lag])
+        some = bits <= most[x]
+        if some.any():
+            offer(x[some], x[some] + lag, bits[some])
     for at, n in zip(first[many > 64].tolist(), many[many > 64].tolist(), strict=True):
+        here, limit = sim[at : at + n], most[at]
         for lag in range(1, n):
-            offer(np.arange(at, at + n - lag), np.arange(at + lag, at + n))
-    return best, bits
+            bits = _bits(here[: n - lag], here[lag:])
+            some = np.flatnonzero(bits <= limit)
+            if len(some):
+                offer(some + at, some + at + lag, bits[some])
+    return best, least
 
 
 MET = "node long, k long, sim long, size long, best long, bits int"
@@ -321,7 +331,7 @@ def _meet(rows: DataFrame, node_limit: int) -> DataFrame:
             many = np.diff(np.append(first, len(node)))
             # The word that there are frequent rows elsewhere has size 0.
             word = np.add.reduceat((size == 0).astype(np.int64), first) > 0
-            big = (many > node_limit) | word | (node[first] == large if large is not None else False)
+            big = (many > np.where(node[first] & 1 == 1, node_limit, 16 * node_limit)) | word | (node[first] == large if large is not None else False)
             last = len(first) - (0 if ended or big[-1] else 1)
             large = int(node[-1]) if big[-1] else None
             passed = np.repeat(big, many) & (size > 0)
@@ -340,16 +350,16 @@ def _meet(rows: DataFrame, node_limit: int) -> DataFrame:
                     yield out(node[met], k[met], sim[met], size[met], k[best[met]], bits[met].astype(np.int32))
 
         for batch in batches:
-            node, k, sim, size, kind = (batch.column(i).to_numpy() for i in range(1, 6))
-            dealt = kind == DEALT
+            node, k, sim, tag = (batch.column(i).to_numpy() for i in range(4))
+            size, dealt = tag >> 2, tag & 3 == DEALT
             if dealt.any():
                 yield unmatched(*(c[dealt] for c in (node, k, sim, size)))
             cols = [c[~dealt] for c in (node, k, sim, size)]
             yield from handle([np.concatenate(pair) for pair in zip(held, cols, strict=True)], False)
         yield from handle(held, True)
 
-    # Within a key the word of frequent rows is first: its k and size are 0.
-    return rows.repartition("part").sortWithinPartitions("node", "size", "k").mapInArrow(run, MET)
+    # Within a key the word of frequent rows is first: its size is 0. Rows of one line have one tag.
+    return rows.repartition(F.expr(f"if(tag & 3 = {DEALT}, k, node)")).sortWithinPartitions("node", "tag", "k").mapInArrow(run, MET)
 
 
 # --- edit similarity ---------------------------------------------------------------------------------------------
@@ -538,7 +548,7 @@ def _cross_links(met: DataFrame, labels: DataFrame, lines: DataFrame, forms: Dat
         node, k, sim, size, label = (run.column(c).to_numpy() for c in ("node", "k", "sim", "size", "label"))
         is_x, is_y = (run.column(c).to_numpy() for c in "xy")
         keys = np.frombuffer(b"".join(run.column("bands").to_pylist()), np.uint64).reshape(-1, BANDS)
-        forms, home = run.column("form"), {}
+        forms, home, most = run.column("form"), {}, int(_most_bits(node[:1])[0])
 
         def root(x: int) -> int:
             while (y := home.get(x, x)) != x:
@@ -552,15 +562,17 @@ def _cross_links(met: DataFrame, labels: DataFrame, lines: DataFrame, forms: Dat
             j = ys[label[ys] != label[i]]
             both = is_x[j] & is_y[i]
             j = j[~both | (k[j] > k[i])]  # such pairs come twice
-            ok, bits = close(node[j], sim[j], sim[i], size[j], size[i])
+            bits = _bits(sim[j], sim[i])
+            ok = (bits <= most) & _sizes_fit(size[j], size[i])
             j, bits = j[ok], bits[ok]
             if len(j) and node[i] & 1:
-                # Lines that meet in several bands are tried in the first of them.
                 agree = keys[j] == keys[i]
+                ok = (bits <= NEAR_BITS) | (agree.sum(axis=1) > 1)
+                # Lines that meet in several bands are tried in the first of them.
                 here = (keys[i] | np.uint64(1)).view(np.int64) == node[i]
                 if here.any():
-                    first = agree.argmax(axis=1) == int(here.argmax())
-                    j, bits = j[first], bits[first]
+                    ok &= agree.argmax(axis=1) == int(here.argmax())
+                j, bits = j[ok], bits[ok]
             found += zip(bits.tolist(), itertools.repeat(i), j.tolist())  # noqa: B905
         for _, i, j in sorted(found):
             x, y = root(int(label[i])), root(int(label[j]))
@@ -606,11 +618,10 @@ def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, node_limit:
     spots = lines.select("doc", "line", "k").join(wanted, "k").groupBy("k").agg(F.min(F.struct("doc", "line")).alias("p"))
     places = spots.groupBy(F.col("p.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("p.line").alias("line"), "k")).alias("spots"))
     texts = scratch.write(_forms(docs, places).dropDuplicates(["k"]), "texts")
-    near = met.where("best is not null").select(F.least("k", "best").alias("a"), F.greatest("k", "best").alias("b"))
+    near = met.where(f"best is not null and bits <= {NEAR_BITS}").select(F.least("k", "best").alias("a"), F.greatest("k", "best").alias("b"))
     large = met.where("best is null")
     pivots = large.groupBy("node").agg(F.min(F.struct("k", "sim", "size")).alias("p"))
-    limit = "case " + " ".join(f"when greatest(size, p.size) <= {s} then {b}" for s, b in EDIT_BITS) + " end"
-    star = large.join(pivots, "node").where(f"k <> p.k and bit_count(sim ^ p.sim) <= if(node & 1 = 1, {limit}, {MAX_BITS})")
+    star = large.join(pivots, "node").where(f"k <> p.k and bit_count(sim ^ p.sim) <= if(node & 1 = 1, {NEAR_BITS}, {MAX_BITS})")
     star = star.where(f"least(size, p.size) >= {SIMILARITY} * greatest(size, p.size) - 1e-9").select(F.col("p.k").alias("a"), F.col("k").alias("b"))
     links = scratch.write(confirm(near.unionByName(star).distinct(), texts), "links")
     scratch.release()
