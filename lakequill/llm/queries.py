@@ -41,23 +41,9 @@ def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document, those of documents without text included, and the text decoded from them.
-
-    ``round_trip``: the decoded text is the document's, space marks being spaces. Ids are taken to be unique.
-    """
-    docs = table(spark, sf_dir, "documents")
+    """Tokens of every row of ``documents``, and the text decoded from them."""
     model = piece_lattice.load_model(public_tokenizers.path(PIECE_MODEL))
-    scratch = Scratch(spark, "pieces")
-    encoded = scratch.write(piece_lattice.encode(spark, docs, model, scratch), "encoded")
-    made = piece_lattice.digests(encoded)
-    runs = piece_lattice.decode(spark, encoded, model, ["doc_id", "at"])
-    whole = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("runs"))
-    decoded = whole.select("doc_id", F.concat_ws("", F.transform("runs", lambda r: r["text"])).alias("decoded"))
-    out = docs.select("doc_id", "text").join(made, "doc_id", "left").join(decoded, "doc_id", "left").withColumn("decoded", F.coalesce("decoded", F.lit("")))
-    return out.select(
-        "doc_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), F.coalesce("ids_digest", F.lit(0).cast("long")).alias("ids_digest"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), piece_lattice.SPACE, " ")).alias("round_trip"),
-    )
+    return piece_lattice.encode_and_decode(spark, table(spark, sf_dir, "documents"), model, Scratch(spark, "pieces"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
