@@ -10,6 +10,7 @@ from __future__ import annotations
 import bisect
 import functools
 import itertools
+import json
 import os
 import re
 import zlib
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, pick, slices, split_words
+from .common import Scratch, pick, split_words, text_chunks
 
 CAPACITY = 2048
 END_ID = 0
@@ -30,31 +31,78 @@ ID_CACHE = 300_000
 #: Parts of words (runs of letters or marks) whose ids a worker remembers beside.
 STEM_CACHE = 600_000
 
+#: Bytes of text encoded together, about.
+SLICE_BYTES = 1 << 21
+
 _PART = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 #: Rows of one bucket of the ranking step, about.
 BUCKET_ROWS = 20_000
 
 
+#: How a tokenizer must normalise and split for its ids to be those of words one by one.
+WORDWISE_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORDWISE_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+MARKS = (b",", b".", b";", b":", b"!", b"?")
+
+
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def is_wordwise(path: str) -> bool:
+    """Does the tokenizer drop white space and case, split as WORDWISE_SPLIT does, and end each part with a token that says so."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    norm, pre, model = made.get("normalizer") or {}, made.get("pre_tokenizer") or {}, made["model"]
+    if norm.get("type") != "Sequence" or norm["normalizers"] != WORDWISE_NORMALIZERS or pre.get("type") != "Sequence" or len(pre["pretokenizers"]) != 2:
+        return False
+    split, level = pre["pretokenizers"]
+    return (
+        split.get("type") == "Split" and split["pattern"] == {"Regex": WORDWISE_SPLIT} and split["behavior"] == "Removed" and split["invert"]
+        and level.get("type") == "ByteLevel" and not level["add_prefix_space"] and not level["use_regex"]
+        and model.get("type") == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"] and not model.get("ignore_merges")
+        and not made.get("truncation") and all("<" in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in made["added_tokens"])
+    )
+
+
+class TextIds:
+    """Ids of texts by any tokenizer, each text as a whole."""
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+
+    def of(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        for text in texts:
+            ids = self.tokenizer.encode_batch_fast([(text or b"").decode("utf-8", "replace")], add_special_tokens=False)[0].ids
+            yield np.array([*ids, END_ID], "<u4")
+
+
 class WordIds:
-    """Ids of texts by way of their white-space-delimited words.
+    """Ids of texts by way of their white-space-delimited words, for tokenizers that are :func:`is_wordwise`.
 
-    The tokenizer normalises white space and case away before it splits, its split pattern never spans white space,
+    Such a tokenizer normalises white space and case away before it splits, its split pattern never spans white space,
     and a letter and a mark after it are always parts of their own; so the ids of a text are those of its words in
     order, and those of ``word,`` are those of ``word`` and of the comma. Parts that are not remembered are
     encoded together, once for each slice of texts.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
+        # The same model for words of lower-case letters, which need no pattern to be split.
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.marks = {m: self._encode([m])[0] for m in (b",", b".", b";", b":", b"!", b"?")}
+        self.marks = {m: self._encode([m])[0] for m in MARKS}
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
@@ -62,7 +110,7 @@ class WordIds:
 
     def _encode_letters(self, words: list[str]) -> list[bytes]:
         """Words of letters only: each is one part, so it ends where a token that ends words does."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):  # a letter that is normalised to more than letters
             return self._encode([w.encode() for w in words])
@@ -75,44 +123,63 @@ class WordIds:
             return [word]
         low = word.lower()
         if low.isascii():
-            return [low] if low.isalpha() or b"'" in low else _PART.findall(low)
+            return [low] if b"'" in low else _PART.findall(low)
         if low[-1:] in self.marks and 97 <= low[-2] <= 122:
             return [low[:-1], low[-1:]]
         return [low]
 
-    def _learn(self, new: list[bytes]) -> None:
-        split = list(map(self._parts, new))
-        letters, others = [], []
-        for part in set(itertools.chain.from_iterable(split)).difference(self.stems):
+    def _learn(self, new: set[bytes]) -> None:
+        """Remember the ids of words that are not known."""
+        known, stems, marks = self.known, self.stems, self.marks
+        whole: list[tuple[bytes, bytes, bytes]] = []  # word, its letters, ids of the mark after them
+        split: list[tuple[bytes, list[bytes]]] = []
+        for word in new:
+            if word.isalpha():
+                whole.append((word, word.lower(), b""))
+            elif word[:-1].isalpha() and word[-1:] in marks:
+                whole.append((word, word[:-1].lower(), marks[word[-1:]]))
+            else:
+                split.append((word, self._parts(word)))
+        plain = {stem for _, stem, _ in whole}.difference(stems)
+        letters, others = [stem.decode() for stem in plain], []
+        for part in set(itertools.chain.from_iterable(parts for _, parts in split)).difference(stems, plain):
             text = part.decode("utf-8", "replace")
             letters.append(text) if text.isalpha() and text.lower().isalpha() else others.append(part)
         fresh = dict(zip(others, self._encode(others), strict=True))
         for start in range(0, len(letters), 512):
             some = letters[start : start + 512]
             fresh.update(zip((w.encode() for w in some), self._encode_letters(some), strict=True))
-        known, stems = self.known, self.stems
         stems.update(fresh)
-        for word, parts in zip(new, split, strict=True):
+        known.update((word, stems[stem] + tail) for word, stem, tail in whole)
+        for word, parts in split:
             known[word] = stems[parts[0]] if len(parts) == 1 else b"".join(map(stems.__getitem__, parts))
         if len(stems) > STEM_CACHE:
             for part in fresh:
                 del stems[part]
 
     def of(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
-        words = [split_words(text) for text in texts]
-        new = list(set().union(*words).difference(self.known))
-        self._learn(new)
         end = array("I", [END_ID]).tobytes()
-        for part in words:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, part)) + end, "<u4")
-        for word in new[max(0, len(new) - (len(self.known) - ID_CACHE)) :] if len(self.known) > ID_CACHE else ():
-            del self.known[word]
+        split = [split_words(text) for text in texts]
+        words = list(itertools.chain.from_iterable(split))
+        found = list(map(self.known.get, words))
+        new = {word: None for word, ids in zip(words, found, strict=True) if ids is None}
+        if new:
+            self._learn(new)
+            known = self.known
+            found = [known[word] if ids is None else ids for word, ids in zip(words, found, strict=True)]
+            if len(known) > ID_CACHE:
+                for word in list(new)[max(0, len(new) - (len(known) - ID_CACHE)) :]:
+                    del known[word]
+        at = 0
+        for part in split:
+            yield np.frombuffer(b"".join(found[at : at + len(part)]) + end, "<u4")
+            at += len(part)
 
 
 @functools.lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
+def text_ids(path: str) -> WordIds | TextIds:
     """One for each worker process, which Spark uses for many tasks."""
-    return WordIds(path)
+    return WordIds(path) if is_wordwise(path) else TextIds(path)
 
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -125,11 +192,11 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer_path)
-        for batch in slices(batches):
+        words = text_ids(tokenizer_path)
+        for batch, texts in text_chunks(batches, limit=SLICE_BYTES):
             rows: list[list] = [[], [], [], [], []]
             kept = []
-            for doc, ids in zip(batch.column(0).to_pylist(), words.of(as_bytes(batch.column(1))), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.of(texts), strict=True):
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     for column, value in zip(rows, (doc, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
@@ -229,8 +296,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
             if not gaps[gap]:
                 del gaps[gap]
                 order.pop(k)
-            each = min(gap // length, max(1, left[length] // many))
-            take = min(many, left[length])
+            # What is left of a bin is the tightest gap again, so one bin is filled after the other.
+            each = gap // length
+            take = min(many, left[length] // each)
+            if not take:
+                each, take = left[length], 1
             for j in range(each):
                 place(length, take, first, capacity - gap + j * length)
             for gap_now, at, bins in ((gap - each * length, first, take), (gap, first + take, many - take)):

@@ -216,14 +216,14 @@ class Words:
         return marks[self.ends] - marks[self.starts]
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Cut batches so that each part holds about CHUNK_BYTES of text, or a single longer text."""
+def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Cut batches so that each part holds about ``limit`` bytes of text, or a single longer text."""
     for batch in slices(batches):
         texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
         start = size = 0
         for i, value in enumerate(texts):
             size += len(value or b"") + 1
-            if size >= CHUNK_BYTES:
+            if size >= limit:
                 yield batch.slice(start, i + 1 - start), texts[start : i + 1]
                 start, size = i + 1, 0
         if start < len(texts):

@@ -148,16 +148,50 @@ def test_pieces_equal_the_library_and_round_trip(spark, piece_model):
     texts = ["Hello  world   x\n\ny\t z 日本語 🙂 é ▁a", "", None, "a" * 100 + " " + "ab" * 50, "   ", "trailing ", "internationalisation of unbelievable", prose(4, 40)]
     texts += [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(12).collect()]
     df = frame(spark, list(enumerate(texts)))
-    rows = sorted(piece_lattice.encode(spark, df, model, Scratch(spark, "t")).collect(), key=lambda r: (r["doc_id"], r["at"]))
-    got = {i: [] for i in range(len(texts))}
-    for r in rows:
-        got[r["doc_id"]] += r["ids"]
+    rows = piece_lattice.encode(spark, df, model, Scratch(spark, "t"))
+    got = {r["doc_id"]: r["ids"] for r in rows.collect()}
     assert got == {i: library.encode(t or "") for i, t in enumerate(texts)}
-    whole = spark.createDataFrame(list(got.items()), "doc_id long, ids array<int>")
-    back = {r["doc_id"]: r["text"] for r in piece_lattice.decode(spark, whole, model, ["doc_id"]).collect()}
+    back = {r["doc_id"]: r["text"] for r in piece_lattice.decode(spark, rows, model, ["doc_id"]).collect()}
+    assert back == {i: library.decode(got[i]) for i in got}
     assert all(back[i] == (t or "").replace("▁", " ") for i, t in enumerate(texts))
 
 
+def test_pieces_of_odd_rows(spark, piece_model):
+    """Repeated rows, null ids, an empty table, a very long text."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_model)
+    model = piece_lattice.load_model(piece_model)
+    rows = [(1, "some text"), (1, "some text"), (1, "another"), (None, "no id"), (None, None), (2, prose(3, 40_000))]
+    got = piece_lattice.encode_and_decode(spark, frame(spark, rows), model, Scratch(spark, "t")).collect()
+    want = [(i, len(ids := library.encode(t or "")), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in rows]
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == Counter(want)
+    assert all(r["round_trip"] for r in got)
+    assert piece_lattice.encode_and_decode(spark, frame(spark, []), model, Scratch(spark, "t")).count() == 0
+
+
+def test_unigram_pieces_equal_the_library(spark, tmp_path):
+    """A model written by hand: best sums of scores, and neighbouring unknown characters as one unknown."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    for piece, score, kind in [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)]:
+        proto.pieces.add(piece=piece, score=score, type=kind)
+    scored = {"▁": -2.1, "a": -3.3, "b": -3.7, "c": -4.3, "ab": -5.9, "bc": -6.13, "abc": -8.41, "▁a": -4.27, "▁ab": -6.71, "ca": -5.57, "aa": -6.03, "▁bca": -9.2}
+    for piece, score in scored.items():
+        proto.pieces.add(piece=piece, score=score, type=1)
+    proto.trainer_spec.model_type = 1
+    proto.normalizer_spec.name = "identity"
+    proto.normalizer_spec.remove_extra_whitespaces = False
+    path = tmp_path / "unigram.model"
+    path.write_bytes(proto.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = ["abc", "abcab  bca", "zz ab zé", "", None, "aab caab bcabc", " a", "xyz", "ab" * 30]
+    rows = piece_lattice.encode(spark, frame(spark, list(enumerate(texts))), piece_lattice.load_model(str(path)), Scratch(spark, "t"))
+    assert {r["doc_id"]: r["ids"] for r in rows.collect()} == {i: library.encode(t or "") for i, t in enumerate(texts)}
+
+
 def test_the_query_decodes_what_it_encoded(spark, piece_model, monkeypatch):
     import hashlib
 
@@ -173,7 +207,7 @@ def test_the_query_decodes_what_it_encoded(spark, piece_model, monkeypatch):
 
 def test_viterbi_fold_equals_plain_viterbi(spark):
     pieces = {p: (i, s) for i, (p, s) in enumerate([("a", -2.0), ("b", -2.5), ("ab", -3.0), ("abc", -3.2), ("c", -2.0), ("bc", -3.9), ("▁", -1.0), ("▁a", -2.2)])}
-    model = piece_lattice.Model("unigram", pieces, [], 99, {}, True, frozenset())
+    model = piece_lattice.Model("unigram", pieces, [], 99, {}, True)
     chunks = ["▁abcab", "abcabc", "▁", "xax", "bcbca"]
     rows = piece_lattice.segment(spark, spark.createDataFrame([(c, 1) for c in chunks], "chunk string, n long"), model).collect()
     assert {r["chunk"]: r["ids"] for r in rows} == {c: piece_lattice.viterbi_chunk(c, model) for c in chunks}
@@ -281,7 +315,24 @@ def test_toxicity_on_held_out_rows(spark):
 # --- packing ---
 
 
-def test_plan_is_gapless_and_near_the_bound():
+def piece_by_piece(counts, capacity):
+    """Sequences of the same rule, one piece at a time: large pieces in pairs, the others into the tightest gap."""
+    large = sorted((n for n, c in counts.items() for _ in range(c) if 3 * n > capacity), reverse=True)
+    gaps = []
+    while large:
+        first = large.pop(0)
+        partner = next((i for i, n in enumerate(large) if n <= capacity - first), None)
+        gaps.append(capacity - first - (large.pop(partner) if partner is not None else 0))
+    for n in sorted((n for n, c in counts.items() for _ in range(c) if 3 * n <= capacity), reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is None:
+            gaps.append(capacity - n)
+        else:
+            gaps[gaps.index(fit)] -= n
+    return len(gaps)
+
+
+def test_plan_is_best_fit_and_gapless():
     import random
 
     r = random.Random(6)
@@ -300,10 +351,25 @@ def test_plan_is_gapless_and_near_the_bound():
                     assert offset == at
                     at += length
                 assert at <= capacity
+            assert len(placed) == piece_by_piece(counts, capacity)
             large = sum(c for n, c in counts.items() if 2 * n > capacity)
             assert len(placed) <= 1.1 * max(large, -(-sum(n * c for n, c in counts.items()) // capacity)) + 1
 
 
+def test_other_tokenizers_encode_whole_texts(spark):
+    """A tokenizer that keeps case and white space is not taken word by word."""
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    assert best_fit_packing.is_wordwise(tokenizers.path("word_bpe_49k.json"))
+    path = tokenizers.path("byte_bpe_50k.json")
+    assert not best_fit_packing.is_wordwise(path)
+    rows = [(1, "Two  words,\n and MORE"), (2, None), (3, "")]
+    got = best_fit_packing.pack_documents(spark, frame(spark, rows), path, with_ids=True).collect()
+    library = Tokenizer.from_file(path)
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows}
+
+
 def test_packing_equals_the_tokenizer(spark):
     tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
