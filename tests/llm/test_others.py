@@ -224,8 +224,8 @@ def test_main_text_without_the_rest():
       <div class="cookie-notice">Accept</div><main><article class="post"><h1>Title &amp; more</h1><p>One <b>bold</b>  two<br>three <p>Four &#233; &lt;x&gt;
       <div class="ad">Buy</div><form><input value=x>Sign<button>Go</button></form><script>var t="</p>";</script><ul><li>item 1<li>item 2</ul>
       <aside>Related</aside><section id="comments"><p>First!</p></section></article></main><div id="sidebar">Side</div><footer>&copy;</footer>"""
-    assert wrapper_inference.main_text(page, set()) == "Title & more\nOne bold two three\nFour é <x>\nitem 1\nitem 2"
-    assert wrapper_inference.main_text(None, set()) == "" and wrapper_inference.main_text("a < b <!-- x", set()) == "a < b"
+    assert wrapper_inference.main_text(page) == "Title & more\nOne bold two three\nFour é <x>\nitem 1\nitem 2"
+    assert wrapper_inference.main_text(None) == "" and wrapper_inference.main_text("a < b <!-- x") == "a < b"
     assert visible_text("<p>a<p>b<table><tr><td>c<td>d</table>") == "a\nb\nc\nd"
 
 
@@ -238,7 +238,7 @@ def test_wrappers_resolve_differences():
     assert "?" in kinds and "+" in kinds
     import xxhash
 
-    fixed = wrapper_inference.constants(w)
+    fixed = {text for _, text in wrapper_inference.constants(w)}
     assert xxhash.xxh3_64_hexdigest("Site name") in fixed and xxhash.xxh3_64_hexdigest("Imprint") in fixed and xxhash.xxh3_64_hexdigest("A") not in fixed
 
 
@@ -259,7 +259,52 @@ def test_every_page_counts_in_a_large_wrapper():
     for seed in (1, 2, 3):
         w, n = wrapper_inference.infer(w, n, folded(varied(seed)))
     assert n == 3
-    assert wrapper_inference.constants(w) == {xxhash.xxh3_64_hexdigest(t) for t in ("Site name", "Imprint")}
+    place = ("<html>", "<body>", "<div>")
+    assert wrapper_inference.constants(w) == {(place, xxhash.xxh3_64_hexdigest(t)) for t in ("Site name", "Imprint")}
+
+
+def extracted(spark, pages, host="h.example", partitions=None):
+    df = spark.createDataFrame([(i, f"http://{host}/{i}", html) for i, html in enumerate(pages)], "page_id long, url string, html string")
+    if partitions:
+        df = df.repartition(partitions, "page_id")
+    return [r["text"] for r in wrapper_inference.extract_main_text(spark, df).orderBy("page_id").collect()]
+
+
+def test_the_wrapper_says_where_main_text_is(spark):
+    """Text that varies over pages decides, not names of elements."""
+    story = "<p>Story {0} begins here and goes on for a while</p><p>then it ends, {0}</p>"
+    plain = f'<body><div class="site-header">Top {{0}}</div><div>{story}</div><article class="reply-1">I agree {{0}}</article><div><a>More {{0}}</a></div></body>'
+    teaser = f"<body><main>{story}</main><article>Read also: {{0}}</article></body>"
+    inside = f'<body><article><h1>Title {{0}}</h1><div>Pass it on</div>{story}<div class="public-notice">Notice {{0}} of the town</div><div class="social-links"><a>A {{0}}</a> <a>B {{0}}</a></div></article></body>'
+    lines = "Story n{0} begins here and goes on for a while\nthen it ends, n{0}"
+    for n in (1, 2, 5):
+        for page in (plain, teaser):
+            assert extracted(spark, [page.format(f"n{i}") for i in range(n)]) == [lines.format(i) for i in range(n)]
+    # A line that stands at its place in every page is the template's, from three different pages on.
+    share = ["", "Pass it on\n"]
+    for n in (2, 5):
+        got = extracted(spark, [inside.format(f"n{i}") for i in range(n)])
+        assert got == [f"Title n{i}\n{share[n < 3]}{lines.format(i)}\nNotice n{i} of the town" for i in range(n)]
+
+
+def test_long_pages_keep_their_text(spark):
+    """Pages without a common template, of more items than a wrapper keeps."""
+    import random
+
+    def page(seed):
+        r = random.Random(seed)
+        tags = r.choices(("h2", "h3", "p", "pre", "address"), k=460)
+        return "<body>" + "".join(f"<{t}>Text {seed} {i}</{t}>" for i, t in enumerate(tags)) + "</body>"
+
+    got = extracted(spark, [page(i) for i in range(4)])
+    assert [len(t.split("\n")) for t in got] == [460] * 4
+
+
+def test_wrappers_do_not_depend_on_partitions(spark):
+    pages = [f"<body><div>Name</div><div>{'<p>a %d</p>' % i * (1 + i % 3)}</div>{'<h4>x</h4>' * (i % 2)}<div>End</div></body>" for i in range(40)]
+    one = extracted(spark, pages, partitions=1)
+    assert one == extracted(spark, pages, partitions=7) == extracted(spark, list(reversed(pages)), partitions=3)[::-1]
+    assert one[4] == "a 4\na 4"
 
 
 def test_pages_without_an_article_lose_template_texts(spark):
