@@ -66,7 +66,12 @@ def main(argv: list[str] | None = None) -> int:
         print(schema.reverse_engineer(_context(args), args.names))
     else:
         migrator = schema.Migrator(_context(args), _migrations(args))
-        print("\n".join(migrator.apply_pending()) if args.verb == "apply" else migrator.revert_last() or "nothing to revert")
+        if args.verb == "apply":
+            print("\n".join(migrator.apply_pending()))
+        elif args.names:
+            print("\n".join(migrator.revert_to(args.names[0])))
+        else:
+            print(migrator.revert_last() or "nothing to revert")
     return 0
 
 

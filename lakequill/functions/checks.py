@@ -97,28 +97,39 @@ def violations(entity: Entity, rows: DataFrame) -> DataFrame:
     return rows.withColumn("check", F.explode(broken))
 
 
-def duplicates(entity: Entity, rows: DataFrame) -> DataFrame:
-    """(rule, n) of key values that occur more than once: keys, alternate keys, unique columns and indexes."""
+def duplicates(entity: Entity, rows: DataFrame, among: DataFrame | None = None, touched: set[str] | None = None) -> DataFrame:
+    """(rule, value, n) of key values that occur more than once: keys, alternate keys, unique columns and indexes.
+
+    With ``among`` only values that those rows have, with ``touched`` only rules that name one of these columns.
+    """
     found = []
     rules: list[tuple[tuple[str, ...], str | None]] = [(entity.key, None)] if entity.key else []
     rules += [(k, None) for k in entity.alternate_keys] + [((c.name,), None) for c in entity.columns.values() if c.unique]
     rules += [(i.columns, i.filter) for i in entity.indexes if i.unique and i.columns]
     for names, only in rules:
+        if touched is not None and touched.isdisjoint(names):
+            continue
         some = rows.where(only) if only else rows
         some = some.where(functools.reduce(lambda a, b: a & b, (F.col(f"`{n}`").isNotNull() for n in names)))
+        if among is not None:
+            some = some.join(among.select(*names).distinct(), list(names), "left_semi")
         counted = some.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1")
         found.append(counted.select(F.lit(", ".join(names)).alias("rule"), F.concat_ws(",", *(F.col(f"`{n}`").cast("string") for n in names)).alias("value"), "n"))
     return functools.reduce(DataFrame.unionByName, found) if found else rows.select(F.lit("").alias("rule"), F.lit("").alias("value"), F.lit(0).cast("long").alias("n")).limit(0)
 
 
-def orphans(context: Context, entity: Entity, rows: DataFrame | None = None) -> DataFrame:
-    """(rule, value) of foreign keys that refer to no row."""
+def orphans(context: Context, entity: Entity, rows: DataFrame | None = None, tables: dict[str, DataFrame] | None = None, touched: set[str] | None = None) -> DataFrame:
+    """(rule, value) of foreign keys that refer to no row, of the stored tables or of ``tables`` (frames by entity); ``touched`` as for duplicates."""
     rows = context.read(entity, False) if rows is None else rows
     keys = [((n.fk,), n.target, (context.model.get(n.target).key[0],)) for n in entity.navigations.values() if n.kind is Kind.BELONGS_TO]
     keys += [(f.columns, f.target, f.target_columns) for f in entity.foreign_keys]
     found = []
     for names, target, columns in keys:
-        other = context.read(context.model.get(target), False).select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)))
+        if touched is not None and touched.isdisjoint(names):
+            continue
+        there = (tables or {}).get(target)
+        there = context.read(context.model.get(target), False) if there is None else there
+        other = there.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)))
         some = rows.where(functools.reduce(lambda a, b: a & b, (F.col(f"`{n}`").isNotNull() for n in names)))
         gone = some.join(other, list(names), "left_anti")
         found.append(gone.select(F.lit(f"{', '.join(names)} -> {target}").alias("rule"), F.concat_ws(",", *(F.col(f"`{n}`").cast("string") for n in names)).alias("value")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ConcurrencyConflict, ForeignKeyViolation, InvalidQuery, UniqueViolation
+from ..errors import CheckViolation, ConcurrencyConflict, ForeignKeyViolation, InvalidQuery, RequiredViolation, UniqueViolation
+from ..functions import checks
 from ..functions.predicates import Columns, Scope, fresh_alias
 from ..model import Entity, Kind, OnDelete
 from ..sources.context import Context
@@ -52,10 +53,18 @@ class BulkUpdate:
 
     def execute(self) -> int:
         out = self.frame()
+        context, entity = self.query.context, self.query.entity
+        for name, value in self.values.items():
+            if value is None and entity.get(name).required:
+                raise RequiredViolation(f"{entity.name}.{name} is required")
         rows, hit = _matched(self.query)
         count = rows.where(hit).count()
         if count:
-            context, entity = self.query.context, self.query.entity
+            constants = F.lit(True)
+            for name, value in self.values.items():
+                constants = constants & F.col(f"`{name}`").eqNullSafe(F.lit(value).cast(entity.get(name).type))
+            # Rows that have the new values: those that were changed, and others that had them before.
+            check_rows(context, entity, out.where(constants), out, set(self.values))
             context.replace_tables({entity.table: context.to_storage(entity, out)})
         return count
 
@@ -81,30 +90,46 @@ def _conform(entity: Entity, rows: DataFrame) -> DataFrame:
     ))
 
 
-def _unique(entity: Entity, rows: DataFrame, what: str) -> None:
-    if not rows.groupBy(*entity.key).count().where("count > 1").isEmpty():
-        raise UniqueViolation(f"{what}: a key of {entity.name} twice")
+def check_rows(context: Context, entity: Entity, rows: DataFrame, whole: DataFrame, touched: set[str] | None = None) -> None:
+    """Raise at the first rule that ``rows`` break in the table ``whole``: required, checks, keys and unique columns, foreign keys.
+
+    Unique columns and foreign keys are tried by the values of ``rows`` only; with ``touched`` only those of these columns.
+    """
+    if bad := checks.violations(entity, rows).head(1):
+        rule = bad[0]["check"]
+        raise (RequiredViolation if rule.endswith(" required") else CheckViolation)(f"{entity.name}: {rule}")
+    if bad := checks.duplicates(entity, whole, rows, touched).head(1):
+        raise UniqueViolation(f"{entity.name}({bad[0]['rule']}) {bad[0]['value']} {bad[0]['n']} times")
+    if bad := checks.orphans(context, entity, rows, {entity.name: whole}, touched).head(1):
+        raise ForeignKeyViolation(f"{entity.name}: {bad[0]['rule']} refers to no row with {bad[0]['value']}")
 
 
-def insert_frame(context: Context, entity: Entity, rows: DataFrame, current: DataFrame | None = None) -> DataFrame:
-    """The table with ``rows`` added; absent auto-increment keys follow the greatest one (with gaps)."""
+def insert_frame(context: Context, entity: Entity, rows: DataFrame, current: DataFrame | None = None, validate: bool = True) -> DataFrame:
+    """The table with ``rows`` added; absent auto-increment keys follow the greatest one (with gaps). Rows that break a rule raise."""
     current = context.read(entity, False) if current is None else current
     for name in entity.key:
         if entity.get(name).auto_increment and name not in rows.columns:
             top = current.agg(F.coalesce(F.max(name), F.lit(0)).cast("long")).first()[0]
             rows = rows.withColumn(name, F.monotonically_increasing_id() + F.lit(top + 1))
     stored = [F.col(f"`{c.name}`") for c in entity.stored_columns()]
-    return current.select(*stored).unionByName(_conform(entity, rows))
+    rows = _conform(entity, rows)
+    out = current.select(*stored).unionByName(rows)
+    if validate:
+        check_rows(context, entity, rows, out)
+    return out
 
 
-def upsert_frame(context: Context, entity: Entity, rows: DataFrame, current: DataFrame | None = None) -> DataFrame:
-    """The table with ``rows`` in place of those of equal keys, or added."""
+def upsert_frame(context: Context, entity: Entity, rows: DataFrame, current: DataFrame | None = None, validate: bool = True) -> DataFrame:
+    """The table with ``rows`` in place of those of equal keys, or added. Two rows of one key, and rows that break a rule, raise."""
     if not entity.key:
         raise InvalidQuery(f"upsert needs a key on {entity.name}")
     current = context.read(entity, False) if current is None else current
     rows = _conform(entity, rows)
     kept = current.join(rows.select(*entity.key), list(entity.key), "left_anti")
-    return kept.select(*rows.columns).unionByName(rows)
+    out = kept.select(*rows.columns).unionByName(rows)
+    if validate:
+        check_rows(context, entity, rows, out)
+    return out
 
 
 def delta_frame(entity: Entity, current: DataFrame, delta: DataFrame) -> DataFrame:
@@ -135,46 +160,81 @@ def delete_rule(context: Context, entity: Entity, nav) -> OnDelete:
     return OnDelete.CASCADE if context.model.get(nav.target).get(nav.fk).required else OnDelete.SET_NULL
 
 
-def cascade_delete(context: Context, entity: Entity, keys: DataFrame, tables: dict[str, DataFrame], seen: tuple[str, ...] = ()) -> None:
-    """Remove the rows of ``keys`` and what depends on them from ``tables`` (frames by entity), dependents first."""
+def _reaches(context: Context, start: str, wanted: str) -> bool:
+    """Does a chain of cascading navigations lead from one entity to another."""
+    todo, seen = [start], set()
+    while todo:
+        entity = context.model.get(todo.pop())
+        for nav in entity.navigations.values():
+            if nav.kind in (Kind.HAS_MANY, Kind.HAS_ONE) and nav.target not in seen and delete_rule(context, entity, nav) is OnDelete.CASCADE:
+                if nav.target == wanted:
+                    return True
+                seen.add(nav.target)
+                todo.append(nav.target)
+    return False
+
+
+def cascade_delete(context: Context, entity: Entity, keys: DataFrame, tables: dict[str, DataFrame]) -> None:
+    """Remove the rows of ``keys`` and what depends on them from ``tables`` (frames by entity).
+
+    First all keys that go are found, down every chain of cascading navigations and round its cycles, then each
+    table is changed once. RESTRICT raises if a row that stays refers to one that goes.
+    """
 
     def rows(e: Entity) -> DataFrame:
         if e.name not in tables:
             tables[e.name] = context.read(e, False)
         return tables[e.name]
 
-    for nav in entity.navigations.values():
-        if nav.kind is Kind.MANY_TO_MANY and nav.through in context.model.entities:
-            through = context.model.get(nav.through)
-            gone = keys.select(F.col(entity.key[0]).alias(nav.fk))
-            tables[through.name] = rows(through).join(gone, nav.fk, "left_anti").select(*rows(through).columns)
-        if nav.kind not in (Kind.HAS_MANY, Kind.HAS_ONE):
-            continue
-        other = context.model.get(nav.target)
-        parents = keys.select(F.col(entity.key[0]).alias(nav.fk)).distinct()
-        rule = delete_rule(context, entity, nav)
-        if rule is OnDelete.NO_ACTION:
-            continue
-        hit = rows(other).join(parents, nav.fk, "left_semi")
-        if rule is OnDelete.RESTRICT:
-            if not hit.isEmpty():
-                raise ForeignKeyViolation(f"{entity.name} is still used by {other.name}")
-        elif rule is OnDelete.SET_NULL:
-            marked = rows(other).join(parents.withColumn("__gone", F.lit(True)), nav.fk, "left")
-            tables[other.name] = marked.withColumn(nav.fk, F.when(F.col("__gone"), F.lit(None)).otherwise(F.col(nav.fk))).select(*rows(other).columns)
-        elif other.name == entity.name:
-            # A table that refers to itself: one level at a time until no level has rows.
-            level = hit.select(*other.key)
-            for _ in range(100):
-                if level.isEmpty():
-                    break
-                below = rows(other).join(level.select(F.col(other.key[0]).alias(nav.fk)), nav.fk, "left_semi").select(*other.key)
-                tables[other.name] = rows(other).join(level, list(other.key), "left_anti").select(*rows(other).columns)
-                level = below.join(level, list(other.key), "left_anti")
-            else:
-                raise ForeignKeyViolation(f"{entity.name} refers to itself over 100 levels deep")
-        elif other.key:
-            cascade_delete(context, other, hit.select(*other.key), tables, (*seen, entity.name))
+    def at(e: Entity, found: DataFrame, name: str) -> DataFrame:
+        return found.select(F.col(f"`{e.key[0]}`").alias(name)).distinct()
+
+    gone: dict[str, DataFrame] = {}
+    keyless: list[tuple[Entity, str, DataFrame]] = []
+    todo = [(entity, keys.select(*entity.key).distinct())]
+    while todo:
+        e, fresh = todo.pop(0)
+        if e.name not in gone:
+            gone[e.name] = fresh
         else:
-            tables[other.name] = rows(other).join(parents, nav.fk, "left_anti").select(*rows(other).columns)
-    tables[entity.name] = rows(entity).join(keys.select(*entity.key), list(entity.key), "left_anti").select(*rows(entity).columns)
+            fresh = fresh.join(gone[e.name], list(e.key), "left_anti")
+            gone[e.name] = gone[e.name].unionByName(fresh)
+        if _reaches(context, e.name, e.name):
+            # A cycle goes round until nothing new is found; each round is cut off from those before.
+            fresh, gone[e.name] = context.cut(fresh), context.cut(gone[e.name])
+            if fresh.isEmpty():
+                continue
+        for nav in e.navigations.values():
+            if nav.kind in (Kind.HAS_MANY, Kind.HAS_ONE) and delete_rule(context, e, nav) is OnDelete.CASCADE:
+                other = context.model.get(nav.target)
+                parents = at(e, fresh, nav.fk)
+                if other.key:
+                    todo.append((other, rows(other).join(parents, nav.fk, "left_semi").select(*other.key)))
+                else:
+                    keyless.append((other, nav.fk, parents))
+
+    def staying(e: Entity) -> DataFrame:
+        return rows(e).join(gone[e.name], list(e.key), "left_anti") if e.name in gone else rows(e)
+
+    for name, found in gone.items():
+        e = context.model.get(name)
+        for nav in e.navigations.values():
+            if nav.kind in (Kind.HAS_MANY, Kind.HAS_ONE) and delete_rule(context, e, nav) is OnDelete.RESTRICT:
+                other = context.model.get(nav.target)
+                if not staying(other).join(at(e, found, nav.fk), nav.fk, "left_semi").isEmpty():
+                    raise ForeignKeyViolation(f"{e.name} is still used by {other.name}")
+    for name, found in gone.items():
+        e = context.model.get(name)
+        for nav in e.navigations.values():
+            if nav.kind is Kind.MANY_TO_MANY and nav.through in context.model.entities:
+                through = context.model.get(nav.through)
+                tables[through.name] = rows(through).join(at(e, found, nav.fk), nav.fk, "left_anti").select(*rows(through).columns)
+            elif nav.kind in (Kind.HAS_MANY, Kind.HAS_ONE) and delete_rule(context, e, nav) is OnDelete.SET_NULL:
+                other = context.model.get(nav.target)
+                marked = rows(other).join(at(e, found, nav.fk).withColumn("__gone", F.lit(True)), nav.fk, "left")
+                tables[other.name] = marked.withColumn(nav.fk, F.when(F.col("__gone"), F.lit(None)).otherwise(F.col(nav.fk))).select(*rows(other).columns)
+    for other, fk, parents in keyless:
+        tables[other.name] = rows(other).join(parents, fk, "left_anti").select(*rows(other).columns)
+    for name in gone:
+        e = context.model.get(name)
+        tables[name] = staying(e).select(*rows(e).columns)

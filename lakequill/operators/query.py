@@ -48,7 +48,7 @@ class Agg:
             return F.count("*")
         c = F.col(f"`{self.column}`")
         if self.distinct:
-            return {"count": F.count_distinct, "sum": F.sum_distinct}[self.function](c) if self.function in ("count", "sum") else _AGGREGATE[self.function](c)
+            return F.expr(f"{self.function}(DISTINCT `{self.column}`)")
         return _AGGREGATE[self.function](c)
 
     def _compare(self, op: str, other: object) -> Having:
@@ -141,13 +141,21 @@ class Query:
         other = self.context.model.get(entity)
         other.get(_name(right))
         side = self.context.read(other, self.context.filter_joined)
-        stem = prefix or other.table
+        stem = self._stem(prefix or other.table, side.columns)
         side = side.select(*(F.col(f"`{c}`").alias(f"{stem}_{c}" if c in self.rows.columns or prefix else c) for c in side.columns))
         named = _name(right) if _name(right) in side.columns and not prefix and _name(right) not in self.rows.columns else f"{stem}_{_name(right)}"
         a, b = fresh_alias("l"), fresh_alias("r")
         on = F.col(f"`{a}`.`{self.entity.get(_name(left)).name}`") == F.col(f"`{b}`.`{named}`")
         return replace(self, rows=self.rows.alias(a).join(side.alias(b), on, how), changed=True)
 
+    def _stem(self, stem: str, columns: list[str]) -> str:
+        """A prefix that keeps the columns of a table that is joined again apart: ``items``, then ``items_2`` and so on."""
+        have, n, out = set(self.rows.columns), 1, stem
+        while any(f"{out}_{c}" in have for c in columns):
+            n += 1
+            out = f"{stem}_{n}"
+        return out
+
     def inner_join(self, entity: str, left, right, prefix: str | None = None) -> Query:
         return self._join("inner", entity, left, right, prefix)
 
@@ -163,7 +171,7 @@ class Query:
     def cross_join(self, entity: str, prefix: str | None = None) -> Query:
         other = self.context.model.get(entity)
         side = self.context.read(other, self.context.filter_joined)
-        stem = prefix or other.table
+        stem = self._stem(prefix or other.table, side.columns)
         side = side.select(*(F.col(f"`{c}`").alias(f"{stem}_{c}" if c in self.rows.columns or prefix else c) for c in side.columns))
         return replace(self, rows=self.rows.crossJoin(side), changed=True)
 
@@ -253,8 +261,12 @@ class Query:
         source = Query(self.context, other, self.context.read(other, self.context.filter_joined))
         return self.with_cte(name, source if condition is None else source.where(condition))
 
-    def with_recursive(self, name: str, entity: str, fk: str, key: str, anchor: Callable[[Columns], Predicate] | None = None) -> Query:
-        """Rows reached from the anchor rows by ``row.fk = found.key``, anchor included; a cycle raises."""
+    def with_recursive(self, name: str, entity: str, fk: str, key: str, anchor: Callable[[Columns], Predicate] | None = None, levels: int = 1000) -> Query:
+        """Rows reached from the anchor rows by ``row.fk = found.key``, anchor included; what is deeper than ``levels``, a cycle too, raises.
+
+        The session's limit on the rows of a recursion is lifted.
+        """
+        self.context.spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
         other = self.context.model.get(entity)
         rows = self.context.read(other, self.context.filter_joined)
         start = Query(self.context, other, rows) if anchor is None else Query(self.context, other, rows).where(anchor)
@@ -263,7 +275,7 @@ class Query:
         start.rows.createOrReplaceTempView(b)
         names = ", ".join(f"`{c}`" for c in rows.columns)
         mine = ", ".join(f"t.`{c}`" for c in rows.columns)
-        sql = f"WITH RECURSIVE found({names}) AS (SELECT {names} FROM {b} UNION ALL SELECT {mine} FROM {a} t JOIN found ON t.`{other.get(fk).name}` = found.`{other.get(key).name}`) SELECT {names} FROM found"
+        sql = f"WITH RECURSIVE found({names}) MAX RECURSION LEVEL {int(levels)} AS (SELECT {names} FROM {b} UNION ALL SELECT {mine} FROM {a} t JOIN found ON t.`{other.get(fk).name}` = found.`{other.get(key).name}`) SELECT {names} FROM found"
         return self.with_cte(name, self.context.spark.sql(sql))
 
     def from_cte(self, name: str) -> Query:

@@ -39,6 +39,7 @@ class Entry:
     state: State
     original: dict | None = None
     links: list[tuple[str, Entry]] = field(default_factory=list)
+    added: bool = False  # tracked as a new row
 
     def __getitem__(self, name: str) -> object:
         return self.values[name]
@@ -107,7 +108,7 @@ class UnitOfWork:
         entity = self._entity(name)
         for column in values:
             entity.get(column)
-        entry = Entry(entity, dict(values), state, None if state in (State.ADDED, State.UPSERTED) else dict(values))
+        entry = Entry(entity, dict(values), state, None if state in (State.ADDED, State.UPSERTED) else dict(values), added=state is State.ADDED)
         self.entries.append(entry)
         return entry
 
@@ -145,6 +146,17 @@ class UnitOfWork:
         self.entries = [e for e in self.entries if e.entity.name != name]
         return [self.attach(name, r) for r in self.context.set(name).to_list()]
 
+    def state_of(self, entry: Entry) -> State | None:
+        """State of an entry; None if it is not tracked."""
+        self.detect_changes()
+        return entry.state if entry in self.entries else None
+
+    def original_of(self, entry: Entry) -> dict | None:
+        return None if entry.original is None else dict(entry.original)
+
+    def modified_columns(self, entry: Entry) -> list[str]:
+        return entry.dirty()
+
     def detach(self, entry: Entry) -> None:
         self.entries.remove(entry)
 
@@ -242,9 +254,17 @@ class UnitOfWork:
                 touched.setdefault(entity.name, []).extend(e.values for e in added)
                 tables[entity.name] = rows(entity).unionByName(self._frame(entity, [e.values for e in added], stored))
             if upserts := [e.values for e in mine if e.state is State.UPSERTED]:
-                tables[entity.name] = upsert_frame(self.context, entity, self._frame(entity, upserts, stored), rows(entity))
+                named = [tuple(v.get(k) for k in entity.key) for v in upserts]
+                if len(set(named)) < len(named):
+                    raise UniqueViolation(f"{entity.name}: two upserts of one key")
+                tables[entity.name] = upsert_frame(self.context, entity, self._frame(entity, upserts, stored), rows(entity), validate=False)
             if changed := [e for e in mine if e.state is State.MODIFIED]:
                 tables[entity.name] = self._update(entity, changed, rows(entity))
+                if validate and entity.checks:
+                    # The rows as they will be, with the columns that the entries do not hold.
+                    keys = self._frame(entity, [{k: (e.original or {}).get(k, e.values.get(k)) for k in entity.key} for e in changed], list(entity.key))
+                    if bad := violations(entity, tables[entity.name].join(keys, list(entity.key), "left_semi")).head(1):
+                        raise CheckViolation(f"{entity.name}: {bad[0]['check']}")
         for entry in pending:
             for navigation, other in entry.links:
                 self._link(entry, navigation, other, rows, tables)
@@ -346,6 +366,13 @@ class UnitOfWork:
                 raise CheckViolation(f"{entity.name}: {bad.first()['check']}")
         keys = [(nav.fk, nav.target, self._entity(nav.target).key[0]) for nav in entity.navigations.values() if nav.kind is Kind.BELONGS_TO]
         keys += [(fk.columns[0], fk.target, fk.target_columns[0]) for fk in entity.foreign_keys if len(fk.columns) == 1]
+        for fk in (f for f in entity.foreign_keys if len(f.columns) > 1):
+            tuples = {tuple(e.values.get(n, (e.original or {}).get(n)) for n in fk.columns) for e in entries if any(n in e.values for n in fk.columns)}
+            if wanted := [t for t in tuples if None not in t]:
+                other = self._entity(fk.target)
+                frame = self._frame(other, [dict(zip(fk.target_columns, t, strict=True)) for t in wanted], list(fk.target_columns))
+                if not frame.join(rows(other).select(*fk.target_columns), list(fk.target_columns), "left_anti").isEmpty():
+                    raise ForeignKeyViolation(f"{entity.name}({', '.join(fk.columns)}) refers to no {fk.target}")
         for name, target, column in keys:
             values = {e.values.get(name) for e in entries if name in e.values} - {None}
             if values:
@@ -358,9 +385,21 @@ class UnitOfWork:
 
     def _state(self) -> dict:
         context = self.context
-        return {"frames": dict(context.frames), "manifest": context.store.manifest() if context.store else None}
+        entries = [(e, dict(e.values), e.state, None if e.original is None else dict(e.original), list(e.links)) for e in self.entries]
+        return {"frames": dict(context.frames), "manifest": context.store.manifest() if context.store else None, "entries": entries}
 
     def _restore(self, state: dict) -> None:
+        """Tables and tracked entries as they were; entries tracked since then stay, their changes pending again."""
+        known = {id(e) for e, *_ in state["entries"]}
+        later = [e for e in self.entries if id(e) not in known]
+        self.entries = []
+        for entry, values, mode, original, links in state["entries"]:
+            entry.values, entry.state, entry.original, entry.links = dict(values), mode, None if original is None else dict(original), list(links)
+            self.entries.append(entry)
+        for entry in later:
+            if entry.added and entry.state is State.UNCHANGED:  # saved since, and undone now
+                entry.state, entry.original = State.ADDED, None
+            self.entries.append(entry)
         self.context.frames = dict(state["frames"])
         if state["manifest"] is not None:
             self.context.store.replace(state["manifest"])

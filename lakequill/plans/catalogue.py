@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..functions.predicates import ALWAYS, NEVER, condition
+from ..functions.predicates import ALWAYS, NEVER, condition, raw
 from ..model import OnDelete
 from ..operators.mutation import cascade_delete, delta_frame, upsert_frame
+from ..operators.navigation import load
 from ..operators.query import Query, agg
 from ..sources.context import Context
 from .warehouse import open_warehouse, warehouse
@@ -50,8 +53,8 @@ query("SELECT * FROM nation WHERE n_regionkey = 1", "raw_sql")(lambda c: c.sql("
 
 for _name, _op, _sql in (("eq", "=", "="), ("ne", "!=", "<>"), ("gt", ">", ">"), ("ge", ">=", ">="), ("lt", "<", "<"), ("le", "<=", "<=")):
     query(f"SELECT * FROM orders WHERE o_orderstatus {_sql} 'O'", f"filter_cmp_{_name}")(lambda c, op=_op: c.set("Order").where(condition("o_orderstatus", op, "O")))
-    query(f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice {_sql} 150000", f"filter_price_{_name}")(
-        lambda c, op=_op: c.set("Order").where(condition("o_totalprice", op, 150000.0)).select("o_orderkey", "o_totalprice")
+    query(f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice {_sql} (SELECT o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 1)", f"filter_price_{_name}")(
+        lambda c, op=_op: c.set("Order").where(condition("o_totalprice", op, c.set("Order").last()["o_totalprice"])).select("o_orderkey", "o_totalprice")
     )
 
 
@@ -62,15 +65,13 @@ def filter_and_or_not(c):
 
 @query("SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'")
 def filter_date(c):
-    import datetime as dt
-
     return c.set("Order").where(lambda o: (o.o_orderdate >= dt.datetime(1996, 1, 1)) & (o.o_orderdate < dt.datetime(1997, 1, 1)))
 
 
 query("SELECT * FROM part WHERE p_name LIKE '%ar%'", "filter_like_contains")(lambda c: c.set("Part").where(lambda p: p.p_name.contains("ar")))
 query("SELECT * FROM part WHERE p_type LIKE 'S%'", "filter_like_prefix")(lambda c: c.set("Part").where(lambda p: p.p_type.starts_with("S")))
 query("SELECT * FROM part WHERE p_brand LIKE '%3'", "filter_like_suffix")(lambda c: c.set("Part").where(lambda p: p.p_brand.ends_with("3")))
-query("SELECT * FROM part WHERE p_name LIKE '%a_t%'", "filter_like_wildcard")(lambda c: c.set("Part").where(lambda p: p.p_name.contains("a_t")))
+query("SELECT * FROM part WHERE p_name LIKE '%a_e%'", "filter_like_wildcard")(lambda c: c.set("Part").where(lambda p: p.p_name.contains("a_e")))
 query("SELECT * FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')", "filter_in")(
     lambda c: c.set("Customer").where(lambda x: x.c_mktsegment.is_in(["BUILDING", "MACHINERY"]))
 )
@@ -80,8 +81,21 @@ query("SELECT * FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY'
 )
 query("SELECT * FROM customer", "filter_not_in_empty")(lambda c: c.set("Customer").where(lambda x: x.c_mktsegment.not_in([])))
 query("SELECT * FROM lineitem WHERE l_quantity BETWEEN 10 AND 20", "filter_between")(lambda c: c.set("LineItem").where(lambda x: x.l_quantity.between(10.0, 20.0)))
-query("SELECT * FROM orders WHERE o_orderpriority IS NULL", "filter_null")(lambda c: c.set("Order").where(lambda o: o.o_orderpriority.is_null()))
-query("SELECT * FROM orders WHERE o_orderpriority IS NOT NULL", "filter_not_null")(lambda c: c.set("Order").where(lambda o: o.o_orderpriority.is_not_null()))
+
+
+def _with_nulls(c: Context) -> Query:
+    """Orders without a priority where it is low."""
+    rows = c.storage("orders").withColumn("o_orderpriority", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")))
+    return c.use_frame("orders", rows).set("Order")
+
+
+_NULLED = "SELECT * REPLACE (nullif(o_orderpriority, '5-LOW') AS o_orderpriority) FROM orders"
+query(f"SELECT * FROM ({_NULLED}) WHERE o_orderpriority IS NULL", "filter_null")(lambda c: _with_nulls(c).where(lambda o: o.o_orderpriority.is_null()))
+query(f"SELECT * FROM ({_NULLED}) WHERE o_orderpriority IS NOT NULL", "filter_not_null")(lambda c: _with_nulls(c).where(lambda o: o.o_orderpriority.is_not_null()))
+query(f"SELECT * FROM ({_NULLED}) WHERE o_orderpriority NOT IN ('1-URGENT')", "filter_not_in_nulls")(lambda c: _with_nulls(c).where(lambda o: o.o_orderpriority.not_in(["1-URGENT"])))
+query(f"SELECT c_custkey FROM customer WHERE c_mktsegment NOT IN (SELECT o_orderpriority FROM ({_NULLED}))", "not_in_subquery_nulls")(
+    lambda c: (_with_nulls(c), c.set("Customer").where(lambda x: ~x.c_mktsegment.in_subquery("Order", "o_orderpriority")).select("c_custkey"))[1]
+)
 query("SELECT * FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)", "exists_any")(
     lambda c: c.set("Customer").where(lambda x: x.orders.any(lambda o: o.o_totalprice > 250000.0))
 )
@@ -104,8 +118,8 @@ query(
     "SELECT * FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000))",
     "exists_nested",
 )(lambda c: c.set("Nation").where(lambda n: n.customers.any(lambda x: x.orders.any(lambda o: o.o_totalprice > 300000.0))))
-query("SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", "in_subquery")(
-    lambda c: c.set("Customer").where(lambda x: x.c_custkey.in_subquery("Order", "o_custkey"))
+query("SELECT * FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier)", "in_subquery")(
+    lambda c: c.set("Customer").where(lambda x: x.c_custkey.in_subquery("Supplier", "s_suppkey"))
 )
 query("SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)", "not_in_subquery")(
     lambda c: c.set("Customer").where(lambda x: ~x.c_custkey.in_subquery("Order", "o_custkey", lambda o: o.o_totalprice > 100000.0))
@@ -127,12 +141,14 @@ def predicate_compose(c):
 query("SELECT c_custkey, c_name FROM customer", "select_cols")(lambda c: c.set("Customer").select("c_custkey", "c_name"))
 query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem", "distinct_rows")(lambda c: c.set("LineItem").select("l_returnflag", "l_linestatus").distinct())
 query("SELECT count(*) AS n FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)", "count_distinct_rows")(
-    lambda c: c.set("LineItem").select("l_returnflag", "l_linestatus").distinct().to_df().agg(F.count("*").alias("n"))
+    lambda c: _value(c, n=c.set("LineItem").select("l_returnflag", "l_linestatus").distinct().count())
+)
+query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_name FROM part", "select_typed")(
+    lambda c: c.spark.createDataFrame(c.set("Part").select("p_partkey", "p_size", "p_name").to_tuples("string", "double", "string"), "p_partkey string, p_size double, p_name string")
+)
+query("SELECT s_suppkey, s_name FROM supplier", "select_raw_rows")(
+    lambda c: c.spark.createDataFrame(c.set("Supplier").select("s_suppkey", "s_name").to_tuples(), "s_suppkey long, s_name string")
 )
-query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_totalprice AS BIGINT) AS price FROM orders WHERE o_orderkey < 100", "select_typed")(
-    lambda c: c.set("Order").where(lambda o: o.o_orderkey < 100).select("o_orderkey", "o_totalprice").to_df()
-    .select(F.col("o_orderkey").cast("string").alias("o_orderkey"), F.rint("o_totalprice").cast("bigint").alias("price"))
-)
 
 # --- joins ---
 
@@ -145,6 +161,14 @@ query(
     "SELECT l.*, o.*, p.* FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_quantity > 45", "join_two"
 )(lambda c: c.set("LineItem").where(lambda x: x.l_quantity > 45.0).inner_join("Order", "l_orderkey", "o_orderkey").inner_join("Part", "l_partkey", "p_partkey"))
 
+query(
+    """SELECT s.*, a.*, b.n_nationkey AS nation_n_nationkey, b.n_name AS nation_n_name, b.n_regionkey AS nation_n_regionkey,
+       d.n_nationkey AS nation_2_n_nationkey, d.n_name AS nation_2_n_name, d.n_regionkey AS nation_2_n_regionkey
+       FROM supplier s JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_regionkey LEFT JOIN nation d ON s_suppkey = d.n_nationkey""", "join_same_table_again"
+)(
+    lambda c: c.set("Supplier").inner_join("Nation", "s_nationkey", "n_nationkey").inner_join("Nation", "s_nationkey", "n_regionkey").left_join("Nation", "s_suppkey", "n_nationkey")
+)
+
 # --- scalar aggregates ---
 
 for _f, _sql in (
@@ -154,9 +178,8 @@ for _f, _sql in (
         lambda c, f=_f: c.set("LineItem").where(lambda x: x.l_returnflag == "R").scalar(f, "l_quantity").select(
             F.round("value", 2 if f == "sum" else 6).alias("value") if f in ("sum", "avg") else F.col("value"))
     )
-query("SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'R'", "agg_count")(
-    lambda c: c.set("LineItem").where(lambda x: x.l_returnflag == "R").to_df().agg(F.count("*").alias("n"))
-)
+query("SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'R'", "agg_count")(lambda c: _value(c, n=c.set("LineItem").where(lambda x: x.l_returnflag == "R").count()))
+query("SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'R'", "agg_long_count")(lambda c: _value(c, n=c.set("LineItem").where(lambda x: x.l_returnflag == "R").long_count()))
 query("SELECT 0.0::DOUBLE AS value", "agg_empty_zero")(lambda c: c.set("LineItem").where(lambda x: x.l_quantity < 0.0).scalar("sum", "l_quantity"))
 query("SELECT CAST(sum(DISTINCT p_size) AS DOUBLE) AS value FROM part", "agg_sum_distinct")(lambda c: c.set("Part").distinct().scalar("sum", "p_size"))
 query("SELECT avg(v) AS value FROM (SELECT DISTINCT p_size AS v FROM part)", "agg_avg_distinct")(lambda c: c.set("Part").distinct().scalar("avg", "p_size"))
@@ -186,12 +209,21 @@ for _name, _having, _sql in (
     ("and", (agg("count") > 8) & (agg("max", "o_totalprice") > 250000.0), "count(*) > 8 AND max(o_totalprice) > 250000"),
     ("or", (agg("count") > 16) | (agg("min", "o_totalprice") < 3000.0), "count(*) > 16 OR min(o_totalprice) < 3000"),
     ("not", ~(agg("avg", "o_totalprice") > 150000.0), "NOT (avg(o_totalprice) > 150000)"),
-    ("agg_vs_agg", agg("max", "o_totalprice") > agg("sum", "o_custkey"), "max(o_totalprice) > sum(o_custkey)"),
+    ("agg_vs_agg", agg("min", "o_totalprice") < agg("avg", "o_orderkey"), "min(o_totalprice) < avg(o_orderkey)"),
 ):
     query(f"SELECT o_custkey FROM orders GROUP BY o_custkey HAVING {_sql}", f"having_{_name}")(
         lambda c, h=_having: c.set("Order").group_by("o_custkey").having(h).select("o_custkey")
     )
 
+query(
+    """SELECT p_brand, count(DISTINCT p_size) AS n, CAST(sum(DISTINCT p_size) AS BIGINT) AS total, round(avg(DISTINCT p_size), 8) AS mean,
+       min(DISTINCT p_size) AS low, max(DISTINCT p_size) AS high FROM part GROUP BY p_brand""", "group_by_distinct_aggregates"
+)(
+    lambda c: c.set("Part").group_by("p_brand").aggregate(
+        n=agg("count", "p_size", True), total=agg("sum", "p_size", True), mean=agg("avg", "p_size", True), low=agg("min", "p_size", True), high=agg("max", "p_size", True)
+    ).to_df().withColumn("mean", F.round("mean", 8))
+)
+
 # --- windows ---
 
 _OVER = "PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey"
@@ -280,6 +312,20 @@ def cte_recursive(c):
     return own.set("Tree").with_recursive("found", "Tree", "parent", "p_partkey", lambda t: t.p_partkey == 3).from_cte("found")
 
 
+@query("""WITH RECURSIVE step AS (SELECT 1 + max(p_partkey) // 105 AS n FROM part),
+          found AS (SELECT p_partkey, 0 AS level FROM part, step WHERE p_partkey < n
+                    UNION ALL SELECT p.p_partkey, level + 1 FROM part p, step, found f WHERE p.p_partkey - n = f.p_partkey)
+          SELECT p_partkey FROM found""")
+def cte_recursive_deep(c):
+    """A chain of over 100 levels."""
+    step = 1 + c.set("Part").max("p_partkey") // 105
+    model = warehouse()
+    model.entity("Chain", "chain").column("p_partkey", "bigint", key=True).column("parent", "bigint")
+    own = Context(c.spark, model, c.store.root)
+    own.use_frame("chain", c.storage("part").select("p_partkey", (F.col("p_partkey") - step).alias("parent")))
+    return own.set("Chain").with_recursive("found", "Chain", "parent", "p_partkey", lambda t: t.p_partkey < step).from_cte("found").select("p_partkey")
+
+
 # --- terminals: each result as one row ---
 
 query("SELECT o_orderkey AS k FROM orders ORDER BY o_orderkey LIMIT 1", "terminal_first")(lambda c: _value(c, k=c.set("Order").order_by("o_orderkey").first()["o_orderkey"]))
@@ -299,6 +345,36 @@ query("SELECT n_name AS k, n_regionkey AS v FROM nation WHERE n_regionkey < 2",
         [(k, r["n_regionkey"]) for k, r in c.set("Nation").where(lambda n: n.n_regionkey < 2).to_dictionary(lambda r: r["n_name"]).items()], "k string, v int")
 )
 
+query("SELECT c_name FROM customer WHERE c_custkey = 11 UNION ALL SELECT 'none'", "terminal_first_or_default")(
+    lambda c: c.spark.createDataFrame([(r["c_name"] if r else "none",) for k in (11, -1) for r in [c.set("Customer").where(lambda x: x.c_custkey == k).first_or_default()]], "c_name string")
+)
+query("SELECT count(*) > 0 AS v FROM lineitem WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem) AND l_linenumber = 1", "terminal_exists_by_key_map")(
+    lambda c: _value(c, v=c.set("LineItem").exists_by_key({"l_orderkey": c.set("LineItem").min("l_orderkey"), "l_linenumber": 1}))
+)
+query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", "terminal_to_list_with_includes")(
+    lambda c: c.spark.createDataFrame([(r["n_name"], r["region"]["r_name"]) for r in c.set("Nation").include("region").to_list()], "n_name string, r_name string")
+)
+query("SELECT count(*) AS n FROM nation", "terminal_load_all")(lambda c: _value(c, n=len(c.unit.load_all("Nation"))))
+query("SELECT true AS filtered, 3 AS taken, 1 AS orderings, true AS has_predicate", "query_state")(
+    lambda c: (lambda q: c.spark.createDataFrame([(q.filtered, q.taken, len(q.orderings), not q.predicate.is_always)], "filtered boolean, taken int, orderings int, has_predicate boolean"))(
+        c.set("Nation").where(lambda n: n.n_nationkey > 3).order_by("n_name").take(3))
+)
+query("SELECT true AS names_table, true AS has_limit", "query_to_sql")(
+    lambda c: (lambda t: _value(c, names_table="n_regionkey" in t, has_limit="Limit" in t))(c.set("Nation").order_by("n_name").take(3).to_sql())
+)
+query("SELECT p_partkey FROM part WHERE p_size * 2 > 60 AND upper(p_name) LIKE '%RING%'", "filter_raw_fragment")(
+    lambda c: c.set("Part").where(raw(F.expr("p_size * 2 > 60 AND upper(p_name) LIKE '%RING%'"))).select("p_partkey")
+)
+query("SELECT p_partkey FROM part WHERE p_size > 25", "filter_bare_boolean")(lambda c: _flagged(c).set("Flagged").where(lambda f: f.big.is_true()).select("p_partkey"))
+query("SELECT p_partkey FROM part WHERE NOT (p_size > 25)", "filter_bare_boolean_not")(lambda c: _flagged(c).set("Flagged").where(lambda f: ~f.big.is_true()).select("p_partkey"))
+
+
+def _flagged(c: Context) -> Context:
+    model = warehouse()
+    model.entity("Flagged", "flagged").column("p_partkey", "bigint", key=True).column("big", "boolean")
+    return Context(c.spark, model, c.store.root).use_frame("flagged", c.storage("part").selectExpr("p_partkey", "p_size > 25 AS big"))
+
+
 # --- includes ---
 
 query(
@@ -329,6 +405,27 @@ query(
     .select("n_nationkey", F.size("customers").cast("bigint").alias("customers"), F.size("suppliers").cast("bigint").alias("suppliers"))
 )
 
+
+
+@query("SELECT c_custkey, min(o_orderkey) AS first_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def include_has_one(c):
+    model = warehouse()
+    model.get("Customer").has_one("first", "Order", "o_custkey")
+    return Context(c.spark, model, c.store.root).set("Customer").include("first").to_df().select("c_custkey", F.col("first.o_orderkey").alias("first_order"))
+
+
+query("SELECT n_nationkey, r_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation JOIN region ON n_regionkey = r_regionkey", "include_by_names")(
+    lambda c: functools.reduce(lambda q, n: q.include(n), ["region", "suppliers"], c.set("Nation")).to_df().select("n_nationkey", "region.r_name", F.size("suppliers").cast("bigint").alias("suppliers"))
+)
+query(
+    """SELECT (SELECT r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 7) AS one,
+       (SELECT count(*) FROM customer WHERE c_nationkey = 7) AS many,
+       (SELECT count(*) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey = 1) AS across""", "lazy_loads"
+)(
+    lambda c: _value(c, one=load(c, "Nation", c.set("Nation").find(7), "region")["r_name"], many=len(load(c, "Nation", c.set("Nation").find(7), "customers")),
+                     across=len(load(c, "Supplier", c.set("Supplier").find(1), "parts")))
+)
+
 # --- global filters ---
 
 

@@ -225,9 +225,44 @@ def apply_changes(context: Context, changes: list[Change], target: dict) -> None
             staged[table] = context.store.stage(table, context.spark.createDataFrame([], schema))
         elif kinds & {"AddColumn", "DropColumn", "AlterColumn"}:
             staged[table] = context.store.stage(table, rewrite(context.storage(table), columns))
+    for change in changes:
+        _hold_to(context, change, target, staged)
+    staged[MODEL_TABLE] = context.store.stage(MODEL_TABLE, context.spark.createDataFrame([(json.dumps(target, default=str),)], "snapshot string"))
     context.store.commit(staged)
 
 
+#: Where the store keeps the snapshot that its tables were last brought to.
+MODEL_TABLE = "_model"
+
+
+def _hold_to(context: Context, change: Change, target: dict, staged: dict[str, str | None]) -> None:
+    """Raise if the rows of a table break a key, check, unique index or foreign key that a change brings."""
+    table = change.table
+    if staged.get(table, "") is None or change.kind not in ("AlterKey", "AddCheck", "CreateIndex", "AddForeignKey"):
+        return
+
+    def rows(name: str) -> DataFrame:
+        return context.spark.read.parquet(f"{context.store.root}/{staged[name]}") if staged.get(name) else context.storage(name)
+
+    def broken(bad: DataFrame, what: str) -> None:
+        if found := bad.head(1):
+            raise ConstraintViolation(f"{table}: {what} is broken by {found[0].asDict()}")
+
+    if change.kind == "AddCheck":
+        broken(rows(table).where(~F.expr(change.new)), f"check {change.name}")
+    elif change.kind == "AlterKey" and change.new:
+        broken(rows(table).groupBy(*change.new).count().where("count > 1"), "the key")
+        broken(rows(table).where(" or ".join(f"`{c}` is null" for c in change.new)), "the key")
+    elif change.kind == "CreateIndex" and change.new["unique"] and change.new["columns"]:
+        names = change.new["columns"]
+        some = rows(table).where(change.new["filter"]) if change.new["filter"] else rows(table)
+        broken(some.where(" and ".join(f"`{c}` is not null" for c in names)).groupBy(*names).count().where("count > 1"), f"index {change.name}")
+    elif change.kind == "AddForeignKey":
+        names = change.new["columns"]
+        other = rows(change.new["target"]).select(*(F.col(f"`{c}`").alias(n) for c, n in zip(change.new["target_columns"], names, strict=True)))
+        broken(rows(table).where(" and ".join(f"`{c}` is not null" for c in names)).join(other, list(names), "left_anti"), f"foreign key {change.name}")
+
+
 def ensure_created(context: Context, seed: bool = True) -> list[str]:
     """Create the tables that are missing, with their seed rows; returns their names."""
     made: dict[str, DataFrame] = {}
@@ -237,7 +272,11 @@ def ensure_created(context: Context, seed: bool = True) -> list[str]:
         names = [c.stored for c in entity.stored_columns()]
         rows = [tuple(r.get(c.name, c.default) for c in entity.stored_columns()) for r in entity.seed] if seed else []
         made[entity.table] = context.spark.createDataFrame(rows, entity.schema()).select(*names)
-    context.store.commit({t: context.store.stage(t, df) for t, df in made.items()})
+    staged = {t: context.store.stage(t, df) for t, df in made.items()}
+    if made:
+        shot = json.dumps(snapshot(context.model), default=str)
+        staged[MODEL_TABLE] = context.store.stage(MODEL_TABLE, context.spark.createDataFrame([(shot,)], "snapshot string"))
+    context.store.commit(staged)
     return list(made)
 
 
@@ -333,7 +372,8 @@ class Migrator:
 
 @dataclass(frozen=True)
 class Finding:
-    """``kind`` is a change that can be applied, or a warning: SkippedRemoval, NotNullColumnWithoutDefault, UnsupportedChange, ConstraintNotIntrospected."""
+    """``kind`` is a change that can be applied, or a warning: SkippedRemoval, NotNullColumnWithoutDefault, UnsupportedChange,
+    ConstraintNotIntrospected, IndexDefinitionMismatch, ManualAction."""
 
     kind: str
     table: str
@@ -348,6 +388,8 @@ def introspect(context: Context, table: str) -> StructType:
 def live_diff(context: Context) -> list[Finding]:
     """Model against stored tables. Columns and tables only storage has are reported, never removed."""
     out: list[Finding] = []
+    known = stored_model(context)
+    shot = json.loads(json.dumps(snapshot(context.model), default=str))["tables"]
     for entity in context.model.entities.values():
         if entity.is_view:
             continue
@@ -363,7 +405,38 @@ def live_diff(context: Context) -> list[Finding]:
             elif live[c.stored] != c.type:
                 out.append(Finding("AlterColumn", entity.table, c.stored, f"{live[c.stored].simpleString()} to {_type_name(c.type)}"))
         out += [Finding("SkippedRemoval", entity.table, n) for n in live if n not in {c.stored for c in entity.stored_columns()}]
-        out += [Finding("ConstraintNotIntrospected", entity.table, detail=c.name) for c in (*entity.checks, *entity.indexes, *entity.foreign_keys)]
+        was = known.get(entity.table)
+        if was is None:
+            out += [Finding("ConstraintNotIntrospected", entity.table, detail=c.name) for c in (*entity.checks, *entity.indexes, *entity.foreign_keys)]
+            continue
+        now = shot[entity.table]
+        for name, index in now["indexes"].items():
+            if name in was["indexes"] and was["indexes"][name] != index:
+                out.append(Finding("IndexDefinitionMismatch", entity.table, detail=name))
+        if was["key"] != now["key"]:
+            out.append(Finding("ManualAction", entity.table, detail=f"key {was['key']} to {now['key']}"))
+        for part in ("checks", "foreign_keys", "indexes"):
+            out += [Finding("ManualAction", entity.table, detail=f"add {n}") for n in now[part] if n not in was[part]]
+    return out
+
+
+def stored_model(context: Context) -> dict:
+    """Tables of the snapshot that the store was last brought to; empty if none is known."""
+    if not (context.store and context.store.current(MODEL_TABLE)):
+        return {}
+    return json.loads(context.storage(MODEL_TABLE).first()["snapshot"])["tables"]
+
+
+def irreversible(changes: list[Change]) -> list[str]:
+    """What going back over changes cannot restore: rows and values that they drop or narrow."""
+    out = []
+    for c in changes:
+        if c.kind == "DropTable":
+            out.append(f"{c.table}: its rows")
+        elif c.kind == "DropColumn":
+            out.append(f"{c.table}.{c.name}: its values")
+        elif c.kind == "AlterColumn" and c.old["type"] != c.new["type"]:
+            out.append(f"{c.table}.{c.name}: values of {c.old['type']} that {c.new['type']} does not hold")
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
 from collections.abc import Callable
 from typing import TYPE_CHECKING
@@ -137,6 +138,23 @@ class Context:
         for table, df in plain.items():
             self.frames[table] = df
 
+    def cut(self, df: DataFrame) -> DataFrame:
+        """The rows of ``df`` without its lineage: a checkpoint in the folder that ``spark.checkpoint.dir`` names."""
+        context = self.spark.sparkContext
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            shared = self.spark.conf.get("spark.checkpoint.dir", None)
+            if not shared and not (context.master or "").startswith("local"):
+                raise ConfigurationError("set spark.checkpoint.dir to a folder that all executors share")
+            context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lakequill-"))
+        return df.checkpoint()
+
+    def execute(self, text: str, *args: object) -> int:
+        """Run one raw SQL statement; the rows it changed if it says so, else the rows it returned."""
+        rows = self.sql(text, *args)
+        if rows.columns == ["num_affected_rows"]:
+            return rows.first()[0]
+        return rows.count() if rows.columns else 0
+
     def to_storage(self, entity: Entity, rows: DataFrame) -> DataFrame:
         return rows.select(*(F.col(f"`{c.name}`").cast(c.type).alias(c.stored) for c in entity.stored_columns()))
 

@@ -38,12 +38,19 @@ def windowed(rows: DataFrame, time: str, length: str, late: str, by: list[str],
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, *aggregates)
 
 
-def upsert_each_batch(context: Context, entity: Entity) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: each batch is upserted by key. A batch that is run again changes nothing more."""
+def upsert_each_batch(context: Context, entity: Entity, latest_by: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: each batch is upserted by key. A batch that is run again changes nothing more.
+
+    Of rows of one key in a batch the one with the greatest ``latest_by`` is written, of equals the greatest in all columns;
+    without ``latest_by`` such rows raise, as in any upsert.
+    """
     from ..operators.mutation import upsert_frame
 
     def write(batch: DataFrame, epoch: int) -> None:
-        latest = batch.dropDuplicates(list(entity.key))
+        latest = batch
+        if latest_by is not None:
+            newest = F.max(F.struct(F.col(f"`{latest_by}`").alias("by"), F.struct(*(F.col(f"`{c}`") for c in batch.columns)).alias("row")))
+            latest = batch.groupBy(*entity.key).agg(newest.alias("__newest")).select("__newest.row.*")
         context.replace_tables({entity.table: context.to_storage(entity, upsert_frame(context, entity, latest))})
 
     return write
