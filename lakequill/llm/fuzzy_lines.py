@@ -6,12 +6,11 @@ line (least document id, then line number) is kept.
 
 Candidates meet in two kinds of keys:
 
-* blocks of the 64-bit SimHash. Those within MAX_BITS bits meet for sure, by the pigeonhole principle: with MAX_BITS errors
+* blocks of the 64-bit SimHash over pairs of neighbouring words. Those within MAX_BITS bits meet for sure, by the pigeonhole principle: with MAX_BITS errors
   over m blocks some m - MAX_BITS blocks are clean, so rows meet on each choice of that many blocks.
 * bands. An edit similarity of SIMILARITY moves far more bits than clean blocks can pay for, so lines also meet where
-  BAND_MINIMA least hashes of their pairs of neighbouring words agree in one of BANDS bands. There they are candidates
-  if their SimHashes are within NEAR_BITS bits, or within EDIT_BITS bits and a second band agrees too. This is not
-  exact: edits in most words of a line are missed.
+  BAND_MINIMA least hashes of these pairs agree in one of BANDS bands. There they are candidates if their SimHashes are
+  within EDIT_BITS bits. This is not exact: edits in most words of a line are missed.
 
 Only a line's nearest partner of each key is tried at first. Then the lines of a key that are not in one
 component yet are brought together with their texts, and all candidates of different components are tried there: links come
@@ -40,8 +39,6 @@ MAX_BITS = 3
 SIMILARITY = 0.8
 #: Lines of one key that a task compares at once.
 NODE_LIMIT = 2048
-#: Bits of the SimHash that are as good as a second band.
-NEAR_BITS = 12
 #: Bits that SimHashes of lines that meet in a band may differ in; those of unlike lines differ in 32 or so.
 EDIT_BITS = 20
 BANDS = 10
@@ -86,6 +83,14 @@ def _lanes() -> np.ndarray:
 _LANES = _lanes()
 
 
+def word_pairs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs of neighbouring words, both ends included, of each run of ``hashes`` from ``first`` on; and where each run starts then."""
+    if not len(first):
+        return np.empty(0, np.uint64), first
+    left = np.insert(hashes, first, np.uint64(0))
+    return mix(left * np.uint64(0x9E3779B97F4A7C15) + np.append(left[1:], np.uint64(0))), first + np.arange(len(first))
+
+
 def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """64-bit SimHash of each run of ``hashes`` that starts at ``first`` (none is empty)."""
     if not len(first):
@@ -102,18 +107,16 @@ def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 _SALTS = (mix(np.arange(1, BANDS * BAND_MINIMA + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
-def bands(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """BANDS keys of each run: least hashes of its pairs of words, both ends included."""
-    if not len(first):
-        return np.empty((0, BANDS), np.uint64)
-    left = np.insert(hashes, first, np.uint64(0))
-    pairs = (mix(left * np.uint64(0x9E3779B97F4A7C15) + np.append(left[1:], np.uint64(0))) >> np.uint64(32)).astype(np.uint32)
-    starts = first + np.arange(len(first))
+def bands(pairs: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """BANDS keys of each run that starts at ``first``: its least hashes."""
     keys = np.empty((len(first), BANDS), np.uint64)
+    if not len(first):
+        return keys
+    low = (pairs >> np.uint64(32)).astype(np.uint32)
     for band in range(BANDS):
         key = np.full(len(first), band + 1, np.uint64)
         for salt in _SALTS[band * BAND_MINIMA : (band + 1) * BAND_MINIMA]:
-            key = mix(key ^ np.minimum.reduceat((pairs ^ salt) * np.uint32(0x2C1B3C6D), starts).astype(np.uint64))
+            key = mix(key ^ np.minimum.reduceat((low ^ salt) * np.uint32(0x2C1B3C6D), first).astype(np.uint64))
         keys[:, band] = key
     return keys
 
@@ -185,10 +188,10 @@ def _line_rows(docs: DataFrame) -> DataFrame:
             if len(seen) > SEEN_LINES:
                 seen.clear()
             new.sort()
-            hashes, first = lines.hashes(new)
+            pairs, first = word_pairs(*lines.hashes(new))
             sims = np.zeros(len(lines.keys), np.uint64)
-            sims[new] = simhash(hashes, first)
-            data = bands(hashes, first)
+            sims[new] = simhash(pairs, first)
+            data = bands(pairs, first)
             width = np.zeros(len(lines.keys) + 1, np.int32)
             width[new + 1] = 8 * BANDS
             keys = pa.Array.from_buffers(pa.binary(), len(lines.keys), [None, pa.py_buffer(np.cumsum(width, dtype=np.int32)), pa.py_buffer(data.tobytes())])
@@ -242,8 +245,7 @@ def _key_rows(forms: DataFrame, clean: int) -> DataFrame:
             data = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.uint64).reshape(-1, BANDS)[at]
             columns = [key & ~np.uint64(1) for key in block_keys(sim.view(np.uint64), clean)] + [data[:, band] | np.uint64(1) for band in range(BANDS)]
             for node in columns:
-                # Lines of a block are many and cheap to compare, those of a band are of one family.
-                least = max(64, len(k) // (128 if node[0] & np.uint64(1) else 16))
+                least = max(64, len(k) // 128)
                 found, which, many = np.unique(node, return_inverse=True, return_counts=True)
                 often = many[which] > least
                 arrays = [signed(node), k, sim, 4 * size + np.where(often, DEALT, PLAIN)]
@@ -566,13 +568,11 @@ def _cross_links(met: DataFrame, labels: DataFrame, lines: DataFrame, forms: Dat
             ok = (bits <= most) & _sizes_fit(size[j], size[i])
             j, bits = j[ok], bits[ok]
             if len(j) and node[i] & 1:
-                agree = keys[j] == keys[i]
-                ok = (bits <= NEAR_BITS) | (agree.sum(axis=1) > 1)
                 # Lines that meet in several bands are tried in the first of them.
                 here = (keys[i] | np.uint64(1)).view(np.int64) == node[i]
                 if here.any():
-                    ok &= agree.argmax(axis=1) == int(here.argmax())
-                j, bits = j[ok], bits[ok]
+                    ok = (keys[j] == keys[i]).argmax(axis=1) == int(here.argmax())
+                    j, bits = j[ok], bits[ok]
             found += zip(bits.tolist(), itertools.repeat(i), j.tolist())  # noqa: B905
         for _, i, j in sorted(found):
             x, y = root(int(label[i])), root(int(label[j]))
@@ -618,10 +618,10 @@ def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, node_limit:
     spots = lines.select("doc", "line", "k").join(wanted, "k").groupBy("k").agg(F.min(F.struct("doc", "line")).alias("p"))
     places = spots.groupBy(F.col("p.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("p.line").alias("line"), "k")).alias("spots"))
     texts = scratch.write(_forms(docs, places).dropDuplicates(["k"]), "texts")
-    near = met.where(f"best is not null and bits <= {NEAR_BITS}").select(F.least("k", "best").alias("a"), F.greatest("k", "best").alias("b"))
+    near = met.where("best is not null").select(F.least("k", "best").alias("a"), F.greatest("k", "best").alias("b"))
     large = met.where("best is null")
     pivots = large.groupBy("node").agg(F.min(F.struct("k", "sim", "size")).alias("p"))
-    star = large.join(pivots, "node").where(f"k <> p.k and bit_count(sim ^ p.sim) <= if(node & 1 = 1, {NEAR_BITS}, {MAX_BITS})")
+    star = large.join(pivots, "node").where(f"k <> p.k and bit_count(sim ^ p.sim) <= if(node & 1 = 1, {EDIT_BITS}, {MAX_BITS})")
     star = star.where(f"least(size, p.size) >= {SIMILARITY} * greatest(size, p.size) - 1e-9").select(F.col("p.k").alias("a"), F.col("k").alias("b"))
     links = scratch.write(confirm(near.unionByName(star).distinct(), texts), "links")
     scratch.release()
