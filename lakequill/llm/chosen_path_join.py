@@ -351,7 +351,7 @@ def link_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE_WO
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(families.select(F.col("doc").alias("doc_id")))
     bitmap = _wanted_filter(spark, needed)
     sets = scratch.write(_sets(named_docs, size, bitmap), "sets")
-    scratch.release()
+    scratch.only(signed_docs, classes, pairs, families, sets)
 
     links, labels, rest = None, None, pairs
     for rounds in (1, 2, 3):
@@ -373,6 +373,7 @@ def link_components(spark: SparkSession, docs: DataFrame, size: int = SHINGLE_WO
 
     named = _labelled(classes, labels, "rep", "component_id").select("k1", "k2", "component_id")
     out = signed_docs.join(named, ["k1", "k2"], "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    scratch.only(out)
     # Rows of one id are one node: all of them carry its smallest component.
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

@@ -185,6 +185,7 @@ class Words:
     def __init__(self, texts: list[bytes | None], fold_case: bool = False):
         if Words._codes is None:
             Words._codes = {f: _byte_codes(f) for f in (False, True)}
+        self._fold = fold_case
         self.joined = b"\n".join(t or b"" for t in texts)
         lengths = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
         self.at = np.concatenate(([0], np.cumsum(lengths + 1)))
@@ -204,6 +205,14 @@ class Words:
     def of(self, i: int) -> np.ndarray:
         return self.hashes[self.first[i] : self.first[i + 1]]
 
+    def second(self) -> np.ndarray:
+        """Another hash of each word, independent of ``hashes``: both together are 128 bits."""
+        sums = np.zeros(len(self.buffer) + 1, np.uint64)
+        up = power_tables(len(self.buffer) + 1)[0]
+        np.cumsum(mix(Words._codes[self._fold] ^ np.uint64(0xA0761D6478BD642F))[self.buffer] * up[: len(self.buffer)], out=sums[1:])
+        raw = (sums[self.ends] - sums[self.starts]) * self._down[self.starts]
+        return mix(raw ^ (self.ends - self.starts).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+
     def prefixes(self, size: int) -> np.ndarray:
         """Hash of the first ``size`` bytes of each word; of the whole word if it is shorter."""
         ends = np.minimum(self.ends, self.starts + size)

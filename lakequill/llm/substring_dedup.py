@@ -6,7 +6,8 @@ occur once can belong to no repeat and drop out. Around each of the others the t
 that the anchor stands for: the seed's block. A block with an equal one before it is repeated as a whole; the first of its kind and
 blocks that differ at an edge are compared window by window (an earliest window always stands in such a block).
 Repeated windows that overlap join into maximal repeats. Everything is a grouped minimum or an equi-join on hashes, so
-no group of copies is paired up.
+no group of copies is paired up: documents are not joined pair by pair, as seed-and-extend would. Blocks and windows are
+equal if 128 bits of two independent hashes are.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 def _block_rows(docs: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
-    """Blocks around shared anchors: (b, doc, at, many, ws), hash and place of a block, its windows and their hashes.
+    """Blocks around shared anchors: (b, b2, doc, at, many, ws), hashes and place of a block, its windows and their hashes.
 
     ``docs`` has the anchors' places in ``ats``.
     """
@@ -91,8 +92,8 @@ def _block_rows(docs: DataFrame, min_words: int, anchor_words: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
             words, ids = Words(texts), batch.column(0).to_pylist()
-            ats = batch.column(batch.schema.get_field_index("ats"))
-            columns: list[list] = [[], [], [], [], []]
+            ats, others = batch.column(batch.schema.get_field_index("ats")), words.second()
+            columns: list[list] = [[], [], [], [], [], []]
             for i, doc in enumerate(ids):
                 hashes = words.of(i)
                 shared = np.zeros(len(hashes) + 1, bool)
@@ -102,33 +103,34 @@ def _block_rows(docs: DataFrame, min_words: int, anchor_words: int) -> DataFrame
                 first, end = edges[:-1], edges[1:]
                 use = shared[anchor[first]]
                 first, end = first[use], end[use]
-                windows = signed(gram_hashes(hashes, min_words)).tobytes()
-                keys = signed(span_hashes(hashes, first, end - 1 + min_words))
-                new = (keys, np.full(len(first), doc, np.int64), first, end - first, [windows[8 * a : 8 * b] for a, b in zip(first.tolist(), end.tolist(), strict=True)])
+                more = others[words.first[i] : words.first[i + 1]]
+                windows = np.stack([signed(gram_hashes(x, min_words)) for x in (hashes, more)], axis=1).tobytes()
+                keys = [signed(span_hashes(x, first, end - 1 + min_words)) for x in (hashes, more)]
+                new = (*keys, np.full(len(first), doc, np.int64), first, end - first, [windows[16 * a : 16 * b] for a, b in zip(first.tolist(), end.tolist(), strict=True)])
                 for column, values in zip(columns, new, strict=True):
                     column.extend(values)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["b", "doc", "at", "many", "ws"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["b", "b2", "doc", "at", "many", "ws"])
 
-    return docs.mapInArrow(run, "b long, doc long, at int, many int, ws binary")
+    return docs.mapInArrow(run, "b long, b2 long, doc long, at int, many int, ws binary")
 
 
 def _windows(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, at, many = (batch.column(i).to_numpy() for i in range(3))
-            hashes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
+            hashes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64).reshape(-1, 2)
             inside = np.arange(len(hashes)) - np.repeat(np.cumsum(many) - many, many)
-            arrays = [pa.array(hashes), pa.array(np.repeat(doc, many)), pa.array((np.repeat(at, many) + inside).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, ["w", "doc", "at"])
+            arrays = [*(pa.array(np.ascontiguousarray(hashes[:, k])) for k in (0, 1)), pa.array(np.repeat(doc, many)), pa.array((np.repeat(at, many) + inside).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, ["w", "w2", "doc", "at"])
 
-    return blocks.select("doc", "at", "many", "ws").mapInArrow(run, "w long, doc long, at int")
+    return blocks.select("doc", "at", "many", "ws").mapInArrow(run, "w long, w2 long, doc long, at int")
 
 
-def _firsts(rows: DataFrame, key: str) -> DataFrame:
-    """(key, d0, a0): first place of each key that occurs twice or more."""
-    first = rows.groupBy(key).agg(F.min(F.struct("doc", "at")).alias("p"), F.count("*").alias("n")).where("n > 1")
-    return first.select(key, F.col("p.doc").alias("d0"), F.col("p.at").alias("a0"))
+def _firsts(rows: DataFrame, *key: str) -> DataFrame:
+    """(key..., d0, a0): first place of each key that occurs twice or more."""
+    first = rows.groupBy(*key).agg(F.min(F.struct("doc", "at")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    return first.select(*key, F.col("p.doc").alias("d0"), F.col("p.at").alias("a0"))
 
 
 LATER = "doc > d0 or (doc = d0 and at > a0)"
@@ -148,15 +150,15 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, scratch: Scratch, min
     del places
     scratch.drop(seeds)
     scratch.release()
-    firsts = scratch.write(_firsts(blocks.select("b", "doc", "at"), "b"), "firsts")
-    marked = blocks.join(firsts, "b", "left").withColumn("again", F.coalesce(F.expr(LATER), F.lit(False)))
+    firsts = scratch.write(_firsts(blocks.select("b", "b2", "doc", "at"), "b", "b2"), "firsts")
+    marked = blocks.join(firsts, ["b", "b2"], "left").withColumn("again", F.coalesce(F.expr(LATER), F.lit(False)))
     marked = scratch.write(marked.select("doc", "at", "many", "again", F.when(~F.col("again"), F.col("ws")).alias("ws")), "marked")
     scratch.drop(blocks, firsts)
     del blocks, firsts
     scratch.release()
     windows = scratch.write(_windows(marked.where("not again")), "windows")
-    firsts = scratch.write(_firsts(windows, "w"), "firsts")
-    single = windows.join(firsts, "w").where(LATER).select("doc", "at", F.lit(1).alias("many"))
+    firsts = scratch.write(_firsts(windows, "w", "w2"), "firsts")
+    single = windows.join(firsts, ["w", "w2"]).where(LATER).select("doc", "at", F.lit(1).alias("many"))
     runs = marked.where("again").select("doc", "at", "many").unionByName(single)
     out = scratch.write(runs.groupBy("doc").agg(F.collect_list(F.struct("at", "many")).alias("runs")), "repeats")
     scratch.drop(marked, windows, firsts)

@@ -49,6 +49,35 @@ def test_near_dedup_equals_all_pairs(spark, size):
     assert all(r["component_id"] is None and r["kept"] for r in got if r["doc_id"] is None)
 
 
+def test_near_dedup_of_a_whole_table(spark):
+    """All pairs of sf0.01/documents by an inverted index: the same components and sizes."""
+    from collections import defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: shingles(r["text"], 2) for r in docs.collect()}
+    where, common = defaultdict(list), Counter()
+    for i in sorted(sets):
+        for item in sets[i]:
+            where[item].append(i)
+    for ids in where.values():
+        for n, i in enumerate(ids):
+            common.update((i, j) for j in ids[n + 1 :])
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (i, j), both in common.items():
+        if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in chosen_path_join.near_dedup(spark, docs, shingle_words=2).collect()}
+    assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
+    assert sum(i != find(i) for i in sets) > 50
+
+
 def test_near_dedup_of_a_large_family(spark):
     """More near copies than a node holds: the star, and the blocks for those outside its component."""
     base = prose(3, 150)
