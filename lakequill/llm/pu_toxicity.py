@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, pick, text_chunks
+from .common import Words, mix, pick, text_chunks
 
 FEATURE_BITS = 20
 #: Beginnings of words, in bytes, that are features beside the words: inflected forms share them.
@@ -24,6 +24,8 @@ PREFIXES = (4, 5, 6)
 #: Bounds of the training sample; texts with the least hash of their id are taken.
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 14_000
+#: Features of one text of the sample, at most; so the driver gets 160 MB at most. Scores are of all features.
+MAX_TERMS = 2048
 #: Rows with this remainder of crc32(id as text) are held out of training.
 FOLDS, HELD_OUT = 5, 0
 CLASSIFIERS = 3
@@ -142,8 +144,8 @@ def fit_on_tables(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Mo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
             indices, first = features(texts)
-            arrays = [batch.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(indices, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "terms"])
+            lists = [_some_terms(indices[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "terms"])
 
     near = docs.join(F.broadcast(sample), "doc_id", "left_semi").select("doc_id", "text")
     rows = near.mapInArrow(run, "doc_id long, terms array<int>").toArrow().sort_by("doc_id")
@@ -163,6 +165,14 @@ def fit_on_tables(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Mo
     return train(positive, unlabelled, prior)
 
 
+def _some_terms(terms: np.ndarray) -> np.ndarray:
+    """At most MAX_TERMS of a training text's features, chosen by hash, in their order."""
+    if len(terms) <= MAX_TERMS:
+        return terms
+    least = np.argpartition(mix(terms.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), MAX_TERMS)[:MAX_TERMS]
+    return terms[np.sort(least)]
+
+
 def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5) for every row of ``docs``.
 

@@ -2,7 +2,8 @@
 
 Per text, rolling hashes of word runs of several lengths are taken in numpy; a run found twice or more
 marks its later copies, and the share of characters in marked words is held against a limit for each
-length. All rules see the whole text; nothing is shuffled.
+length. All rules see the whole text; nothing is shuffled. Texts of fewer than SHARE_MIN_WORDS words are judged by the base rule,
+lines and symbols only: there one repeated phrase of a few words is over any share.
 """
 
 from __future__ import annotations
@@ -91,10 +92,11 @@ def measure(text: bytes, hashes: np.ndarray, sizes: np.ndarray, symbols: int) ->
         if not line.split(None, 1):
             continue
         lines += 1
-        line_chars += len(line)
+        points = len(line) if line.isascii() else len(line.decode("utf-8", "replace"))
+        line_chars += points
         if line in seen:
             dup_lines += 1
-            dup_chars += len(line)
+            dup_chars += points
         else:
             seen.add(line)
     line_share = dup_lines / lines if lines else 0.0

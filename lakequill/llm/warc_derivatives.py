@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+import itertools
 import hashlib
 import re
 import uuid
@@ -99,10 +100,15 @@ def http_payload(headers: list[tuple[str, str]], body: bytes) -> bytes:
     return body
 
 
+_META = re.compile(rb"<meta[^>]+charset=[\"']?([\w.:-]+)|</head|<body", re.I)
+
+
 def decode_html(headers: list[tuple[str, str]], payload: bytes) -> tuple[str, str]:
     """(text, charset): the charset of the HTTP header, of the page, or UTF-8; bad bytes are replaced."""
     kind = next((v for k, v in headers if k.lower() == "content-type"), "")
-    m = re.search(r"charset=[\"']?([\w.:-]+)", kind) or re.search(r"<meta[^>]+charset=[\"']?([\w.:-]+)", payload[:2048].decode("latin-1"), re.I)
+    m = re.search(r"charset=[\"']?([\w.:-]+)", kind)
+    if m is None and (found := _META.search(payload)) and found[1]:  # not beyond the head
+        m = re.match("(.*)", found[1].decode("latin-1"))
     charset = m[1].lower() if m else "utf-8"
     try:
         return payload.decode(charset, "replace"), charset
@@ -116,15 +122,44 @@ def to_bytes(row: dict, compress: bool = True) -> bytes:
     return gzip.compress(data, mtime=0) if compress else data
 
 
+def _members(data: bytes) -> Iterator[bytes]:
+    """Gzip members one after the other; what follows the last is left out."""
+    at, view = 0, memoryview(data)
+    while view[at : at + 2] == b"\x1f\x8b":
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof and at < len(view):
+            part = view[at : at + (1 << 16)]
+            parts.append(member.decompress(part))
+            at += len(part)
+        at -= len(member.unused_data)
+        yield b"".join(parts) + member.flush()
+
+
 def parse(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or as gzip members."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(data) + member.flush())
-            data = member.unused_data
-        data = b"".join(parts)
+    """Records of a WARC file, plain or as gzip members, of which one is held at a time."""
+    if data[:2] != b"\x1f\x8b":
+        yield from _records(data)
+        return
+    rest = b""
+    for member in _members(data):
+        rest += member
+        if _whole(rest):
+            yield from _records(rest)
+            rest = b""
+    yield from _records(rest)
+
+
+def _whole(data: bytes) -> bool:
+    """Does the first record of ``data`` end in it."""
+    at = data.find(b"WARC/")
+    end = data.find(b"\r\n\r\n", at)
+    if at < 0 or end < 0:
+        return False
+    _, headers, _ = header_lines(data[at : end + 4])
+    return len(data) >= end + 4 + int({k.lower(): v for k, v in headers}.get("content-length", 0))
+
+
+def _records(data: bytes) -> Iterator[dict]:
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
@@ -156,9 +191,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = list(parse(content.as_py() or b""))
-                for start in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_pylist(rows[start : start + 64], _ARROW)
+                for rows in itertools.batched(parse(content.as_py() or b""), 64):
+                    yield pa.RecordBatch.from_pylist(list(rows), _ARROW)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 

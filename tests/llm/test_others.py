@@ -142,6 +142,18 @@ def test_few_exact_vectors_are_read(spark):
     assert (upper >= floor[:, None]).mean() < 0.05
 
 
+def test_charset_and_members_of_any_size():
+    """A charset behind a long comment; many gzip members; an empty file."""
+    page = b"<html><!--" + b"x" * 5000 + b"--><META http-equiv=a content='text/html; charset=iso-8859-1'><body>caf\xe9 <meta charset=ascii>"
+    assert warc_derivatives.decode_html([], page) == (page.decode("latin-1"), "iso-8859-1")
+    assert warc_derivatives.decode_html([], b"<body><meta charset=ascii>caf\xc3\xa9")[1] == "utf-8"
+    record = {"headers": [{"name": "WARC-Type", "value": "resource"}, {"name": "Content-Length", "value": "200000"}], "block": bytes(range(200)) * 1000}
+    data = b"".join(warc_derivatives.to_bytes(record) for _ in range(5))
+    assert [r["block"] for r in warc_derivatives.parse(data)] == [record["block"]] * 5
+    assert [r["block"] for r in warc_derivatives.parse(warc_derivatives.to_bytes(record, compress=False) * 2)] == [record["block"]] * 2
+    assert list(warc_derivatives.parse(b"")) == []
+
+
 # --- pieces ---
 
 
