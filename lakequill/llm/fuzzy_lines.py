@@ -490,27 +490,43 @@ def confirm(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
-def _forms(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(k, form) at ``places(doc, spots array<struct<line, k>>)``."""
+#: Slots of the filter of wanted lines, 2 ** FILTER_BITS bits.
+FILTER_BITS = 26
+
+
+def _wanted_filter(spark: SparkSession, keys: DataFrame):
+    """A bitmap of keys ``k``, of bounded size: it may let others pass, never leaves a wanted one out."""
+    slot = F.pmod(F.col("k"), F.lit(1 << FILTER_BITS))
+    words = keys.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(k, 64) as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    found = words.toArrow()  # at most 2 ** (FILTER_BITS - 6) rows
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bitmap[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+    return spark.sparkContext.broadcast(bitmap)
+
+
+def _forms(docs: DataFrame, bitmap) -> DataFrame:
+    """(k, form) of the lines that the filter lets pass, some of them more than once; no text is shuffled for those it holds back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches):
-            keys, forms = [], []
-            for spots, text in zip(batch.column(batch.schema.get_field_index("spots")).to_pylist(), texts, strict=True):
-                lines = lines_of(text)
-                for spot in spots:
-                    if spot["line"] < len(lines):
-                        keys.append(spot["k"])
-                        forms.append(lines[spot["line"]].encode("utf-8", "replace"))
-            if forms:
-                # Another row of the same id may have another line there.
-                found = Lines(forms)
-                right = np.zeros(len(forms), bool)
-                right[found.owner] = signed(found.keys) == np.array(keys, np.int64)[found.owner]
-                made = [normal_form(f.decode()).decode() if ok else None for f, ok in zip(forms, right, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(made, pa.string())], ["k", "form"]).filter(pa.array(right))
+        seen: set[int] = set()
+        for _, texts in text_chunks(batches):
+            lines = Lines(texts)
+            slots = (lines.keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+            wanted = np.flatnonzero(bitmap.value[slots >> 6] >> (slots & 63) & 1 == 1)
+            keys, forms, split = [], [], (-1, [])
+            for i, key in zip(wanted.tolist(), signed(lines.keys[wanted]).tolist(), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    if split[0] != lines.owner[i]:
+                        split = (int(lines.owner[i]), lines_of(texts[lines.owner[i]]))
+                    keys.append(key)
+                    forms.append(normal_form(split[1][lines.number[i]]).decode("utf-8", "replace"))
+            if len(seen) > SEEN_LINES:
+                seen.clear()
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(forms, pa.string())], ["k", "form"])
 
-    return docs.join(places.withColumnRenamed("doc", "doc_id"), "doc_id").select("text", "spots").mapInArrow(run, "k long, form string")
+    return docs.select("text").mapInArrow(run, "k long, form string")
 
 
 # --- links across components -------------------------------------------------------------------------------------
@@ -614,10 +630,11 @@ def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, node_limit:
     clean = next((c for most, c in CLEAN_BLOCKS if count <= most), 4)
     met = scratch.write(_meet(_key_rows(forms, clean), node_limit), "met")
     scratch.release()
+    texts = scratch.write(_forms(docs, _wanted_filter(docs.sparkSession, met.select("k"))), "passing")
     wanted = met.select("k").distinct()
-    spots = lines.select("doc", "line", "k").join(wanted, "k").groupBy("k").agg(F.min(F.struct("doc", "line")).alias("p"))
-    places = spots.groupBy(F.col("p.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("p.line").alias("line"), "k")).alias("spots"))
-    texts = scratch.write(_forms(docs, places).dropDuplicates(["k"]), "texts")
+    texts, passing = scratch.write(texts.join(wanted, "k", "left_semi").dropDuplicates(["k"]), "texts"), texts
+    scratch.drop(passing)
+    scratch.release()
     near = met.where("best is not null").select(F.least("k", "best").alias("a"), F.greatest("k", "best").alias("b"))
     large = met.where("best is null")
     pivots = large.groupBy("node").agg(F.min(F.struct("k", "sim", "size")).alias("p"))
