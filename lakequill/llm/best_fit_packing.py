@@ -26,7 +26,7 @@ from .common import Scratch, pick, split_words, text_chunks
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids a worker remembers; others are encoded each time they occur.
+#: Words whose ids a worker remembers, about; others are encoded each time they occur.
 ID_CACHE = 300_000
 #: Parts of words (runs of letters or marks) whose ids a worker remembers beside.
 STEM_CACHE = 600_000
@@ -128,48 +128,50 @@ class WordIds:
             return [low[:-1], low[-1:]]
         return [low]
 
-    def _learn(self, new: set[bytes]) -> None:
-        """Remember the ids of words that are not known."""
-        known, stems, marks = self.known, self.stems, self.marks
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are not known; remembered while there is room."""
+        stems, marks = self.stems, self.marks
         whole: list[tuple[bytes, bytes, bytes]] = []  # word, its letters, ids of the mark after them
         split: list[tuple[bytes, list[bytes]]] = []
         for word in new:
             if word.isalpha():
                 whole.append((word, word.lower(), b""))
-            elif word[:-1].isalpha() and word[-1:] in marks:
-                whole.append((word, word[:-1].lower(), marks[word[-1:]]))
+            elif word[:-1].isalpha() and (mark := marks.get(word[-1:])):
+                whole.append((word, word[:-1].lower(), mark))
             else:
                 split.append((word, self._parts(word)))
-        plain = {stem for _, stem, _ in whole}.difference(stems)
-        letters, others = [stem.decode() for stem in plain], []
-        for part in set(itertools.chain.from_iterable(parts for _, parts in split)).difference(stems, plain):
+        have = {stem: stems.get(stem) for _, stem, _ in whole}
+        letters, others = [stem.decode() for stem, ids in have.items() if ids is None], []
+        for part in set(itertools.chain.from_iterable(parts for _, parts in split)).difference(have):
+            if (ids := stems.get(part)) is not None:
+                have[part] = ids
+                continue
             text = part.decode("utf-8", "replace")
             letters.append(text) if text.isalpha() and text.lower().isalpha() else others.append(part)
         fresh = dict(zip(others, self._encode(others), strict=True))
         for start in range(0, len(letters), 512):
             some = letters[start : start + 512]
             fresh.update(zip((w.encode() for w in some), self._encode_letters(some), strict=True))
-        stems.update(fresh)
-        known.update((word, stems[stem] + tail) for word, stem, tail in whole)
+        have.update(fresh)
+        if len(stems) < STEM_CACHE:
+            stems.update(fresh)
+        out = {word: have[stem] + mark for word, stem, mark in whole}
         for word, parts in split:
-            known[word] = stems[parts[0]] if len(parts) == 1 else b"".join(map(stems.__getitem__, parts))
-        if len(stems) > STEM_CACHE:
-            for part in fresh:
-                del stems[part]
+            out[word] = have[parts[0]] if len(parts) == 1 else b"".join(map(have.__getitem__, parts))
+        if len(self.known) < ID_CACHE:
+            self.known.update(out)
+        return out
 
     def of(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         end = array("I", [END_ID]).tobytes()
         split = [split_words(text) for text in texts]
         words = list(itertools.chain.from_iterable(split))
         found = list(map(self.known.get, words))
-        new = {word: None for word, ids in zip(words, found, strict=True) if ids is None}
-        if new:
-            self._learn(new)
-            known = self.known
-            found = [known[word] if ids is None else ids for word, ids in zip(words, found, strict=True)]
-            if len(known) > ID_CACHE:
-                for word in list(new)[max(0, len(new) - (len(known) - ID_CACHE)) :]:
-                    del known[word]
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            learnt = self._learn(list({words[i]: None for i in missing}))
+            for i in missing:
+                found[i] = learnt[words[i]]
         at = 0
         for part in split:
             yield np.frombuffer(b"".join(found[at : at + len(part)]) + end, "<u4")
