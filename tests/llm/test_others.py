@@ -472,6 +472,19 @@ def test_packing_equals_the_tokenizer(spark):
 # --- pipeline ---
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    """Every stage on no rows, written and read again; scratch tables of a stage go when the next begins."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        assert len({s.root for s in corpus_pipeline._scratches}) <= 1
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert docs.count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
