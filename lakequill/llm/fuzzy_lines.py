@@ -38,7 +38,7 @@ from .common import Scratch, Words, components, mix, power_tables, schema_with,
 MAX_BITS = 3
 SIMILARITY = 0.8
 #: Lines of one key that a task compares at once.
-NODE_LIMIT = 2048
+NODE_LIMIT = 512
 #: Bits that SimHashes of lines that meet in a band may differ in; those of unlike lines differ in 32 or so.
 EDIT_BITS = 20
 BANDS = 10
@@ -544,7 +544,7 @@ def _cross_links(met: DataFrame, labels: DataFrame, lines: DataFrame, forms: Dat
     seen = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
     seen = scratch.write(seen.select("node", "n"), "divided")
     rows = rows.join(seen, "node")
-    few = rows.where(f"n <= {node_limit}").select("node", "k", "sim", "size", "label", F.lit(True).alias("x"), F.lit(True).alias("y"))
+    few = rows.where(f"n <= {node_limit}").select("node", F.col("node").alias("own"), "k", "sim", "size", "label", F.lit(True).alias("x"), F.lit(True).alias("y"))
     many = rows.where(f"n > {node_limit}")
     if not seen.where(f"n > {node_limit}").isEmpty():
         # Lines outside a key's main component (x), in blocks, against blocks of all its lines (y).
@@ -557,13 +557,13 @@ def _cross_links(met: DataFrame, labels: DataFrame, lines: DataFrame, forms: Dat
         ys = many.withColumn("j", F.expr(deal.format("ny"))).withColumn("i", F.explode(F.expr("sequence(0L, nx - 1)")))
         # The last bit of a key says what kind it is.
         node = F.expr("shiftleft(xxhash64(node, i, j), 1) | (node & 1)")
-        dealt = [side.select(node.alias("node"), "k", "sim", "size", "label", F.lit(x).alias("x"), F.lit(not x).alias("y")) for side, x in ((xs, True), (ys, False))]
+        dealt = [side.select(node.alias("node"), F.col("node").alias("own"), "k", "sim", "size", "label", F.lit(x).alias("x"), F.lit(not x).alias("y")) for side, x in ((xs, True), (ys, False))]
         few = few.unionByName(dealt[0]).unionByName(dealt[1])
     keys = lines.where("length(bands) > 0").select("k", "bands").join(forms.select("k"), "k", "left_semi").dropDuplicates(["k"])
-    whole = few.join(forms.join(keys, "k"), "k").select("node", "k", "sim", "size", "label", "x", "y", "form", "bands")
+    whole = few.join(forms.join(keys, "k"), "k").select("node", "own", "k", "sim", "size", "label", "x", "y", "form", "bands")
 
     def links(run: pa.Table) -> Iterator[tuple[int, int]]:
-        node, k, sim, size, label = (run.column(c).to_numpy() for c in ("node", "k", "sim", "size", "label"))
+        node, k, sim, size, label = (run.column(c).to_numpy() for c in ("own", "k", "sim", "size", "label"))
         is_x, is_y = (run.column(c).to_numpy() for c in "xy")
         keys = np.frombuffer(b"".join(run.column("bands").to_pylist()), np.uint64).reshape(-1, BANDS)
         forms, home, most = run.column("form"), {}, int(_most_bits(node[:1])[0])
@@ -585,10 +585,9 @@ def _cross_links(met: DataFrame, labels: DataFrame, lines: DataFrame, forms: Dat
             j, bits = j[ok], bits[ok]
             if len(j) and node[i] & 1:
                 # Lines that meet in several bands are tried in the first of them.
-                here = (keys[i] | np.uint64(1)).view(np.int64) == node[i]
-                if here.any():
-                    ok = (keys[j] == keys[i]).argmax(axis=1) == int(here.argmax())
-                    j, bits = j[ok], bits[ok]
+                here = int(((keys[i] | np.uint64(1)).view(np.int64) == node[i]).argmax())
+                ok = (keys[j] == keys[i]).argmax(axis=1) == here
+                j, bits = j[ok], bits[ok]
             found += zip(bits.tolist(), itertools.repeat(i), j.tolist())  # noqa: B905
         for _, i, j in sorted(found):
             x, y = root(int(label[i])), root(int(label[j]))
