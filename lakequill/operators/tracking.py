@@ -225,16 +225,17 @@ class UnitOfWork:
         return self.context.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
 
     def _changed_tables(self, pending: list[Entry], validate: bool) -> dict[str, DataFrame]:
+        """The new rows of each table that changes; those that are only looked at are not among them."""
         tables: dict[str, DataFrame] = {}
+        found: dict[str, DataFrame] = {}
         order = dependency_order(self.context.model)
 
         def rows(entity: Entity) -> DataFrame:
             if entity.name not in tables:
                 stored = [F.col(f"`{c.name}`") for c in entity.stored_columns()]
-                tables[entity.name] = self.context.read(entity, False).select(*stored)
+                tables[entity.name] = found[entity.name] = self.context.read(entity, False).select(*stored)
             return tables[entity.name]
 
-        touched: dict[str, list[dict]] = {}
         for entity in order:
             mine = [e for e in pending if e.entity.name == entity.name]
             stored = [c.name for c in entity.stored_columns()]
@@ -251,7 +252,6 @@ class UnitOfWork:
             if validate:
                 self._validate(entity, [e for e in mine if e.state in (State.ADDED, State.UPSERTED, State.MODIFIED)], added, rows)
             if added:
-                touched.setdefault(entity.name, []).extend(e.values for e in added)
                 tables[entity.name] = rows(entity).unionByName(self._frame(entity, [e.values for e in added], stored))
             if upserts := [e.values for e in mine if e.state is State.UPSERTED]:
                 named = [tuple(v.get(k) for k in entity.key) for v in upserts]
@@ -276,10 +276,8 @@ class UnitOfWork:
                 check_tokens(entity, rows(entity), keys, len(gone))
                 for other in order:
                     rows(other)
-                before = dict(tables)
                 cascade_delete(self.context, entity, keys.select(*entity.key), tables)
-                tables = {n: df for n, df in tables.items() if df is not before.get(n) or n in touched or any(e.entity.name == n for e in pending)}
-        return tables
+        return {n: df for n, df in tables.items() if df is not found.get(n)}
 
     def _assign_keys(self, entity: Entity, added: list[Entry], current: DataFrame) -> None:
         """Keys left open follow the greatest one in the table, in order of addition."""

@@ -215,3 +215,24 @@ def test_check_builders(spark):
     assert count(checks.all_not_null("a", "b")) == 1 and count(checks.non_negative("n")) == 2 and count(checks.positive("n")) == 1
     assert count(checks.in_list("n", [5, 0])) == 2 and count(checks.not_in_list("n", [5])) == 2 and count(checks.in_list("n", [])) == 0
     assert count(checks.any_of(checks.positive("n"), checks.in_list("a", [1]))) == 2 and count(checks.all_of()) == 3
+
+
+def test_tables_that_are_only_read_are_not_written(spark, tmp_path):
+    """Changes of frames leave the folder they came from alone, whatever else they look at."""
+    from lakequill.plans.catalogue import QUERIES
+
+    for table in ("region", "nation", "supplier", "customer", "orders", "lineitem", "part", "events"):
+        (tmp_path / f"{table}.parquet").symlink_to(f"/root/testdata/sf0.001/{table}.parquet")
+    before = sorted(tmp_path.rglob("*"))
+    for name in ("unit_adds_with_keys",):
+        QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(tmp_path.rglob("*")) == before, name
+
+
+def test_links_outlast_a_deletion_in_the_same_save(c):
+    post, tag = c.unit.add("Post", title="p"), c.unit.add("Tag", name="a")
+    c.unit.save_changes()
+    post.link("tags", tag)
+    c.unit.remove(c.unit.attach("Blog", c.set("Blog").find(3)))
+    c.unit.save_changes()
+    assert c.set("PostTag").count() == 1 and c.set("Blog").count() == 2
