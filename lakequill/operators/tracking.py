@@ -399,7 +399,7 @@ class UnitOfWork:
                 entry.state, entry.original = State.ADDED, None
             self.entries.append(entry)
         self.context.frames = dict(state["frames"])
-        if state["manifest"] is not None:
+        if state["manifest"] is not None and state["manifest"] != self.context.store.manifest():
             self.context.store.replace(state["manifest"])
 
     @contextlib.contextmanager

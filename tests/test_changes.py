@@ -224,7 +224,7 @@ def test_tables_that_are_only_read_are_not_written(spark, tmp_path):
     for table in ("region", "nation", "supplier", "customer", "orders", "lineitem", "part", "events"):
         (tmp_path / f"{table}.parquet").symlink_to(f"/root/testdata/sf0.001/{table}.parquet")
     before = sorted(tmp_path.rglob("*"))
-    for name in ("unit_adds_with_keys",):
+    for name in ("unit_adds_with_keys", "transaction_and_savepoint", "rollback_restores_the_tracker"):
         QUERIES[name](spark, str(tmp_path)).collect()
         assert sorted(tmp_path.rglob("*")) == before, name
 
