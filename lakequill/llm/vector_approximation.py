@@ -22,8 +22,14 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 CELLS = 64
-STRIPE_ROWS = 8192
-QUERY_ROWS = 1024
+#: Components of a stripe and of a block of queries, about: each block goes once to every stripe, so few large ones move fewer bytes.
+STRIPE_SIZE = 1 << 22
+QUERY_SIZE = 1 << 21
+#: Stripes are smaller, down to this, where there are fewer than STRIPES_A_CORE for each core.
+LEAST_STRIPE_ROWS = 1 << 11
+STRIPES_A_CORE = 4
+#: Products that are bounded at a time.
+PRODUCTS = 1 << 20
 #: Exact vectors read for each query before the k-th exact score is known, as a multiple of k.
 FIRST_READ = 3
 SCALE = 64
@@ -36,6 +42,11 @@ def _matrix(group: pa.Table) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.int64).reshape(group.num_rows, group.column("dim")[0].as_py())
 
 
+def _smallest(values: np.ndarray) -> np.ndarray:
+    """The values as the narrowest signed integers that hold them all."""
+    return values.astype(np.result_type(np.min_scalar_type(min(values.min(initial=0), -1)), np.min_scalar_type(-1 - values.max(initial=0))))
+
+
 def cells_of(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(cells, lowest value and width of each dimension's cells, distance of each vector from the middle of its cells)."""
     low = vectors.min(axis=0)
@@ -58,7 +69,7 @@ def _stripes(rows: DataFrame) -> DataFrame:
 
 def _blocks(rows: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
-        data = {"qids": group.column("id").to_numpy().astype(np.int64), "queries": _matrix(group)}
+        data = {"qids": group.column("id").to_numpy().astype(np.int64), "queries": _smallest(_matrix(group))}
         return pa.table({"block": group.column("block").slice(0, 1), "dim": group.column("dim").slice(0, 1), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in data.items()}})
 
     return rows.groupBy("block", "dim").applyInArrow(run, "block long, dim int, qids binary, queries binary")
@@ -66,9 +77,17 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 def bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of the inner products of queries and the vectors in these cells."""
+    return _bounds(queries, _middles(cells, low, width), low, width, away)
+
+
+def _middles(cells: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    return low + cells * width + (width - 1) / 2
+
+
+def _bounds(queries: np.ndarray, middles: np.ndarray, low: np.ndarray, width: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     half = (width - 1) / 2
     q = queries.astype(np.float64)
-    middle = q @ (low + cells * width + half).T
+    middle = q @ middles.T
     error = np.minimum((np.abs(q) @ half)[:, None], np.linalg.norm(q, axis=1)[:, None] * away[None, :])
     # Products in doubles are rounded: a part in 2**40 of the greatest sum, and a half, keeps the bounds outside.
     most = np.abs(q).max(initial=0) * float(np.abs(low).max(initial=0) + CELLS * width.max(initial=0)) * max(1, queries.shape[1])
@@ -78,11 +97,12 @@ def bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.nd
 
 def _met(stripes: DataFrame, blocks: DataFrame, floors: DataFrame | None, k: int, n_stripes: int, n_blocks: int) -> DataFrame:
     """Without ``floors`` the k greatest lower bounds of each query in each stripe; else the (query_id, vec_id, upper) that reach the query's floor."""
-    left = blocks if floors is None else blocks.join(floors, ["block", "dim"])
+    # Sizes are estimated before rows are repeated, so these joins must not be left to broadcasts through the driver.
+    left = blocks if floors is None else blocks.join(floors.hint("merge"), ["block", "dim"])
     left = left.withColumn("stripe", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_stripes - 1).cast("long"))))
     right = stripes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
     columns = ["dim", "qids", "queries", *([] if floors is None else ["floors"]), "ids", "cells", "low", "width", "away"]
-    met = left.join(right, ["block", "stripe", "dim"]).select(*columns)
+    met = left.join(right.hint("merge"), ["block", "stripe", "dim"]).select(*columns)
 
     floored = floors is not None
 
@@ -92,11 +112,12 @@ def _met(stripes: DataFrame, blocks: DataFrame, floors: DataFrame | None, k: int
                 row = {name: batch.column(name)[i].as_py() for name in columns}
                 dim = row["dim"]
                 qids, ids, low, width = (np.frombuffer(row[c], np.int64) for c in ("qids", "ids", "low", "width"))
-                queries, cells = np.frombuffer(row["queries"], np.int64).reshape(len(qids), dim), np.frombuffer(row["cells"], np.uint8).reshape(len(ids), dim)
+                queries, cells = np.frombuffer(row["queries"], f"i{len(row['queries']) // max(1, len(qids) * dim)}" if dim else np.int64).reshape(len(qids), dim), np.frombuffer(row["cells"], np.uint8).reshape(len(ids), dim)
                 least = {f["query_id"]: f["floor"] for f in row["floors"]} if floored else {}
-                for start in range(0, len(qids), 128):
-                    part = qids[start : start + 128]
-                    lower, upper = bounds(queries[start : start + 128], cells, low, width, np.frombuffer(row["away"], np.float64))
+                middles, away, step = _middles(cells, low, width), np.frombuffer(row["away"], np.float64), max(1, PRODUCTS // max(1, len(ids)))
+                for start in range(0, len(qids), step):
+                    part = qids[start : start + step]
+                    lower, upper = _bounds(queries[start : start + step], middles, low, width, away)
                     own = part[:, None] == ids[None, :]
                     if not floored:
                         lower[own] = -np.inf
@@ -145,8 +166,10 @@ def top_k(
     scaled = F.transform("v", lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
     rows = rows.select(F.col(id_col).alias("id"), scaled.alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).distinct()
     rows = scratch.write(rows.withColumn("dim", F.size("v")), "vectors")
-    total = rows.agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q")).first()
-    n_stripes, n_blocks = -(-total["n"] // STRIPE_ROWS) or 1, -(-(total["q"] or 0) // QUERY_ROWS) or 1
+    total = rows.agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q"), F.max("dim").alias("dim")).first()
+    dim = max(1, total["dim"] or 1)
+    n_stripes = max(1, -(-total["n"] * dim // STRIPE_SIZE), min(-(-total["n"] // LEAST_STRIPE_ROWS), STRIPES_A_CORE * spark.sparkContext.defaultParallelism))
+    n_blocks = -(-(total["q"] or 0) * dim // QUERY_SIZE) or 1
     dealt = F.xxhash64("id")
     stripes = scratch.write(_stripes(rows.withColumn("stripe", F.pmod(dealt, F.lit(n_stripes)))), "cells")
     asking = rows.where("asks").withColumn("block", F.pmod(dealt, F.lit(n_blocks)))

@@ -121,6 +121,22 @@ def test_top_k_equals_brute_force(spark):
     assert vector_approximation.top_k(spark, df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_repeats_no_rows_through_the_driver(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(6)
+    rows = [(n, i, 2, r.integers(-9, 9, 2).tolist(), 0) for n, i in enumerate(range(40))]
+    spark.createDataFrame(rows, "n int, id long, dim int, v array<long>, block long").write.parquet(f"{tmp_path}/v")
+    v = spark.read.parquet(f"{tmp_path}/v").select("id", "v", "dim", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("stripe"))
+    vector_approximation._stripes(v).write.parquet(f"{tmp_path}/s")
+    vector_approximation._blocks(v).write.parquet(f"{tmp_path}/b")
+    stripes, blocks = (spark.read.parquet(f"{tmp_path}/{x}") for x in "sb")
+    floors = v.groupBy("block", "dim").agg(F.collect_list(F.struct(F.col("id").alias("query_id"), F.lit(0.0).alias("floor"))).alias("floors"))
+    for met in (vector_approximation._met(stripes, blocks, None, 3, 5000, 5000), vector_approximation._met(stripes, blocks, floors, 3, 5000, 5000)):
+        assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
+    assert vector_approximation._smallest(np.array([[-128, 127]])).dtype == np.int8 and vector_approximation._smallest(np.array([[0, 128]])).dtype == np.int16
+
+
 def test_bounds_hold_for_large_components():
     r = np.random.default_rng(4)
     for most in (40, 2**27):
