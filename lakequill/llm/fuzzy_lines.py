@@ -48,7 +48,11 @@ KEY_ROWS = 1 << 16
 #: Distinct lines a task remembers, so that it does not repeat their rows.
 SEEN_LINES = 1_000_000
 #: Distinct lines up to which keys of one clean block are selective enough, then of two, and so on.
-CLEAN_BLOCKS = ((4_000_000, 1), (100_000_000, 2), (10_000_000_000, 3))
+CLEAN_BLOCKS = ((64_000_000, 1), (2_000_000_000, 2), (200_000_000_000, 3))
+#: Counters of pairs of neighbouring characters, which rule out most lines that are not alike, many at a time.
+PAIR_BINS = 256
+#: Blocks that a large key is compared in, in units of its limit: each line goes once to every block, so large ones move fewer rows.
+BLOCK_LIMITS = 4
 
 #: Marks and digits beyond ASCII, which the tables below do not know.
 _FOREIGN_MARKS = re.compile(r"[^\w\x00-\x7f]+")
@@ -478,6 +482,23 @@ def alike(x: str, y: str) -> bool:
     return edit_distance(a, b, limit) <= limit
 
 
+def _pair_counts(forms: list[str]) -> np.ndarray:
+    """How often each of PAIR_BINS hashes of neighbouring characters is in each form."""
+    out = np.zeros((len(forms), PAIR_BINS), np.uint16)
+    for n, form in enumerate(forms):
+        codes = np.frombuffer(form.encode("utf-32-le", "surrogatepass"), "<u4")
+        out[n] = np.minimum(np.bincount((codes[:-1] * np.uint32(0x9E3779B1) + codes[1:] * np.uint32(0x85EBCA77)) >> np.uint32(24), minlength=PAIR_BINS), 0xFFFF) if len(codes) > 1 else 0
+    return out
+
+
+def _may_be_alike(counts: np.ndarray, size: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """False where ``alike`` is: an edit changes two pairs of neighbouring characters, and equal hashes only hide differences."""
+    longest = np.maximum(size[j], size[i])
+    shared = np.minimum(counts[j], counts[i]).sum(axis=1, dtype=np.int64)
+    # Counters do not go beyond 16 bits: such lines are left to ``alike``.
+    return (shared >= longest - 1 - 2 * ((1 - SIMILARITY) * longest + 1e-9).astype(np.int64)) | (longest >= 0xFFFF)
+
+
 def confirm(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     """The pairs whose normal forms are alike."""
 
@@ -538,7 +559,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(named, "k", "left").withColumn("label", F.coalesce("__c", "k")).drop("__c")
 
 
-def _cross_links(met: DataFrame, labels: DataFrame, lines: DataFrame, forms: DataFrame, scratch: Scratch, node_limit: int) -> DataFrame:
+def _cross_links(met: DataFrame, labels: DataFrame, keyed: DataFrame, forms: DataFrame, scratch: Scratch, node_limit: int) -> DataFrame:
     """Links (a, b) between lines of one key that are in different components."""
     rows = scratch.write(_labelled(met.select("node", "k", "sim", "size"), labels).distinct(), "labelled")
     seen = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
@@ -550,8 +571,8 @@ def _cross_links(met: DataFrame, labels: DataFrame, lines: DataFrame, forms: Dat
         # Lines outside a key's main component (x), in blocks, against blocks of all its lines (y).
         main = many.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "label")).alias("m"))
         many = many.join(main.select("node", F.col("m.label").alias("home")), "node")
-        odd = many.where("label <> home").groupBy("node").agg(F.ceil(F.count("*") * 2 / node_limit).alias("nx"))
-        many = scratch.write(many.join(odd, "node").withColumn("ny", F.ceil(F.col("n") * 2 / node_limit)), "dealt")
+        odd = many.where("label <> home").groupBy("node").agg(F.ceil(F.count("*") / (BLOCK_LIMITS * node_limit)).alias("nx"))
+        many = scratch.write(many.join(odd, "node").withColumn("ny", F.ceil(F.col("n") / (BLOCK_LIMITS * node_limit))), "dealt")
         deal = "pmod(xxhash64(k), {})"
         xs = many.where("label <> home").withColumn("i", F.expr(deal.format("nx"))).withColumn("j", F.explode(F.expr("sequence(0L, ny - 1)")))
         ys = many.withColumn("j", F.expr(deal.format("ny"))).withColumn("i", F.explode(F.expr("sequence(0L, nx - 1)")))
@@ -559,14 +580,14 @@ def _cross_links(met: DataFrame, labels: DataFrame, lines: DataFrame, forms: Dat
         node = F.expr("shiftleft(xxhash64(node, i, j), 1) | (node & 1)")
         dealt = [side.select(node.alias("node"), F.col("node").alias("own"), "k", "sim", "size", "label", F.lit(x).alias("x"), F.lit(not x).alias("y")) for side, x in ((xs, True), (ys, False))]
         few = few.unionByName(dealt[0]).unionByName(dealt[1])
-    keys = lines.where("length(bands) > 0").select("k", "bands").join(forms.select("k"), "k", "left_semi").dropDuplicates(["k"])
-    whole = few.join(forms.join(keys, "k"), "k").select("node", "own", "k", "sim", "size", "label", "x", "y", "form", "bands")
+    whole = few.join(forms.join(keyed.select("k", "bands"), "k"), "k").select("node", "own", "k", "sim", "size", "label", "x", "y", "form", "bands")
 
     def links(run: pa.Table) -> Iterator[tuple[int, int]]:
         node, k, sim, size, label = (run.column(c).to_numpy() for c in ("own", "k", "sim", "size", "label"))
         is_x, is_y = (run.column(c).to_numpy() for c in "xy")
         keys = np.frombuffer(b"".join(run.column("bands").to_pylist()), np.uint64).reshape(-1, BANDS)
-        forms, home, most = run.column("form"), {}, int(_most_bits(node[:1])[0])
+        forms, home, most = run.column("form").to_pylist(), {}, int(_most_bits(node[:1])[0])
+        counts = chars = None
 
         def root(x: int) -> int:
             while (y := home.get(x, x)) != x:
@@ -588,10 +609,15 @@ def _cross_links(met: DataFrame, labels: DataFrame, lines: DataFrame, forms: Dat
                 here = int(((keys[i] | np.uint64(1)).view(np.int64) == node[i]).argmax())
                 ok = (keys[j] == keys[i]).argmax(axis=1) == here
                 j, bits = j[ok], bits[ok]
+            if len(j):
+                if counts is None:
+                    counts, chars = _pair_counts(forms), np.array([len(f) for f in forms])
+                ok = _may_be_alike(counts, chars, i, j)
+                j, bits = j[ok], bits[ok]
             found += zip(bits.tolist(), itertools.repeat(i), j.tolist())  # noqa: B905
         for _, i, j in sorted(found):
             x, y = root(int(label[i])), root(int(label[j]))
-            if x != y and alike(forms[i].as_py(), forms[j].as_py()):
+            if x != y and alike(forms[i], forms[j]):
                 home[max(x, y)] = min(x, y)
                 yield int(k[i]), int(k[j])
 
@@ -624,7 +650,9 @@ def _cross_links(met: DataFrame, labels: DataFrame, lines: DataFrame, forms: Dat
 
 def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, node_limit: int = NODE_LIMIT) -> DataFrame:
     """(k, g) of every normal form that is joined with another; ``lines`` as made by ``_line_rows``."""
-    forms = lines.where("length(bands) > 0").select("k", "sim", "size", "bands")
+    # Tasks make the keys of a line once each, so equal ones are taken out before they are many rows.
+    forms = scratch.write(lines.where("length(bands) > 0").select("k", "sim", "size", "bands").dropDuplicates(["k"]), "forms")
+    scratch.release()
     count = forms.count()
     clean = next((c for most, c in CLEAN_BLOCKS if count <= most), 4)
     met = scratch.write(_meet(_key_rows(forms, clean), node_limit), "met")
@@ -642,8 +670,8 @@ def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, node_limit:
     links = scratch.write(confirm(near.unionByName(star).distinct(), texts), "links")
     scratch.release()
     labels = components(scratch, links)
-    more = scratch.write(_cross_links(met, labels, lines, texts, scratch, node_limit), "links")
-    scratch.drop(met, texts)
+    more = scratch.write(_cross_links(met, labels, forms, texts, scratch, node_limit), "links")
+    scratch.drop(met, texts, forms)
     if not more.isEmpty():
         labels = components(scratch, links.unionByName(more))
     return labels.select(F.col("id").alias("k"), F.col("component").alias("g"))

@@ -244,6 +244,23 @@ def test_line_families_and_edit_distance(spark):
         assert fuzzy_lines.alike(a, b) == (5 * slow(a, b) <= max(len(a), len(b)))
 
 
+def test_counters_of_pairs_never_rule_out_lines_that_are_alike():
+    r = random.Random(8)
+    forms = []
+    for _ in range(40):
+        base = "".join(r.choice("ab cdé") for _ in range(r.randrange(1, 90)))
+        for share in (0.0, 0.05, 0.1, 0.15, 0.25):
+            forms.append("".join(c if r.random() >= share else r.choice(["", "x", c + "y"]) for c in base) or "z")
+    counts, size, j = fuzzy_lines._pair_counts(forms), np.array([len(f) for f in forms]), np.arange(len(forms))
+    ruled_out = right = 0
+    for i in range(len(forms)):
+        may = fuzzy_lines._may_be_alike(counts, size, i, j)
+        right += sum(fuzzy_lines.alike(forms[i], f) for f in forms)
+        ruled_out += int((~may).sum())
+        assert all(ok or not fuzzy_lines.alike(forms[i], f) for ok, f in zip(may, forms, strict=True))
+    assert right > len(forms) and ruled_out > 0
+
+
 def test_lines_are_linked_by_edit_similarity_alone(spark):
     """What the query links is all pairs of the similarity, whatever bits of the SimHash an edit moves."""
     from lakequill.llm import queries
