@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from math import isqrt
 
 import pyarrow as pa
 import xxhash
@@ -32,8 +33,6 @@ from .html_tree import INLINE, INVISIBLE, VOID, Blocks, Token, tokens
 
 #: Pages of different texts that a constant text must stand in to count as part of a host's template.
 TEMPLATE_PAGES = 3
-#: Items from which a wrapper loses its optional groups: pages that share no template are not folded into one without end.
-WRAPPER_ITEMS = 400
 #: Tokens of a repeated group, at most.
 GROUP_TOKENS = 12
 
@@ -219,10 +218,6 @@ def align(wrapper: list, page: list) -> list:
         tail += 1
     a, b = wrapper[head : len(wrapper) - tail], page[head : len(page) - tail]
     ka, kb = [_key(_inner(x)) for x in a], [_key(_inner(x)) for x in b]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if _same(a[i], b[j], ka[i], kb[j]) else max(best[i + 1][j], best[i][j + 1])
     out = [_join(x, y) for x, y in zip(wrapper[:head], page[:head], strict=True)]
     only: list = []
 
@@ -240,24 +235,78 @@ def align(wrapper: list, page: list) -> list:
         only.clear()
 
     i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and _same(a[i], b[j], ka[i], kb[j]) and best[i][j] == best[i + 1][j + 1] + 1:
+    for x, y in _steps(ka, kb):
+        if x and y:
             optional()
             out.append(_merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
-            only.append(a[i])
-            i += 1
         else:
-            only.append(b[j])
-            j += 1
+            only.append(a[i] if x else b[j])
+        i, j = i + x, j + y
     optional()
     out += [_join(x, y) for x, y in zip(wrapper[len(wrapper) - tail :], page[len(page) - tail :], strict=True)]
     return fold_repeats(out)
 
 
-def _same(x, y, kx, ky) -> bool:
-    return _key(x) == _key(y) or (kx == ky and (isinstance(x, list) and x[0] in "+?" or isinstance(y, list) and y[0] in "+?"))
+def _steps(a: list, b: list) -> Iterator[tuple[int, int]]:
+    """How to go through both by their longest common subsequence: (1, 1) where keys are aligned, (1, 0) and (0, 1) past one side's own.
+
+    Bit-parallel: bit ``m - 1 - j`` of row ``i`` is 0 where the subsequence of ``a[i:]`` and ``b[j:]`` is longer than that of ``a[i:]``
+    and ``b[j + 1:]``. Every so many rows are kept, the others made again where they are needed, so that long sides need neither
+    time nor memory by the product of their lengths.
+    """
+    n, m = len(a), len(b)
+    places: dict[object, list[int]] = {key: [] for key in a}
+    for j, key in enumerate(b):
+        if key in places:
+            places[key].append(m - 1 - j)
+    masks = {}
+    for key, at in places.items():
+        bits = bytearray(m // 8 + 1)
+        for p in at:
+            bits[p >> 3] |= 1 << (p & 7)
+        masks[key] = int.from_bytes(bits, "little")
+    full, every = (1 << m) - 1, isqrt(n) + 1
+
+    def rows(last: int, low: int, row: int) -> Iterator[tuple[int, int]]:
+        """Numbers and rows from ``last`` - 1 down to ``low``, given row ``last``."""
+        for i in range(last - 1, low - 1, -1):
+            met = row & masks[a[i]]
+            row = ((row + met) | (row - met)) & full
+            yield i, row
+
+    kept = {n: full} | {i: row for i, row in rows(n, 0, full) if i % every == 0}
+    block: dict[int, int] = {}
+
+    def row(i: int) -> tuple[int, bytes]:
+        if i not in kept and i not in block:
+            low = i - i % every
+            last = min(n, low + every)
+            block.clear()
+            block.update(rows(last, low, kept[last]))
+        whole = kept[i] if i in kept else block[i]
+        return whole, whole.to_bytes(m // 8 + 1, "little")
+
+    i = j = 0
+    here, below = row(0), row(min(1, n))
+    best = m - here[0].bit_count()  # of a[i:] and b[j:]
+    under = m - below[0].bit_count()  # of a[i + 1:] and b[j:]
+    while i < n or j < m:
+        if i == n or j == m:
+            yield from [(1, 0)] * (n - i) + [(0, 1)] * (m - j)
+            return
+        p = m - 1 - j
+        right = best - (~here[1][p >> 3] >> (p & 7) & 1)
+        across = under - (~below[1][p >> 3] >> (p & 7) & 1)
+        aligned = a[i] == b[j] and best == across + 1
+        if aligned or under >= right:
+            i, here = i + 1, below
+            best, below = across if aligned else under, row(min(i + 1, n))
+            j += aligned
+            under = m - j - (below[0] & ((1 << (m - j)) - 1)).bit_count()
+            yield 1, int(aligned)
+        else:
+            j, best, under = j + 1, right, across
+            yield 0, 1
 
 
 def _merge(x, y):
@@ -271,11 +320,7 @@ def infer(wrapper: list | None, pages: int, page: list) -> tuple[list, int]:
     """Fold one folded page (or a wrapper) into a wrapper that ``pages`` pages have made."""
     if wrapper is None:
         return page, pages + 1
-    merged = align(wrapper, page)
-    if len(merged) > WRAPPER_ITEMS:
-        # What is left stands in every page so far, so it is no longer than the shortest of them.
-        merged = [x for x in merged if not (isinstance(x, list) and x[0] == "?")]
-    return merged, pages + 1
+    return align(wrapper, page), pages + 1
 
 
 def _walk(wrapper: list):

@@ -339,6 +339,43 @@ def test_long_pages_keep_their_text(spark):
     assert [len(t.split("\n")) for t in got] == [460] * 4
 
 
+def test_large_wrappers_keep_optional_groups(spark):
+    """What only some pages have counts for the host's main text, and all its characters stay in the wrapper."""
+    import random
+
+    def page(seed):
+        r = random.Random(seed)
+        story = "".join(f"<{t}>Text {seed} {i}</{t}>" for i, t in enumerate(r.choices(("h2", "h3", "p", "pre", "address"), k=460)))
+        return f"<body><div><p>Teaser {seed} {'and so on ' * 120}</p></div><section>{story}</section></body>"
+
+    got = extracted(spark, [page(i) for i in range(10)])
+    assert [(len(t.split("\n")), "Teaser" in t) for t in got] == [(460, False)] * 10
+    w, chars = None, 0
+    for n in range(10):
+        items = wrapper_inference.fold_repeats(wrapper_inference.stream(tokens(page(n))))
+        chars += sum(slot[2] for _, slot, _ in wrapper_inference._walk(items))
+        w, _ = wrapper_inference.infer(w, n, items)
+    assert sum(slot[2] for _, slot, _ in wrapper_inference._walk(w)) == chars
+
+
+def test_alignment_is_the_longest_common_subsequence():
+    """Steps against the plain table of lengths; sides of thousands take less than a table of millions."""
+    import random
+
+    r = random.Random(5)
+    for case in range(300):
+        a, b = ([r.randrange(1 + case % 7) for _ in range(r.randrange(30))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = aligned = 0
+        for x, y in wrapper_inference._steps(a, b):
+            assert not (x and y) or a[i] == b[j]
+            i, j, aligned = i + x, j + y, aligned + (x and y)
+        assert (i, j, aligned) == (len(a), len(b), best[0][0])
+
+
 def test_wrappers_do_not_depend_on_partitions(spark):
     pages = [f"<body><div>Name</div><div>{'<p>a %d</p>' % i * (1 + i % 3)}</div>{'<h4>x</h4>' * (i % 2)}<div>End</div></body>" for i in range(40)]
     one = extracted(spark, pages, partitions=1)
