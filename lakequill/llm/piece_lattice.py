@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import CHUNK_BYTES, Scratch, mix, power_tables, slices, text_chunks
+from .common import CHUNK_BYTES, Scratch, mix, power_tables, signed, slices, text_chunks
 
 SPACE = "▁"
 #: Chunks (the most frequent ones) held by every task.
@@ -310,22 +310,23 @@ def viterbi_chunk(chunk: str, model: Model) -> list[int]:
     return [i for part in reversed(out) for i in part]
 
 
-#: In a document's ids, the place of a chunk that a join fills.
-HOLE = 0xFFFFFFFF
+def _id_type(model: Model) -> np.dtype:
+    """Type of written ids; its highest number is a hole, the place of a chunk that a join fills."""
+    return np.dtype("<u2" if len(model.all_pieces) < 0xFFFF else "<u4")
 
 
 def _rows(spark: SparkSession, docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     """(row, doc_id, ids, plain, fills) of every row of ``docs(doc_id, text)``.
 
-    ``ids`` are 32-bit numbers with HOLE for the occurrences of rarer chunks, ``fills`` the ids of these by place; ``plain`` is
+    ``ids`` are numbers of ``_id_type`` with a hole for the occurrences of rarer chunks, ``fills`` the ids of these by place; ``plain`` is
     the SHA-256 of the text that the ids stand for.
     """
-    known = vocabulary(docs, model, scratch)
+    known, kind = vocabulary(docs, model, scratch), _id_type(model)
     top = known.orderBy(F.desc("n"), "chunk").limit(FREQUENT_CHUNKS).select("chunk", "ids").toArrow()  # bounded
-    frequent = dict(zip(top.column(0).to_pylist(), (np.asarray(v, "<u4").tobytes() for v in top.column(1).to_pylist()), strict=True))
+    frequent = dict(zip(top.column(0).to_pylist(), (np.asarray(v, kind).tobytes() for v in top.column(1).to_pylist()), strict=True))
     del top
     held = spark.sparkContext.broadcast(frequent)
-    cutter, hole = Cutter(model), np.array([HOLE], "<u4").tobytes()
+    cutter, hole = Cutter(model), b"\xff" * kind.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -355,17 +356,18 @@ def _rows(spark: SparkSession, docs: DataFrame, model: Model, scratch: Scratch)
 
 def _whole(batch: pa.RecordBatch, model: Model) -> tuple[list[np.ndarray], pa.ListArray]:
     """The ids of each row of ``_rows``, holes filled; also as one array of lists."""
-    out = []
+    out, kind = [], _id_type(model)
+    gap = np.iinfo(kind).max
     for text, fills in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
-        ids = np.frombuffer(text, "<u4")
+        ids = np.frombuffer(text, kind)
         if fills.is_valid:
             first = fills.values.offsets.to_numpy()
-            values = fills.values.values.to_numpy(zero_copy_only=False)[first[0] : first[-1]].astype("<u4")
-            at = np.flatnonzero(ids == HOLE)
+            values = fills.values.values.to_numpy(zero_copy_only=False)[first[0] : first[-1]].astype(kind)
+            at = np.flatnonzero(ids == gap)
             many = np.ones(len(ids), np.int64)
             many[at] = np.diff(first)
             taken = np.repeat(ids, many)
-            taken[taken == HOLE] = values
+            taken[taken == gap] = values
             ids = taken
         if not model.byte_ids and len(ids):
             # Neighbouring unknown characters are one unknown.
@@ -416,73 +418,25 @@ def _list_hashes(lists: pa.ListArray) -> np.ndarray:
     return mix((sums[first[1:]] - sums[first[:-1]]) ^ many.astype(np.uint64))
 
 
-def _placed(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """44-bit numbers of hashes at their places; their sum is a document's digest."""
-    return (mix(hashes ^ mix(at.astype(np.uint64))) >> np.uint64(20)).astype(np.int64)
+def encode_and_decode(spark: SparkSession, docs: DataFrame, model: Model, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", outputs: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_digest and round_trip of every row, and with ``outputs`` its ids and the text decoded from them.
 
-
-def encode_and_decode(spark: SparkSession, docs: DataFrame, model: Model, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_digest and round_trip of every row, without its ids in one place.
-
-    ``ids_digest`` is the sum over chunks of a hash of a chunk's number in the text and its ids; ``round_trip``: the text decoded from
-    the ids is the row's, space marks being spaces. Rows as in :func:`encode`. Each chunk's ids are decoded where they
-    are: those of frequent chunks with the row, the others with the join that finds them.
+    The ids of a row are put together as :func:`encode` does and decoded as a whole. ``ids_digest`` is a 64-bit hash of the ids in
+    their order; ``round_trip``: the decoded text is the row's, space marks being spaces. Rows as in :func:`encode`.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    known = vocabulary(docs, model, scratch)
-    top = known.orderBy(F.desc("n"), "chunk").limit(FREQUENT_CHUNKS).select("chunk", "ids").toArrow()  # bounded
-    held = spark.sparkContext.broadcast((top.column(0).to_pylist(), top.column(1).combine_chunks()))
-    del top
-    cutter, pieces = Cutter(model), Pieces(model)
+    pieces = Pieces(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 36
-        names, lists = held.value
-        number = {c: i for i, c in enumerate(names)}
-        hashes, many = _list_hashes(lists), np.diff(lists.offsets.to_numpy())
-        for batch, texts in text_chunks(batches):
-            chunks = [cutter.chunks(text) for text in texts]
-            flat = list(itertools.chain.from_iterable(chunks))
-            edges = np.concatenate(([0], np.cumsum([len(c) for c in chunks])))
-            which = np.fromiter((number.get(c, -1) for c in flat), np.int64, len(flat))
-            at = np.arange(len(flat)) - np.repeat(edges[:-1], np.diff(edges))
-            found = np.flatnonzero(which >= 0)
-            tokens, sums = np.zeros(len(flat) + 1, np.int64), np.zeros(len(flat) + 1, np.int64)
-            tokens[found + 1], sums[found + 1] = many[which[found]], _placed(hashes[which[found]], at[found])
-            tokens, sums = np.cumsum(tokens), np.cumsum(sums)
-            ids = lists.take(pa.array(which[found]))
-            ends = tokens[edges].astype(np.int32)
-            decoded = pieces.texts(pa.ListArray.from_arrays(pa.array(ends), ids.flatten()), start=False)
-            is_found = (which >= 0).tolist()
-            right, holes = [], []
-            for text, a, b in zip(decoded, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                right.append(text == "".join(itertools.compress(flat[a:b], is_found[a:b])).replace(SPACE, " ").encode())
-                holes.append([(i, c) for i, (c, ok) in enumerate(zip(flat[a:b], is_found[a:b], strict=True)) if not ok])
-            arrays = [
-                pa.array(np.arange(row, row + len(texts))), batch.column(0), pa.array(np.diff(tokens[edges])), pa.array(np.diff(sums[edges])), pa.array(right, pa.bool_()),
-                pa.array(holes, pa.list_(pa.struct([("at", pa.int32()), ("chunk", pa.string())]))),
-            ]
-            row += len(texts)
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "n", "sums", "right", "holes"])
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            right = [t == c.replace(SPACE, " ").encode() for t, c in zip(pieces.texts(lists, start=False), batch.column(2).to_pylist(), strict=True)]
-            sums = _placed(_list_hashes(lists), batch.column(1).to_numpy())
-            arrays = [batch.column(0), pa.array(np.diff(lists.offsets.to_numpy()).astype(np.int64)), pa.array(sums), pa.array(right, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "n", "sums", "right"])
-
-    # Written once: a row's number is the same for all readers.
-    runs = scratch.write(docs.mapInArrow(run, "row long, doc_id long, n long, sums long, right boolean, holes array<struct<at: int, chunk: string>>"), "runs")
-    rare = runs.select("row", F.explode("holes").alias("h")).select("row", "h.at", "h.chunk").join(known.select("chunk", "ids"), "chunk").select("row", "at", "chunk", "ids")
-    filled = rare.mapInArrow(fill, "row long, n long, sums long, right boolean").groupBy("row").agg(F.sum("n").alias("n1"), F.sum("sums").alias("s1"), F.min("right").alias("r1"))
-    filled = scratch.write(filled, "filled")
-    scratch.drop(known)
-    scratch.release()
-    zero = F.lit(0).cast("long")
-    return runs.select("row", "doc_id", "n", "sums", "right").join(filled, "row", "left").select(
-        "doc_id", (F.col("n") + F.coalesce("n1", zero)).alias("n_tokens"), (F.col("sums") + F.coalesce("s1", zero)).alias("ids_digest"), (F.col("right") & F.coalesce("r1", F.lit(True))).alias("round_trip"),
-    )
+        for batch in _some(batches):
+            lists = _whole(batch, model)[1]
+            texts = pieces.texts(lists)
+            right = [hashlib.sha256(t).digest() == p for t, p in zip(texts, batch.column(2).to_pylist(), strict=True)]
+            arrays = [batch.column(0), pa.array(np.diff(lists.offsets.to_numpy()).astype(np.int64)), pa.array(signed(_list_hashes(lists))), pa.array(right, pa.bool_())]
+            if outputs:
+                arrays += [lists, pa.array(texts, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    schema = "doc_id long, n_tokens long, ids_digest long, round_trip boolean" + (", ids array<int>, text string" if outputs else "")
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    return _rows(spark, docs, model, scratch).mapInArrow(run, schema)

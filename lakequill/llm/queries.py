@@ -43,7 +43,7 @@ def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every row of ``documents``, and the text decoded from them."""
     model = piece_lattice.load_model(public_tokenizers.path(PIECE_MODEL))
-    return piece_lattice.encode_and_decode(spark, table(spark, sf_dir, "documents"), model, Scratch(spark, "pieces"))
+    return piece_lattice.encode_and_decode(spark, table(spark, sf_dir, "documents"), model, Scratch(spark, "pieces"), outputs=False)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,6 +233,13 @@ def test_unigram_pieces_equal_the_library(spark, tmp_path):
     assert {r["doc_id"]: r["ids"] for r in rows.collect()} == {i: library.encode(t or "") for i, t in enumerate(texts)}
 
 
+    # The query's way gives the same whole lists, and the texts that stand for them.
+    model = piece_lattice.load_model(str(path))
+    got = {r["doc_id"]: r for r in piece_lattice.encode_and_decode(spark, frame(spark, list(enumerate(texts))), model, Scratch(spark, "t")).collect()}
+    assert {i: (r["ids"], r["n_tokens"], r["text"]) for i, r in got.items()} == {i: (ids := library.encode(t or ""), len(ids), library.decode(ids)) for i, t in enumerate(texts)}
+    assert {i for i, r in got.items() if not r["round_trip"]} == {i for i, t in enumerate(texts) if library.decode(library.encode(t or "")) != (t or "")}
+
+
 def test_the_query_decodes_what_it_encoded(spark, piece_model, monkeypatch):
     import sentencepiece
 
@@ -247,6 +254,21 @@ def test_the_query_decodes_what_it_encoded(spark, piece_model, monkeypatch):
     assert [got[i]["n_tokens"] for i in range(len(texts))] == [len(library.encode(t or "")) for t in texts]
 
 
+def test_whole_ids_and_texts_with_holes(spark, piece_model, monkeypatch):
+    """Ids of rare chunks come by a join; lists, digests and texts are those of whole rows, of 16-bit and 32-bit ids."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_model)
+    model = piece_lattice.load_model(piece_model)
+    texts = ["Hello  world x\n\ny\t z 日本語 🙂 é", "", None, "a" * 70 + " trailing ", " lead", prose(8, 300), prose(9, 200)]
+    monkeypatch.setattr(piece_lattice, "FREQUENT_CHUNKS", 20)
+    for unused in (0, 70_000):
+        model = model._replace(all_pieces=model.all_pieces + [("", 5)] * unused)
+        got = {r["doc_id"]: r for r in piece_lattice.encode_and_decode(spark, frame(spark, list(enumerate(texts))), model, Scratch(spark, "t")).collect()}
+        assert {i: (r["ids"], r["n_tokens"], r["text"]) for i, r in got.items()} == {i: (ids := library.encode(t or ""), len(ids), t or "") for i, t in enumerate(texts)}
+        assert all(r["round_trip"] for r in got.values()) and len({r["ids_digest"] for r in got.values()}) == len(texts) - 1
+
+
 def test_viterbi_fold_equals_plain_viterbi(spark):
     pieces = {p: (i, s) for i, (p, s) in enumerate([("a", -2.0), ("b", -2.5), ("ab", -3.0), ("abc", -3.2), ("c", -2.0), ("bc", -3.9), ("▁", -1.0), ("▁a", -2.2)])}
     model = piece_lattice.Model("unigram", pieces, [], 99, {}, True)
