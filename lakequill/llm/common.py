@@ -302,6 +302,39 @@ def rows_by_key(
             yield out
 
 
+def key_filter(keys: DataFrame, bits: int):
+    """A bitmap of the first column of ``keys``, of 2 ** ``bits`` slots, for every task: it may let others pass, never leaves one of them out."""
+    keys = keys.select(F.col(keys.columns[0]).alias("k"))
+    slot = F.pmod(F.col("k"), F.lit(1 << bits))
+    words = keys.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(k, 64) as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    found = words.toArrow()  # at most 2 ** (bits - 6) rows
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the unsigned ``keys`` a bitmap of ``key_filter`` lets pass."""
+    slots = (keys & np.uint64(64 * len(bitmap) - 1)).astype(np.int64)
+    return bitmap[slots >> 6] >> (slots & 63) & 1 == 1
+
+
+#: Slots of the broadcast bitmap of ids that have a match, 2 ** ID_BITS bits: 16 million ids in a row have one each.
+ID_BITS = 24
+
+
+def left_join_few(docs: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` with the columns of ``rows`` by ``key`` or nulls; no text is shuffled for documents that a bitmap of the keys of ``rows`` shows to have none."""
+    slot = f"pmod(`{key}`, {1 << ID_BITS})"
+    word, bit = F.expr(f"shiftright({slot}, 6)").alias("__w"), F.expr(f"shiftleft(1L, cast({slot} & 63 as int))").alias("__bit")
+    bits = rows.select(word, bit).groupBy("__w").agg(F.bit_or("__bit").alias("__bits"))
+    # At most 2 ** (ID_BITS - 6) rows.
+    flagged = docs.withColumns({"__w": word, "__bit": bit}).join(F.broadcast(bits), "__w", "left")
+    has = F.coalesce(F.expr("__bits & __bit <> 0"), F.lit(False))
+    some, rest = (flagged.where(c).select(*(F.col(f"`{n}`") for n in docs.columns)) for c in (has, ~has))
+    return some.join(rows, key, "left").unionByName(rest, allowMissingColumns=True)
+
+
 def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a, b)``: (id, component), component the smallest id reachable.
 

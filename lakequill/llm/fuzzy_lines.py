@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, components, mix, power_tables, schema_with, signed, text_chunks, with_rest
+from .common import Scratch, Words, components, key_filter, left_join_few, mix, passes, power_tables, schema_with, signed, text_chunks, with_rest
 
 MAX_BITS = 3
 SIMILARITY = 0.8
@@ -515,16 +515,6 @@ def confirm(pairs: DataFrame, forms: DataFrame) -> DataFrame:
 FILTER_BITS = 26
 
 
-def _wanted_filter(spark: SparkSession, keys: DataFrame):
-    """A bitmap of keys ``k``, of bounded size: it may let others pass, never leaves a wanted one out."""
-    slot = F.pmod(F.col("k"), F.lit(1 << FILTER_BITS))
-    words = keys.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(k, 64) as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    found = words.toArrow()  # at most 2 ** (FILTER_BITS - 6) rows
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bitmap[found.column("w").to_numpy()] = found.column("bits").to_numpy()
-    return spark.sparkContext.broadcast(bitmap)
-
-
 def _forms(docs: DataFrame, bitmap) -> DataFrame:
     """(k, form) of the lines that the filter lets pass, some of them more than once; no text is shuffled for those it holds back."""
 
@@ -532,8 +522,7 @@ def _forms(docs: DataFrame, bitmap) -> DataFrame:
         seen: set[int] = set()
         for _, texts in text_chunks(batches):
             lines = Lines(texts)
-            slots = (lines.keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-            wanted = np.flatnonzero(bitmap.value[slots >> 6] >> (slots & 63) & 1 == 1)
+            wanted = np.flatnonzero(passes(bitmap.value, lines.keys))
             keys, forms, split = [], [], (-1, [])
             for i, key in zip(wanted.tolist(), signed(lines.keys[wanted]).tolist(), strict=True):
                 if key not in seen:
@@ -657,7 +646,7 @@ def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, node_limit:
     clean = next((c for most, c in CLEAN_BLOCKS if count <= most), 4)
     met = scratch.write(_meet(_key_rows(forms, clean), node_limit), "met")
     scratch.release()
-    texts = scratch.write(_forms(docs, _wanted_filter(docs.sparkSession, met.select("k"))), "passing")
+    texts = scratch.write(_forms(docs, key_filter(met.select("k"), FILTER_BITS)), "passing")
     wanted = met.select("k").distinct()
     texts, passing = scratch.write(texts.join(wanted, "k", "left_semi").dropDuplicates(["k"]), "texts"), texts
     scratch.drop(passing)
@@ -698,7 +687,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     gone = grouped.join(first, "g").where("struct(doc, line) > p").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("line").alias("gone"))
     gone = scratch.write(gone, "gone")
     scratch.only(gone)
-    both = docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone", *docs.columns[2:])
+    both = left_join_few(docs, gone).select("doc_id", "text", "gone", *docs.columns[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):

@@ -2,7 +2,7 @@
 
 Seeds are winnowed anchors (the least hash of a short word run in every window of the threshold length).
 Each window has exactly one anchor, set by its content alone, so equal windows have equal anchors. Anchors that
-occur once can belong to no repeat and drop out. Around each of the others the text is extended both ways over all windows
+occur once can belong to no repeat and drop out, by a bitmap of those that recur which every task holds, so no text is shuffled. Around each of the others the text is extended both ways over all windows
 that the anchor stands for: the seed's block. A block with an equal one before it is repeated as a whole; the first of its kind and
 blocks that differ at an edge are compared window by window (an earliest window always stands in such a block).
 Repeated windows that overlap join into maximal repeats. Everything is a grouped minimum or an equi-join on hashes, so
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, gram_hashes, mix, schema_with, signed, text_chunks, with_rest
+from .common import Scratch, Words, gram_hashes, key_filter, left_join_few, mix, passes, schema_with, signed, text_chunks, with_rest
 
 MIN_WORDS = 20
 #: Words in an anchor; shorter ones recur by chance, longer ones leave more anchors.
@@ -50,24 +50,49 @@ def window_anchors(hashes: np.ndarray, min_words: int, anchor_words: int) -> np.
     return where
 
 
+#: Hashes of anchors that a task holds to count equal ones before it passes them on.
+COUNTED_ANCHORS = 1 << 20
+#: Slots of the bitmaps of shared anchors and windows: 2 ** FILTER_BITS at most, 32 for each of them at least as long as that suffices.
+FILTER_BITS = 28
+
+
+def _anchored(words: Words, min_words: int, anchor_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of one text with one anchor: first window, end, hash of the anchor, and the text's number."""
+    anchor = window_anchors(words.hashes, min_words, anchor_words)
+    owner = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    # Texts are handled together; windows over the end of one are left out.
+    at = np.flatnonzero(owner[: len(anchor)] == owner[min_words - 1 : min_words - 1 + len(anchor)])
+    if not len(at):
+        return at, at, np.empty(0, np.uint64), at
+    anchor = anchor[at]
+    edges = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
+    first = at[edges[:-1]]
+    return first, first + np.diff(edges), gram_hashes(words.hashes, anchor_words)[anchor[edges[:-1]]], owner[first]
+
+
 def _anchor_rows(docs: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
+    """(h, n): hash of an anchor, and whether a task met it once (1) or more often (2)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches):
-            words, ids = Words(texts), batch.column(0).to_pylist()
-            keys, owners, places = [], [], []
-            for i, doc in enumerate(ids):
-                hashes = words.of(i)
-                at = window_anchors(hashes, min_words, anchor_words)
-                if len(at):
-                    at = at[np.concatenate(([True], at[1:] != at[:-1]))]
-                    keys.append(gram_hashes(hashes, anchor_words)[at])
-                    places.append(at.astype(np.int32))
-                    owners.append(np.full(len(at), doc, np.int64))
-            if keys:
-                arrays = [pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places))]
-                yield pa.RecordBatch.from_arrays(arrays, ["h", "doc", "at"])
-
-    return docs.mapInArrow(run, "h long, doc long, at int")
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            found, many = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(np.minimum(many, 2).astype(np.int32))], ["h", "n"])
+
+        for _, texts in text_chunks(batches):
+            held.append(_anchored(Words(texts), min_words, anchor_words)[2])
+            if sum(map(len, held)) >= COUNTED_ANCHORS:
+                yield out()
+        if held:
+            yield out()
+
+    return docs.select("text").mapInArrow(run, "h long, n int")
+
+
+def _filter(keys: DataFrame):
+    return key_filter(keys, min(FILTER_BITS, max(16, (32 * keys.count()).bit_length())))
 
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -83,45 +108,44 @@ def span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * inverse[starts] ^ (ends - starts).astype(np.uint64))
 
 
-def _block_rows(docs: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
-    """Blocks around shared anchors: (b, b2, doc, at, many, ws), hashes and place of a block, its windows and their hashes.
-
-    ``docs`` has the anchors' places in ``ats``.
-    """
+def _block_rows(docs: DataFrame, shared, min_words: int, anchor_words: int) -> DataFrame:
+    """Blocks around anchors that the filter ``shared`` lets pass: (b, b2, doc, at, many, ws), hashes and place of a block, its windows and their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
         for batch, texts in text_chunks(batches):
-            words, ids = Words(texts), batch.column(0).to_pylist()
-            ats, others = batch.column(batch.schema.get_field_index("ats")), words.second()
-            columns: list[list] = [[], [], [], [], [], []]
-            for i, doc in enumerate(ids):
-                hashes = words.of(i)
-                shared = np.zeros(len(hashes) + 1, bool)
-                shared[ats[i].values.to_numpy()] = True
-                anchor = window_anchors(hashes, min_words, anchor_words)
-                edges = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
-                first, end = edges[:-1], edges[1:]
-                use = shared[anchor[first]]
-                first, end = first[use], end[use]
-                more = others[words.first[i] : words.first[i + 1]]
-                windows = np.stack([signed(gram_hashes(x, min_words)) for x in (hashes, more)], axis=1).tobytes()
-                keys = [signed(span_hashes(x, first, end - 1 + min_words)) for x in (hashes, more)]
-                new = (*keys, np.full(len(first), doc, np.int64), first, end - first, [windows[16 * a : 16 * b] for a, b in zip(first.tolist(), end.tolist(), strict=True)])
-                for column, values in zip(columns, new, strict=True):
-                    column.extend(values)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["b", "b2", "doc", "at", "many", "ws"])
+            words = Words(texts)
+            first, end, key, owner = _anchored(words, min_words, anchor_words)
+            use = passes(bitmap, key)
+            if not use.any():
+                continue
+            first, end, owner = first[use], end[use], owner[use]
+            many, both = end - first, (words.hashes, words.second())
+            at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            windows = np.stack([gram_hashes(x, min_words)[at] for x in both], axis=1)
+            edges = np.concatenate(([0], 16 * np.cumsum(many))).astype(np.int32)
+            docs_ = batch.column(0).to_numpy(zero_copy_only=False)[owner]
+            arrays = [pa.array(signed(span_hashes(x, first, end - 1 + min_words))) for x in both]
+            arrays += [pa.array(docs_, pa.int64()), pa.array((first - words.first[owner]).astype(np.int32)), pa.array(many.astype(np.int32))]
+            arrays.append(pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(edges), pa.py_buffer(windows.tobytes())]))
+            yield pa.RecordBatch.from_arrays(arrays, ["b", "b2", "doc", "at", "many", "ws"])
 
     return docs.mapInArrow(run, "b long, b2 long, doc long, at int, many int, ws binary")
 
 
-def _windows(blocks: DataFrame) -> DataFrame:
+def _windows(blocks: DataFrame, wanted=None) -> DataFrame:
+    """(w, w2, doc, at) of the windows of ``blocks``; only those that the filter ``wanted`` lets pass, if there is one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, at, many = (batch.column(i).to_numpy() for i in range(3))
             hashes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64).reshape(-1, 2)
             inside = np.arange(len(hashes)) - np.repeat(np.cumsum(many) - many, many)
-            arrays = [*(pa.array(np.ascontiguousarray(hashes[:, k])) for k in (0, 1)), pa.array(np.repeat(doc, many)), pa.array((np.repeat(at, many) + inside).astype(np.int32))]
+            doc, at = np.repeat(doc, many), (np.repeat(at, many) + inside).astype(np.int32)
+            if wanted is not None:
+                some = passes(wanted.value, hashes[:, 0].astype(np.uint64))
+                hashes, doc, at = hashes[some], doc[some], at[some]
+            arrays = [*(pa.array(np.ascontiguousarray(hashes[:, k])) for k in (0, 1)), pa.array(doc), pa.array(at)]
             yield pa.RecordBatch.from_arrays(arrays, ["w", "w2", "doc", "at"])
 
     return blocks.select("doc", "at", "many", "ws").mapInArrow(run, "w long, w2 long, doc long, at int")
@@ -138,31 +162,28 @@ LATER = "doc > d0 or (doc = d0 and at > a0)"
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, scratch: Scratch, min_words: int, anchor_words: int) -> DataFrame:
     """(doc, runs): runs (start, many) of the windows of ``docs(doc_id, text)`` whose words also start earlier."""
-    anchors = scratch.write(_anchor_rows(docs, min_words, anchor_words), "anchors")
-    # Written first: a join of two plain exchanges can split a hot hash over tasks, one behind an aggregate cannot.
-    shared = scratch.write(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
-    seeds = scratch.write(anchors.join(shared, "h").select("doc", "at"), "seeds")
-    scratch.drop(anchors, shared)
-    del anchors, shared
+    shared = scratch.write(_anchor_rows(docs, min_words, anchor_words).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "shared")
     scratch.release()
-    places = seeds.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("at").alias("ats"))  # at most the words of a document
-    blocks = scratch.write(_block_rows(docs.join(places, "doc_id"), min_words, anchor_words), "blocks")
-    del places
-    scratch.drop(seeds)
+    # The filter may let other anchors pass: their blocks are the only ones of their kind.
+    blocks = scratch.write(_block_rows(docs, _filter(shared), min_words, anchor_words), "blocks")
+    scratch.drop(shared)
+    del shared
     scratch.release()
     firsts = scratch.write(_firsts(blocks.select("b", "b2", "doc", "at"), "b", "b2"), "firsts")
+    scratch.release()
     marked = blocks.join(firsts, ["b", "b2"], "left").withColumn("again", F.coalesce(F.expr(LATER), F.lit(False)))
     marked = scratch.write(marked.select("doc", "at", "many", "again", F.when(~F.col("again"), F.col("ws")).alias("ws")), "marked")
     scratch.drop(blocks, firsts)
     del blocks, firsts
     scratch.release()
-    windows = scratch.write(_windows(marked.where("not again")), "windows")
-    firsts = scratch.write(_firsts(windows, "w", "w2"), "firsts")
-    single = windows.join(firsts, ["w", "w2"]).where(LATER).select("doc", "at", F.lit(1).alias("many"))
+    new = marked.where("not again")
+    firsts = scratch.write(_firsts(_windows(new), "w", "w2"), "firsts")
+    scratch.release()
+    single = _windows(new, _filter(firsts.select("w"))).join(firsts, ["w", "w2"]).where(LATER).select("doc", "at", F.lit(1).alias("many"))
     runs = marked.where("again").select("doc", "at", "many").unionByName(single)
     out = scratch.write(runs.groupBy("doc").agg(F.collect_list(F.struct("at", "many")).alias("runs")), "repeats")
-    scratch.drop(marked, windows, firsts)
-    del marked, windows, single, runs, firsts
+    scratch.drop(marked, firsts)
+    del marked, new, single, runs, firsts
     scratch.release()
     return out
 
@@ -184,7 +205,7 @@ def dedup_substrings(
     scratch = Scratch(spark, "substrings")
     named = docs.where("doc_id is not null").select("doc_id", "text")
     repeats = repeated_windows(spark, named, scratch, min_words, anchor_words).withColumnRenamed("doc", "doc_id")
-    both = docs.join(repeats, "doc_id", "left").select("doc_id", "text", "runs", *docs.columns[2:])
+    both = left_join_few(docs, repeats).select("doc_id", "text", "runs", *docs.columns[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):

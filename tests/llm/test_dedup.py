@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("lakequill.llm")
-from lakequill.llm import chosen_path_join, fuzzy_lines, substring_dedup  # noqa: E402
+from lakequill.llm import chosen_path_join, common, fuzzy_lines, substring_dedup  # noqa: E402
 from lakequill.llm.common import Scratch  # noqa: E402
 
 from .fixtures import corpus, edited, frame, prose, words  # noqa: E402
@@ -121,6 +121,42 @@ def test_substring_dedup_equals_brute_force(spark, size):
     assert all(r["n_removed"] == 0 for r in got if r["doc_id"] is None)
 
 
+def test_substring_dedup_shuffles_no_text_of_whole_documents(spark, monkeypatch):
+    """Blocks are made where the texts are, and documents without repeats are not dealt out; bitmaps that let nearly all pass change nothing."""
+    want = {r["doc_id"]: r["kept_sha256"] for r in substring_dedup.dedup_substrings(spark, frame(spark), layout=False).collect() if r["doc_id"] is not None}
+    plans = {}
+    write = Scratch.write
+
+    def noted(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(self, df, name)
+
+    monkeypatch.setattr(Scratch, "write", noted)
+    monkeypatch.setattr(substring_dedup, "FILTER_BITS", 6)
+    monkeypatch.setattr(common, "ID_BITS", 7)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = substring_dedup.dedup_substrings(spark, frame(spark), layout=False)
+        got = {r["doc_id"]: r["kept_sha256"] for r in out.collect() if r["doc_id"] is not None}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == want
+    assert "Exchange" not in plans["blocks"]
+
+
+def test_left_join_few_is_a_left_join(spark):
+    """Whatever ids share a slot of the bitmap; null and negative ids too."""
+    bits = common.ID_BITS
+    docs = spark.createDataFrame([(i, f"t{i}") for i in [None, -1, -(1 << bits) + 5, 0, 1, 5, 5, 64, (1 << bits) + 5, (1 << bits) - 1]], "doc_id long, text string")
+    for ids in ([5, 64], [-1, 0], [], [(1 << bits) + 5]):
+        rows = spark.createDataFrame([(i, 2 * i) for i in ids], "doc_id long, twice long")
+        want = Counter((r["doc_id"], r["text"], r["twice"]) for r in docs.join(rows, "doc_id", "left").collect())
+        made = common.left_join_few(docs, rows)
+        assert made.columns == ["doc_id", "text", "twice"]
+        assert Counter((r["doc_id"], r["text"], r["twice"]) for r in made.collect()) == want
+
+
 def test_substring_layout_keeps_what_is_kept(spark):
     got = substring_dedup.dedup_substrings(spark, frame(spark), min_words=20).collect()
     plain = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(spark, frame(spark), min_words=20, layout=False).collect()}
