@@ -226,8 +226,11 @@ def block_keys(sims: np.ndarray, clean: int) -> Iterator[np.ndarray]:
 PLAIN, DEALT, WORD = 0, 1, 2
 
 
-def _key_rows(forms: DataFrame, clean: int) -> DataFrame:
-    """Rows (node, k, sim, tag) of ``forms(k, sim, size, bands)``; keys of bands are odd, those of blocks even; a tag is 4 * size + kind."""
+def _key_rows(forms: DataFrame, clean: int, shared=None) -> DataFrame:
+    """Rows (node, k, sim, tag) of ``forms(k, sim, size, bands)``; keys of bands are odd, those of blocks even; a tag is 4 * size + kind.
+
+    Only those of keys that the filter ``shared`` lets pass; without one, (node, n): the keys, and how many lines of a run of the task have them.
+    """
     schema = pa.schema([(c, pa.int64()) for c in ("node", "k", "sim", "tag")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,17 +252,22 @@ def _key_rows(forms: DataFrame, clean: int) -> DataFrame:
             data = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.uint64).reshape(-1, BANDS)[at]
             columns = [key & ~np.uint64(1) for key in block_keys(sim.view(np.uint64), clean)] + [data[:, band] | np.uint64(1) for band in range(BANDS)]
             for node in columns:
+                if shared is None:
+                    found, many = np.unique(node, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(many.astype(np.int32))], ["node", "n"])
+                    continue
                 least = max(64, len(k) // 128)
-                found, which, many = np.unique(node, return_inverse=True, return_counts=True)
+                use = passes(shared.value, node >> np.uint64(1))
+                found, which, many = np.unique(node[use], return_inverse=True, return_counts=True)
                 often = many[which] > least
-                arrays = [signed(node), k, sim, 4 * size + np.where(often, DEALT, PLAIN)]
+                arrays = [signed(node[use]), k[use], sim[use], 4 * size[use] + np.where(often, DEALT, PLAIN)]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=schema)
                 if len(words := found[many > least]):
                     none = np.zeros(len(words), np.int64)
                     arrays = [signed(words), none, none, none + WORD]
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], schema=schema)
 
-    return forms.mapInArrow(run, "node long, k long, sim long, tag long")
+    return forms.mapInArrow(run, "node long, n int" if shared is None else "node long, k long, sim long, tag long")
 
 
 def _most_bits(node: np.ndarray) -> np.ndarray:
@@ -508,35 +516,41 @@ def confirm(pairs: DataFrame, forms: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (forms.select(F.col("k").alias(c), F.col("form").alias(f"f{c}")) for c in "ab")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
+    # Few bytes are much work here: dealt out to a number of tasks that is not lowered.
+    pairs = pairs.select("a", "b").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
-#: Slots of the filter of wanted lines, 2 ** FILTER_BITS bits.
+#: Slots of the filters of wanted lines and of shared keys, 2 ** FILTER_BITS and 2 ** KEY_FILTER_BITS bits.
 FILTER_BITS = 26
+KEY_FILTER_BITS = 28
 
 
 def _forms(docs: DataFrame, bitmap) -> DataFrame:
-    """(k, form) of the lines that the filter lets pass, some of them more than once; no text is shuffled for those it holds back."""
+    """(k, form, bands) of the lines that the filter lets pass, some of them more than once; no text is shuffled for those it holds back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, texts in text_chunks(batches):
             lines = Lines(texts)
             wanted = np.flatnonzero(passes(bitmap.value, lines.keys))
-            keys, forms, split = [], [], (-1, [])
+            keys, forms, rows, split = [], [], [], (-1, [])
             for i, key in zip(wanted.tolist(), signed(lines.keys[wanted]).tolist(), strict=True):
                 if key not in seen:
                     seen.add(key)
                     if split[0] != lines.owner[i]:
                         split = (int(lines.owner[i]), lines_of(texts[lines.owner[i]]))
                     keys.append(key)
+                    rows.append(i)
                     forms.append(normal_form(split[1][lines.number[i]]).decode("utf-8", "replace"))
             if len(seen) > SEEN_LINES:
                 seen.clear()
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(forms, pa.string())], ["k", "form"])
+                data = bands(*word_pairs(*lines.hashes(np.array(rows)))).tobytes()
+                arrays = [pa.array(keys, pa.int64()), pa.array(forms, pa.string()), pa.array([data[a : a + 8 * BANDS] for a in range(0, len(data), 8 * BANDS)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["k", "form", "bands"])
 
-    return docs.select("text").mapInArrow(run, "k long, form string")
+    return docs.select("text").mapInArrow(run, "k long, form string, bands binary")
 
 
 # --- links across components -------------------------------------------------------------------------------------
@@ -548,7 +562,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(named, "k", "left").withColumn("label", F.coalesce("__c", "k")).drop("__c")
 
 
-def _cross_links(met: DataFrame, labels: DataFrame, keyed: DataFrame, forms: DataFrame, scratch: Scratch, node_limit: int) -> DataFrame:
+def _cross_links(met: DataFrame, labels: DataFrame, forms: DataFrame, scratch: Scratch, node_limit: int) -> DataFrame:
     """Links (a, b) between lines of one key that are in different components."""
     rows = scratch.write(_labelled(met.select("node", "k", "sim", "size"), labels).distinct(), "labelled")
     seen = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
@@ -569,7 +583,7 @@ def _cross_links(met: DataFrame, labels: DataFrame, keyed: DataFrame, forms: Dat
         node = F.expr("shiftleft(xxhash64(node, i, j), 1) | (node & 1)")
         dealt = [side.select(node.alias("node"), F.col("node").alias("own"), "k", "sim", "size", "label", F.lit(x).alias("x"), F.lit(not x).alias("y")) for side, x in ((xs, True), (ys, False))]
         few = few.unionByName(dealt[0]).unionByName(dealt[1])
-    whole = few.join(forms.join(keyed.select("k", "bands"), "k"), "k").select("node", "own", "k", "sim", "size", "label", "x", "y", "form", "bands")
+    whole = few.join(forms, "k").select("node", "own", "k", "sim", "size", "label", "x", "y", "form", "bands")
 
     def links(run: pa.Table) -> Iterator[tuple[int, int]]:
         node, k, sim, size, label = (run.column(c).to_numpy() for c in ("own", "k", "sim", "size", "label"))
@@ -644,7 +658,12 @@ def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, node_limit:
     scratch.release()
     count = forms.count()
     clean = next((c for most, c in CLEAN_BLOCKS if count <= most), 4)
-    met = scratch.write(_meet(_key_rows(forms, clean), node_limit), "met")
+    # Most keys are of one line only: hashes of keys are counted first, and the rows of those that recur are dealt out.
+    shared = scratch.write(_key_rows(forms, clean).groupBy("node").agg(F.sum("n").alias("n")).where("n > 1").select(F.shiftrightunsigned("node", 1).alias("node")), "shared")
+    scratch.release()
+    met = scratch.write(_meet(_key_rows(forms, clean, key_filter(shared, KEY_FILTER_BITS)), node_limit), "met")
+    scratch.drop(forms, shared)
+    del shared
     scratch.release()
     texts = scratch.write(_forms(docs, key_filter(met.select("k"), FILTER_BITS)), "passing")
     wanted = met.select("k").distinct()
@@ -659,8 +678,8 @@ def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, node_limit:
     links = scratch.write(confirm(near.unionByName(star).distinct(), texts), "links")
     scratch.release()
     labels = components(scratch, links)
-    more = scratch.write(_cross_links(met, labels, forms, texts, scratch, node_limit), "links")
-    scratch.drop(met, texts, forms)
+    more = scratch.write(_cross_links(met, labels, texts, scratch, node_limit), "links")
+    scratch.drop(met, texts)
     if not more.isEmpty():
         labels = components(scratch, links.unionByName(more))
     return labels.select(F.col("id").alias("k"), F.col("component").alias("g"))

@@ -204,6 +204,22 @@ def test_line_dedup_against_all_pairs(spark, node_limit):
     assert np.all([r["text"] is None for r in got if r["doc_id"] == 1])
 
 
+def test_only_keys_of_several_lines_are_dealt_out(spark, monkeypatch):
+    """Rows that are shuffled to meet are of keys that recur; a filter that lets all pass links the same."""
+    rows = [(i, prose(5000 + i, 12, 10**6)) for i in range(300)] + [(1000 + i, edited(prose(1, 30), i, 0.05)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, removed = [], []
+    meet = fuzzy_lines._meet
+    monkeypatch.setattr(fuzzy_lines, "_meet", lambda keys, limit: dealt.append(Counter(r["node"] for r in keys.collect())) or meet(keys, limit))
+    for bits in (28, 6):
+        monkeypatch.setattr(fuzzy_lines, "KEY_FILTER_BITS", bits)
+        removed.append({r["doc_id"]: r["n_removed"] for r in fuzzy_lines.dedup_lines(spark, df).collect()})
+    few, many = dealt
+    assert removed[0] == removed[1] and sum(removed[0].values()) >= 15
+    assert all(n > 1 for n in few.values()) and few == Counter({k: n for k, n in many.items() if n > 1})
+    assert sum(few.values()) < sum(many.values())
+
+
 def test_line_recall_on_a_whole_table(spark):
     """All pairs of normal forms of sf0.001 with the similarity, by edit distance alone: nine in ten are in one group, in each class of lengths."""
     from bisect import bisect_right
