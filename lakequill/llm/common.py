@@ -335,6 +335,33 @@ def left_join_few(docs: DataFrame, rows: DataFrame, key: str = "doc_id") -> Data
     return some.join(rows, key, "left").unionByName(rest, allowMissingColumns=True)
 
 
+#: Edges up to which one task folds them all (some 50 MB there); more take rounds of joins.
+TASK_EDGES = 1_000_000
+
+
+def _fold_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of all edges (u, v): ids hang on the least that a neighbour hangs on until nothing moves."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    ends = np.concatenate([b.column(c).to_numpy() for c in (0, 1) for b in held])
+    ids, at = np.unique(ends, return_inverse=True)
+    a, b = at[: len(at) // 2], at[len(at) // 2 :]
+    home = np.arange(len(ids))
+    while True:
+        x, y = home[a], home[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(home, np.maximum(x, y), np.minimum(x, y))
+        while (further := home[home] != home).any():
+            home[further] = home[home[further]]
+    for start in range(0, len(ids), 1 << 16):
+        part = slice(start, start + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(ids[home[part]])], ["id", "component"])
+
+
 def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a, b)``: (id, component), component the smallest id reachable.
 
@@ -344,6 +371,9 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 40) -> Data
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     written = scratch.write(now, "edges")
+    if written.count() <= TASK_EDGES:
+        # Rounds are dozens of stages, whose tasks cost far more than so few edges.
+        return scratch.write(written.coalesce(1).mapInArrow(_fold_edges, "id long, component long"), "components")
     for _ in range(max_rounds):
         # Stars: every id hangs on one other, which hangs on none.
         ids = written.groupBy("u").agg(F.count("*").alias("n"), F.first("v").alias("v"))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, components, key_filter, left_join_few, mix, passes, power_tables, schema_with, signed, text_chunks, with_rest
+from .common import Scratch, Words, components, key_filter, left_join_few, mix, passes, power_tables, schema_with, signed, slices, text_chunks, with_rest
 
 MAX_BITS = 3
 SIMILARITY = 0.8
@@ -51,8 +51,9 @@ SEEN_LINES = 1_000_000
 CLEAN_BLOCKS = ((64_000_000, 1), (2_000_000_000, 2), (200_000_000_000, 3))
 #: Counters of pairs of neighbouring characters, which rule out most lines that are not alike, many at a time.
 PAIR_BINS = 256
-#: Blocks that a large key is compared in, in units of its limit: each line goes once to every block, so large ones move fewer rows.
-BLOCK_LIMITS = 4
+#: Lines that links are sought among at once, in units of a key's limit; larger keys go in blocks of as many. Each line goes once to every block, so
+#: large ones move fewer rows.
+BLOCK_LIMITS = 8
 
 #: Marks and digits beyond ASCII, which the tables below do not know.
 _FOREIGN_MARKS = re.compile(r"[^\w\x00-\x7f]+")
@@ -507,12 +508,81 @@ def _may_be_alike(counts: np.ndarray, size: np.ndarray, i: int, j: np.ndarray) -
     return (shared >= longest - 1 - 2 * ((1 - SIMILARITY) * longest + 1e-9).astype(np.int64)) | (longest >= 0xFFFF)
 
 
+#: Characters of a block of ``_far_apart``, bits of one word; codes of characters there; and characters of lines that it looks at.
+BLOCK, CODES, FAR_CHARS = 64, 128, 4096
+#: Blocks that are compared at once.
+FAR_LANES = 4096
+
+
+def _far_apart(forms: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """True only where ``alike`` is false, for many pairs of ``forms`` at once.
+
+    The first form is cut into blocks. Each edit of a pair that is alike falls into one of them, and each block is turned into some
+    part of the other form that is shifted by what the limit allows; so the least distances of the blocks to any such part do not
+    add up to more than the limit. They are found bit-parallel, all blocks side by side. Characters of one code only hide differences.
+    """
+    size = np.array([len(f) for f in forms], np.int64)
+    at = np.concatenate(([0], np.cumsum(size)))
+    codes = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) % CODES
+    longest = np.maximum(size[a], size[b])
+    limit = ((1 - SIMILARITY) * longest + 1e-9).astype(np.int64)
+    # Pairs of like sizes side by side, as their blocks take the same steps.
+    order = np.argsort(longest, kind="stable")
+    order = order[(longest[order] <= FAR_CHARS) & (np.minimum(size[a], size[b])[order] > 0)]
+    many = -(-size[a[order]] // BLOCK)
+    ends = np.cumsum(many)
+    out = np.zeros(len(a), bool)
+    start = 0
+    while start < len(order):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] - many[start] + FAR_LANES, "right")))
+        part, blocks = order[start:stop], many[start:stop]
+        first = np.concatenate(([0], np.cumsum(blocks)[:-1]))
+        lane = np.repeat(part, blocks)
+        s = (np.arange(len(lane)) - np.repeat(first, blocks)) * BLOCK
+        m = np.minimum(BLOCK, size[a[lane]] - s)
+        base = np.arange(len(lane)) * (CODES + 1)
+        masks = np.zeros(len(lane) * (CODES + 1), np.uint64)
+        for p in range(int(m.max())):
+            has = np.flatnonzero(m > p)
+            masks[base[has] + codes[at[a[lane[has]]] + s[has] + p]] |= np.uint64(1 << p)
+        # A shift of d takes |d| edits before the block and |d - (difference of sizes)| after it.
+        room, more = limit[lane], size[b[lane]] - size[a[lane]]
+        low, high = -((room - more) // 2), (room + more) // 2
+        begin, stop_at = np.maximum(s + low, 0), np.minimum(s + m + high, size[b[lane]])
+        top = (m - 1).astype(np.uint64)
+        plus, minus, score = np.full(len(lane), ~np.uint64(0)), np.zeros(len(lane), np.uint64), m.copy()
+        best, one, last = m.copy(), np.uint64(1), len(codes) - 1
+        for c in range(int((stop_at - begin).max(initial=0))):
+            y = begin + c
+            code = np.where(y < stop_at, codes[np.minimum(at[b[lane]] + y, last)], CODES)
+            eq = masks[base + code]
+            diagonal = (((eq & plus) + plus) ^ plus) | eq
+            up, down = minus | ~(diagonal | plus), plus & diagonal
+            score += ((up >> top & one).astype(np.int64) - (down >> top & one).astype(np.int64))
+            up, down = up << one, down << one
+            vertical = eq | minus
+            plus, minus = down | ~(vertical | up), up & vertical
+            np.minimum(best, score, out=best)
+        out[part] = np.add.reduceat(best, first) > limit[part]
+        start = stop
+    return out
+
+
+def _alike_pairs(forms: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``alike`` of pairs of ``forms``."""
+    out = ~_far_apart(forms, a, b)
+    for n in np.flatnonzero(out).tolist():
+        out[n] = alike(forms[a[n]], forms[b[n]])
+    return out
+
+
 def confirm(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     """The pairs whose normal forms are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [alike(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        for batch in slices(batches, 4096):
+            forms, rows = batch.column(2).to_pylist() + batch.column(3).to_pylist(), np.arange(batch.num_rows)
+            keep = _alike_pairs(forms, rows, rows + len(rows))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (forms.select(F.col("k").alias(c), F.col("form").alias(f"f{c}")) for c in "ab")
@@ -562,15 +632,64 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(named, "k", "left").withColumn("label", F.coalesce("__c", "k")).drop("__c")
 
 
+def _links(run: pa.Table) -> Iterator[tuple[int, int]]:
+    """Links between lines ``x`` and ``y`` of one key that are in different components."""
+    node, k, sim, size, label = (run.column(c).to_numpy() for c in ("own", "k", "sim", "size", "label"))
+    is_x, is_y = (run.column(c).to_numpy() for c in "xy")
+    keys = np.frombuffer(b"".join(run.column("bands").to_pylist()), np.uint64).reshape(-1, BANDS)
+    forms, home, most = run.column("form").to_pylist(), {}, int(_most_bits(node[:1])[0])
+    counts = chars = None
+
+    def root(x: int) -> int:
+        while (y := home.get(x, x)) != x:
+            home[x] = home.get(y, y)
+            x = y
+        return x
+
+    found = []
+    # By size: those that fit a line stand together.
+    ys = np.flatnonzero(is_y)
+    ys = ys[np.argsort(size[ys], kind="stable")]
+    label_y, k_y, sim_y, size_y, x_y = label[ys], k[ys], sim[ys], size[ys], is_x[ys]
+    for i in np.flatnonzero(is_x).tolist():
+        low, high = np.searchsorted(size_y, [SIMILARITY * size[i] - 1e-6, size[i] / SIMILARITY + 1e-6])
+        bits = _bits(sim_y[low:high], sim[i])
+        at = np.flatnonzero(bits <= most)
+        bits, at = bits[at], at + low
+        # Such pairs come twice where both are on both sides.
+        ok = (label_y[at] != label[i]) & _sizes_fit(size_y[at], size[i]) & (~(x_y[at] & is_y[i]) | (k_y[at] > k[i]))
+        j, bits = ys[at[ok]], bits[ok]
+        if len(j) and node[i] & 1:
+            # Lines that meet in several bands are tried in the first of them.
+            here = int(((keys[i] | np.uint64(1)).view(np.int64) == node[i]).argmax())
+            ok = (keys[j] == keys[i]).argmax(axis=1) == here
+            j, bits = j[ok], bits[ok]
+        if len(j):
+            if counts is None:
+                counts, chars = _pair_counts(forms), np.array([len(f) for f in forms])
+            ok = _may_be_alike(counts, chars, i, j)
+            j, bits = j[ok], bits[ok]
+        found += zip(bits.tolist(), itertools.repeat(i), j.tolist())  # noqa: B905
+    found.sort()
+    for start in range(0, len(found), 4096):
+        part = [p for p in found[start : start + 4096] if root(int(label[p[1]])) != root(int(label[p[2]]))]
+        far = _far_apart(forms, *np.array([p[1:] for p in part], np.int64).reshape(-1, 2).T)
+        for (_, i, j), no in zip(part, far.tolist(), strict=True):
+            x, y = root(int(label[i])), root(int(label[j]))
+            if x != y and not no and alike(forms[i], forms[j]):
+                home[max(x, y)] = min(x, y)
+                yield int(k[i]), int(k[j])
+
+
 def _cross_links(met: DataFrame, labels: DataFrame, forms: DataFrame, scratch: Scratch, node_limit: int) -> DataFrame:
     """Links (a, b) between lines of one key that are in different components."""
     rows = scratch.write(_labelled(met.select("node", "k", "sim", "size"), labels).distinct(), "labelled")
     seen = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
     seen = scratch.write(seen.select("node", "n"), "divided")
     rows = rows.join(seen, "node")
-    few = rows.where(f"n <= {node_limit}").select("node", F.col("node").alias("own"), "k", "sim", "size", "label", F.lit(True).alias("x"), F.lit(True).alias("y"))
-    many = rows.where(f"n > {node_limit}")
-    if not seen.where(f"n > {node_limit}").isEmpty():
+    few = rows.where(f"n <= {BLOCK_LIMITS * node_limit}").select("node", F.col("node").alias("own"), "k", "sim", "size", "label", F.lit(True).alias("x"), F.lit(True).alias("y"))
+    many = rows.where(f"n > {BLOCK_LIMITS * node_limit}")
+    if not seen.where(f"n > {BLOCK_LIMITS * node_limit}").isEmpty():
         # Lines outside a key's main component (x), in blocks, against blocks of all its lines (y).
         main = many.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "label")).alias("m"))
         many = many.join(main.select("node", F.col("m.label").alias("home")), "node")
@@ -585,52 +704,13 @@ def _cross_links(met: DataFrame, labels: DataFrame, forms: DataFrame, scratch: S
         few = few.unionByName(dealt[0]).unionByName(dealt[1])
     whole = few.join(forms, "k").select("node", "own", "k", "sim", "size", "label", "x", "y", "form", "bands")
 
-    def links(run: pa.Table) -> Iterator[tuple[int, int]]:
-        node, k, sim, size, label = (run.column(c).to_numpy() for c in ("own", "k", "sim", "size", "label"))
-        is_x, is_y = (run.column(c).to_numpy() for c in "xy")
-        keys = np.frombuffer(b"".join(run.column("bands").to_pylist()), np.uint64).reshape(-1, BANDS)
-        forms, home, most = run.column("form").to_pylist(), {}, int(_most_bits(node[:1])[0])
-        counts = chars = None
-
-        def root(x: int) -> int:
-            while (y := home.get(x, x)) != x:
-                home[x] = home.get(y, y)
-                x = y
-            return x
-
-        found = []
-        ys = np.flatnonzero(is_y)
-        for i in np.flatnonzero(is_x).tolist():
-            j = ys[label[ys] != label[i]]
-            both = is_x[j] & is_y[i]
-            j = j[~both | (k[j] > k[i])]  # such pairs come twice
-            bits = _bits(sim[j], sim[i])
-            ok = (bits <= most) & _sizes_fit(size[j], size[i])
-            j, bits = j[ok], bits[ok]
-            if len(j) and node[i] & 1:
-                # Lines that meet in several bands are tried in the first of them.
-                here = int(((keys[i] | np.uint64(1)).view(np.int64) == node[i]).argmax())
-                ok = (keys[j] == keys[i]).argmax(axis=1) == here
-                j, bits = j[ok], bits[ok]
-            if len(j):
-                if counts is None:
-                    counts, chars = _pair_counts(forms), np.array([len(f) for f in forms])
-                ok = _may_be_alike(counts, chars, i, j)
-                j, bits = j[ok], bits[ok]
-            found += zip(bits.tolist(), itertools.repeat(i), j.tolist())  # noqa: B905
-        for _, i, j in sorted(found):
-            x, y = root(int(label[i])), root(int(label[j]))
-            if x != y and alike(forms[i], forms[j]):
-                home[max(x, y)] = min(x, y)
-                yield int(k[i]), int(k[j])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def handle(rows: pa.Table) -> pa.RecordBatch:
             node = rows.column("node").to_numpy()
             edges = np.concatenate(([0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]))
-            pairs = [p for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for p in links(rows.slice(a, b - a))]
+            pairs = [p for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for p in _links(rows.slice(a, b - a))]
             return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
 
         for batch in batches:

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("lakequill.llm")
@@ -313,6 +314,40 @@ def test_counters_of_pairs_never_rule_out_lines_that_are_alike():
     assert right > len(forms) and ruled_out > 0
 
 
+def test_lines_that_are_alike_are_never_called_far_apart():
+    r, forms = random.Random(9), []
+    for _ in range(600):
+        n = r.choice([1, 9, 30, 63, 64, 65, 129, 200])
+        line = [r.choice("abcde ü字") for _ in range(n)]
+        other = line[:]
+        for _ in range(r.randrange(int(0.3 * n) + 2)):
+            at = r.randrange(len(other) + 1)
+            other[at : at + r.randrange(2)] = r.choices("abcd ", k=r.randrange(2))
+        if r.random() < 0.3:
+            other = other[n // 8 :]
+        forms += ["".join(line), "".join(other)]
+    a, b = np.arange(0, len(forms), 2), np.arange(1, len(forms), 2)
+    right = np.array([fuzzy_lines.alike(forms[i], forms[j]) for i, j in zip(a, b, strict=True)])
+    for x, y in ((a, b), (b, a)):
+        far = fuzzy_lines._far_apart(forms, x, y)
+        assert not (far & right).any() and far.any()
+        assert (fuzzy_lines._alike_pairs(forms, x, y) == right).all()
+
+
+def test_lines_of_one_key_that_are_unlike_cost_few_edit_distances(monkeypatch):
+    """Many lines of one language in one band: before, each pair with like counts of characters took an edit distance of its own."""
+    r, calls = random.Random(4), []
+    syllables = ["th", "en", "er", "in", "on", "re", "an", "tion", "ing", "ou", "wh", "at"]
+    forms = [" ".join("".join(r.choices(syllables, k=r.randrange(1, 4))) for _ in range(40)) for _ in range(60)]
+    n = len(forms)
+    distance = fuzzy_lines.edit_distance
+    monkeypatch.setattr(fuzzy_lines, "edit_distance", lambda *a: calls.append(a) or distance(*a))
+    columns = {"own": [2] * n, "k": list(range(n)), "sim": [0] * n, "size": [len(f) for f in forms], "label": list(range(n)), "x": [True] * n, "y": [True] * n}
+    rows = pa.table(columns | {"form": forms, "bands": [bytes(8 * fuzzy_lines.BANDS)] * n})
+    assert list(fuzzy_lines._links(rows)) == [] and len(calls) < 60
+    assert not any(fuzzy_lines.alike(a, b) for a in forms[:20] for b in forms[20:])
+
+
 def test_lines_are_linked_by_edit_similarity_alone(spark):
     """What the query links is all pairs of the similarity, whatever bits of the SimHash an edit moves."""
     from lakequill.llm import queries
@@ -346,6 +381,16 @@ def test_empty_tables(spark):
     assert fuzzy_lines.dedup_lines(spark, empty).count() == 0
 
 
+def test_few_edges_are_folded_by_one_task(spark, monkeypatch):
+    r = random.Random(6)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1200)]
+    df, got = spark.createDataFrame(edges, "a long, b long"), []
+    for most in (common.TASK_EDGES, 0):
+        monkeypatch.setattr(common, "TASK_EDGES", most)
+        got.append(sorted(map(tuple, common.components(common.Scratch(spark, "t"), df).collect())))
+    assert got[0] == got[1] and (1200, 1000) in got[0]
+
+
 def test_components_of_chains_and_random_graphs(spark):
     from lakequill.llm.common import components
 
