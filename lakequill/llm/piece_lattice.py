@@ -7,7 +7,7 @@ models the fold replays the merges over the same edges, as the best sum of score
 pieces up by id and joins them in order.
 
 Ids of frequent chunks come from a bounded table that every task holds; the others are holes in a document's ids, which
-a join fills. So every text is read twice: to count its chunks, and to write its ids.
+a join fills: the ids of many rows go packed, as one block, and each rare chunk of a block meets the vocabulary once. So every text is read twice: to count its chunks, and to write its ids.
 """
 
 from __future__ import annotations
@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import CHUNK_BYTES, Scratch, mix, power_tables, signed, slices, text_chunks
+from .common import Scratch, mix, power_tables, signed, slices, text_chunks
 
 SPACE = "▁"
 #: Chunks (the most frequent ones) held by every task.
 FREQUENT_CHUNKS = 100_000
 #: Distinct chunks counted by a task before it passes counts on.
 COUNTED_CHUNKS = 200_000
+#: Bytes of text whose ids are packed and go together.
+BLOCK_BYTES = 1 << 18
 #: Longer chunks, whose fold would take time by the square of their length and more bits than a number has, are merged by a heap in the
 #: same order (no chunk of the test tables is half as long).
 LATTICE_CHARS = 60
@@ -315,11 +317,23 @@ def _id_type(model: Model) -> np.dtype:
     return np.dtype("<u2" if len(model.all_pieces) < 0xFFFF else "<u4")
 
 
+def _pack(values: np.ndarray) -> bytes:
+    return pa.Codec("zstd", compression_level=1).compress(values.tobytes(), asbytes=True) if len(values) else b""
+
+
+def _unpack(data: bytes, many: int, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(data, many * kind.itemsize, asbytes=True) if many else b"", kind)
+
+
+#: Place of a hole's chunk among those of its block.
+_PLACE = np.dtype("<u4")
+
+
 def _rows(spark: SparkSession, docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
-    """(row, doc_id, ids, plain, fills) of every row of ``docs(doc_id, text)``.
+    """(docs, sizes, ids, places, plain, fills) of blocks of rows of ``docs(doc_id, text)``, packed, as they are written and shuffled once.
 
-    ``ids`` are numbers of ``_id_type`` with a hole for the occurrences of rarer chunks, ``fills`` the ids of these by place; ``plain`` is
-    the SHA-256 of the text that the ids stand for.
+    ``ids`` are numbers of ``_id_type`` (``sizes`` many of each row) with a hole for the occurrences of rarer chunks, ``fills`` the ids of
+    the distinct ones of these and ``places`` which of them is in each hole; ``plain`` are the SHA-256 of the texts that the ids stand for.
     """
     known, kind = vocabulary(docs, model, scratch), _id_type(model)
     top = known.orderBy(F.desc("n"), "chunk").limit(FREQUENT_CHUNKS).select("chunk", "ids").toArrow()  # bounded
@@ -327,68 +341,64 @@ def _rows(spark: SparkSession, docs: DataFrame, model: Model, scratch: Scratch)
     del top
     held = spark.sparkContext.broadcast(frequent)
     cutter, hole = Cutter(model), b"\xff" * kind.itemsize
+    schema = "block long, docs array<long>, sizes array<int>, ids binary, places binary, plain array<binary>, holes array<string>"
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row = TaskContext.get().partitionId() << 36
+        block = TaskContext.get().partitionId() << 36
         known = held.value
-        for batch, texts in text_chunks(batches):
-            ids, holes, plain = [], [], []
+        for batch, texts in text_chunks(batches, limit=BLOCK_BYTES):
+            ids, sizes, places, plain = [], [], [], []
+            holes: dict[str, int] = {}
             for text in texts:
                 chunks = cutter.chunks(text)
                 found = [known.get(c, hole) for c in chunks]
                 ids.append(b"".join(found))
-                holes.append([c for c, f in zip(chunks, found, strict=True) if f is hole])
+                sizes.append(len(ids[-1]) // kind.itemsize)
+                places += [holes.setdefault(c, len(holes)) for c, f in zip(chunks, found, strict=True) if f is hole]
                 plain.append(hashlib.sha256((text or b"").replace(SPACE.encode(), b" ")).digest())
-            rows = pa.array(np.arange(row, row + len(texts)))
-            row += len(texts)
-            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(ids, pa.binary()), pa.array(holes, pa.list_(pa.string())), pa.array(plain, pa.binary())], ["row", "doc_id", "ids", "holes", "plain"])
-
-    # Written once: a row's number is the same for all readers.
-    runs = scratch.write(docs.mapInArrow(run, "row long, doc_id long, ids binary, holes array<string>, plain binary"), "runs")
-    rare = runs.select("row", F.posexplode("holes").alias("p", "chunk")).join(known.select("chunk", F.col("ids").alias("fill")), "chunk")
-    fills = scratch.write(rare.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("p", "fill"))).alias("fills")).select("row", F.col("fills.fill").alias("fills")), "fills")
+            row = [block, batch.column(0).to_pylist(), sizes, _pack(np.frombuffer(b"".join(ids), kind)), _pack(np.array(places, _PLACE)), plain, list(holes)]
+            block += 1
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+
+    # Written once: a block's number is the same for all readers.
+    runs = scratch.write(docs.mapInArrow(run, schema), "runs")
+    rare = runs.select("block", F.posexplode("holes").alias("p", "chunk")).join(known.select("chunk", F.col("ids").alias("fill")), "chunk")
+    fills = scratch.write(rare.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("p", "fill"))).alias("fills")).select("block", F.col("fills.fill").alias("fills")), "fills")
     scratch.drop(known)
     scratch.release()
-    return runs.select("row", "doc_id", "ids", "plain").join(fills, "row", "left").select("doc_id", "ids", "plain", "fills")
-
-
-def _whole(batch: pa.RecordBatch, model: Model) -> tuple[list[np.ndarray], pa.ListArray]:
-    """The ids of each row of ``_rows``, holes filled; also as one array of lists."""
-    out, kind = [], _id_type(model)
-    gap = np.iinfo(kind).max
-    for text, fills in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
-        ids = np.frombuffer(text, kind)
-        if fills.is_valid:
-            first = fills.values.offsets.to_numpy()
-            values = fills.values.values.to_numpy(zero_copy_only=False)[first[0] : first[-1]].astype(kind)
-            at = np.flatnonzero(ids == gap)
-            many = np.ones(len(ids), np.int64)
-            many[at] = np.diff(first)
-            taken = np.repeat(ids, many)
-            taken[taken == gap] = values
-            ids = taken
-        if not model.byte_ids and len(ids):
-            # Neighbouring unknown characters are one unknown.
-            ids = ids[np.concatenate(([True], (ids[1:] != model.unknown) | (ids[:-1] != model.unknown)))]
-        out.append(ids)
-    edges = np.concatenate(([0], np.cumsum([len(ids) for ids in out]))).astype(np.int32)
-    flat = np.concatenate(out).astype(np.int32) if out else np.empty(0, np.int32)
-    return out, pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))
-
-
-def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of about CHUNK_BYTES of ids, or one row."""
-    for batch in batches:
-        start = size = 0
-        for i, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
-            size += n
-            if size >= CHUNK_BYTES:
-                yield batch.slice(start, i + 1 - start)
-                start, size = i + 1, 0
-        if start < batch.num_rows:
-            yield batch.slice(start)
+    return runs.drop("holes").join(fills, "block", "left").select("docs", "sizes", "ids", "places", "plain", "fills")
+
+
+def _whole(batch: pa.RecordBatch, row: int, model: Model) -> tuple[pa.Array, pa.ListArray, pa.Array]:
+    """Of one block of ``_rows`` the rows' doc_id, their ids, holes filled, and ``plain``."""
+    docs, sizes, ids, places, plain, fills = (batch.column(i)[row] for i in range(6))
+    kind = _id_type(model)
+    edges = np.concatenate(([0], np.cumsum(sizes.values.to_numpy(zero_copy_only=False), dtype=np.int64)))
+    flat = _unpack(ids.as_py(), int(edges[-1]), kind)
+    at = np.flatnonzero(flat == np.iinfo(kind).max)
+    if len(at):
+        first = fills.values.offsets.to_numpy().astype(np.int64)
+        values = fills.values.values.slice(first[0], first[-1] - first[0]).to_numpy(zero_copy_only=False).astype(kind)
+        first -= first[0]
+        which = _unpack(places.as_py(), len(at), _PLACE)
+        long = np.diff(first)[which]
+        many = np.ones(len(flat), np.int64)
+        many[at] = long
+        starts = np.concatenate(([0], np.cumsum(many)))
+        inside = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
+        taken = np.repeat(flat, many)
+        taken[np.repeat(starts[at], long) + inside] = values[np.repeat(first[which], long) + inside]
+        flat, edges = taken, starts[edges]
+    if not model.byte_ids and len(flat):
+        # Neighbouring unknown characters of a row are one unknown.
+        stays = np.concatenate(([True], (flat[1:] != model.unknown) | (flat[:-1] != model.unknown)))
+        stays[edges[:-1][edges[:-1] < len(flat)]] = True
+        flat, edges = flat[stays], np.concatenate(([0], np.cumsum(stays)))[edges]
+    return docs.values, pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.astype(np.int32))), plain.values
 
 
 def encode(spark: SparkSession, docs: DataFrame, model: Model, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -400,8 +410,9 @@ def encode(spark: SparkSession, docs: DataFrame, model: Model, scratch: Scratch,
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _some(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), _whole(batch, model)[1]], ["doc_id", "ids"])
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([*_whole(batch, row, model)[:2]], ["doc_id", "ids"])
 
     return _rows(spark, docs, model, scratch).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -428,11 +439,11 @@ def encode_and_decode(spark: SparkSession, docs: DataFrame, model: Model, scratc
     pieces = Pieces(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _some(batches):
-            lists = _whole(batch, model)[1]
+        for batch, row in ((batch, row) for batch in batches for row in range(batch.num_rows)):
+            ids, lists, plain = _whole(batch, row, model)
             texts = pieces.texts(lists)
-            right = [hashlib.sha256(t).digest() == p for t, p in zip(texts, batch.column(2).to_pylist(), strict=True)]
-            arrays = [batch.column(0), pa.array(np.diff(lists.offsets.to_numpy()).astype(np.int64)), pa.array(signed(_list_hashes(lists))), pa.array(right, pa.bool_())]
+            right = [hashlib.sha256(t).digest() == p for t, p in zip(texts, plain.to_pylist(), strict=True)]
+            arrays = [ids, pa.array(np.diff(lists.offsets.to_numpy()).astype(np.int64)), pa.array(signed(_list_hashes(lists))), pa.array(right, pa.bool_())]
             if outputs:
                 arrays += [lists, pa.array(texts, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names)

@@ -269,6 +269,22 @@ def test_whole_ids_and_texts_with_holes(spark, piece_model, monkeypatch):
         assert all(r["round_trip"] for r in got.values()) and len({r["ids_digest"] for r in got.values()}) == len(texts) - 1
 
 
+def test_rows_of_a_block_share_what_is_written_of_their_rare_chunks(spark, piece_model, monkeypatch):
+    """A chunk that is rare in the corpus but in many rows of a block was written and joined for each occurrence; ids are packed."""
+    import sentencepiece
+
+    monkeypatch.setattr(piece_lattice, "FREQUENT_CHUNKS", 1)
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_model)
+    model = piece_lattice.load_model(piece_model)
+    texts = [prose(3, 120)] * 40 + [None, ""] + [f"{prose(4, 30)} ⟐⟐ é"] * 3
+    rows = piece_lattice._rows(spark, frame(spark, list(enumerate(texts))).select("doc_id", "text").coalesce(1), model, Scratch(spark, "t")).collect()
+    held = [len(f) for r in rows for f in (r["fills"] or [],)]
+    assert sum(held) <= len(set(piece_lattice.Cutter(model).chunks(" ".join(t or "" for t in texts).encode()))) + 5
+    assert sum(len(r["ids"]) + len(r["places"]) for r in rows) < sum(len(library.encode(t or "")) for t in texts)
+    got = {r["doc_id"]: r["ids"] for r in piece_lattice.encode(spark, frame(spark, list(enumerate(texts))), model, Scratch(spark, "t")).collect()}
+    assert got == {i: library.encode(t or "") for i, t in enumerate(texts)}
+
+
 def test_viterbi_fold_equals_plain_viterbi(spark):
     pieces = {p: (i, s) for i, (p, s) in enumerate([("a", -2.0), ("b", -2.5), ("ab", -3.0), ("abc", -3.2), ("c", -2.0), ("bc", -3.9), ("▁", -1.0), ("▁a", -2.2)])}
     model = piece_lattice.Model("unigram", pieces, [], 99, {}, True)
